@@ -22,8 +22,8 @@ def hash_counts(token_array, dims: int) -> Column:
     dimension inside the row.
     """
     buckets = F.transform(_c(token_array), lambda t: token_bucket(t, dims))
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
-                       lambda d: F.size(F.filter(buckets, lambda b: b == d)).cast("double"))
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long")),
+                       lambda d: (F.size(buckets) - F.size(F.array_remove(buckets, d))).cast("double"))
 
 
 def l2_norm(v) -> Column:
@@ -49,7 +49,13 @@ def with_hash_embedding(df, token_col: str, dims: int = 64, out: str = "embeddin
     (Catalyst does not de-duplicate work inside lambda bodies).
     """
     keep = [c for c in df.columns if c not in (token_col, out)]
-    counts = df.select(*keep, hash_counts(token_col, dims).alias("_cnt"))
+    buckets = df.select(*keep, F.transform(token_col, lambda t: token_bucket(t, dims)).alias("_bkt"))
+    # "_bkt" is referenced twice on purpose: CollapseProject then keeps it a
+    # column instead of inlining the md5 work into the per-dimension lambda.
+    # Count per dimension with the native array_remove (no per-element lambda).
+    counts = buckets.select(*keep, F.when(F.size("_bkt") >= 0, F.transform(
+        F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long")),
+        lambda d: (F.size("_bkt") - F.size(F.array_remove("_bkt", d))).cast("double"))).alias("_cnt"))
     normed = counts.select(*keep, "_cnt", l2_norm("_cnt").alias("_nrm"))
     return normed.select(*keep, F.when(F.col("_nrm") > 0, F.transform("_cnt", lambda x: x / F.col("_nrm")))
                          .alias(out))

@@ -22,7 +22,7 @@ def valid_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def chunk_vectors(docs: DataFrame, size: int = 400, overlap: int = 50, dims: int = DIMS,
                   keep: tuple[str, ...] = ()) -> DataFrame:
     """documents -> validated, cleaned -> fixed token windows -> hash vectors."""
-    base = fan_out(valid_documents(docs.select("doc_id", "text", *keep)), "doc_id")
+    base = valid_documents(fan_out(docs.select("doc_id", "text", *keep), "doc_id"))
     ch = chunking.fixed_token_chunks(base, "text", "doc_id", size, overlap, keep=keep)
     return V.with_hash_embedding(ch, "chunk_tokens", dims, "embedding")
 
