@@ -82,7 +82,7 @@ def uri_extension(c) -> Column:
     """Lower-cased suffix of the file part before '?', '.bin' when none."""
     path = F.regexp_extract(_c(c), r"^([^?]*)", 1)
     name = F.regexp_extract(path, r"([^/]*)$", 1)
-    ext = F.regexp_extract(name, r"^[^.].*(\.[^.]+)$", 1)
+    ext = F.regexp_extract(name, r"^.+?(\.[^.]+)$", 1)
     return F.when(ext == "", F.lit(".bin")).otherwise(F.lower(ext))
 
 
