@@ -39,8 +39,11 @@ def iso_date_ok(c) -> Column:
 
     def in_range(part, hi):
         return (part == "") | (part.cast("int") < hi)
-    return F.coalesce(s.rlike(ISO_DATE_RE) & date_ok & in_range(hh, 24) & in_range(mi, 60)
-                      & in_range(ss, 60), F.lit(False))
+    iso = s.rlike(ISO_DATE_RE) & date_ok & in_range(hh, 24) & in_range(mi, 60) & in_range(ss, 60)
+    # strptime('%Y-%m-%d') fallback: one- or two-digit month and day.
+    raw = _c(c)
+    short = raw.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$") & F.try_to_timestamp(raw, F.lit("yyyy-M-d")).isNotNull()
+    return F.coalesce(iso | short, F.lit(False))
 
 
 def validation_error(native_id, title, content, date_decision) -> Column:
