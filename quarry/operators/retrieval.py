@@ -140,3 +140,103 @@ def score_column(a, b) -> Column:
     """Row-wise cosine for already paired vectors (see functions.vectors)."""
     from quarry.functions.vectors import cosine
     return cosine(a, b)
+
+
+def score_pairs(corpus: DataFrame, queries: DataFrame, min_score: float, *, qid: str = "qid",
+                cid: str = "chunk_id", vec: str = "embedding", query_vec: str | None = None,
+                carry: list[str] | None = None,
+                max_block_bytes: int = DEFAULT_MAX_BLOCK_BYTES) -> DataFrame:
+    """Every (query, corpus row) pair whose cosine is >= ``min_score``.
+
+    Same block-broadcast scoring as ``knn_search`` but the cut is a score
+    threshold instead of a rank, so nothing is shuffled at all: each corpus
+    partition emits its qualifying pairs directly.
+    """
+    carry = list(carry or [])
+    query_vec = query_vec or vec
+    fields = [T.StructField("_qid", queries.schema[qid].dataType),
+              T.StructField("_cid", corpus.schema[cid].dataType), T.StructField("_score", T.DoubleType())]
+    fields += [T.StructField(c, corpus.schema[c].dataType) for c in carry]
+    out_schema = T.StructType(fields)
+    qsel = queries.select(F.col(qid), F.col(query_vec).alias(vec))
+    spark = corpus.sparkSession
+    parts = []
+    for blk in _query_blocks(qsel, qid, vec, max_block_bytes):
+        q_ids = blk[qid].to_numpy()
+        q_mat = np.vstack([np.asarray(v, dtype=np.float64) for v in blk[vec]])
+        qn = np.linalg.norm(q_mat, axis=1)
+        ok = qn > 0
+        bc = spark.sparkContext.broadcast((q_ids[ok], q_mat[ok] / qn[ok, None]))
+
+        def pairs(batches, bc=bc):
+            ids, mat = bc.value
+            for pdf in batches:
+                if len(pdf) == 0 or len(ids) == 0:
+                    continue
+                good = pdf[vec].map(lambda v: v is not None and len(v) == mat.shape[1]).to_numpy()
+                pdf = pdf[good]
+                if len(pdf) == 0:
+                    continue
+                m = np.vstack(pdf[vec].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
+                norms = np.linalg.norm(m, axis=1)
+                nz = norms > 0
+                pdf, m, norms = pdf[nz], m[nz], norms[nz]
+                if len(pdf) == 0:
+                    continue
+                s = (mat @ m.T) / norms[None, :]
+                qi, ri = np.nonzero(np.round(s, SCORE_DECIMALS) >= min_score)
+                out = {"_qid": ids[qi], "_cid": pdf[cid].to_numpy()[ri], "_score": s[qi, ri]}
+                for c in carry:
+                    out[c] = pdf[c].to_numpy()[ri]
+                yield pd.DataFrame(out)
+        parts.append(corpus.select(cid, vec, *carry).mapInPandas(pairs, out_schema))
+    if not parts:
+        return spark.createDataFrame([], out_schema)
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res.select(F.col("_qid").alias(qid), F.col("_cid").alias(cid), *carry,
+                      F.round("_score", SCORE_DECIMALS).alias("score"))
+
+
+def lsh_band_keys(df: DataFrame, id_col: str, vec: str, dims: int, bands: int = 4, bits: int = 8,
+                  seed: int = 7) -> DataFrame:
+    """Random-hyperplane LSH: one row per (id, band) with a key of ``bits``
+    sign bits.  The hyperplanes are a fixed, seeded (bands·bits × dims)
+    matrix -- a constant as small as the parameters, not the data -- and the
+    projection is one NumPy product per Arrow batch."""
+    planes = np.random.default_rng(seed).standard_normal((bands * bits, dims))
+    weights = (1 << np.arange(bits)).astype(np.int64)
+    id_type = df.schema[id_col].dataType
+    schema = T.StructType([T.StructField(id_col, id_type), T.StructField("band", T.IntegerType()),
+                           T.StructField("key", T.LongType())])
+
+    def keys(batches):
+        for pdf in batches:
+            pdf = pdf[pdf[vec].map(lambda v: v is not None and len(v) == dims)]
+            if len(pdf) == 0:
+                continue
+            m = np.vstack(pdf[vec].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
+            sign = (m @ planes.T >= 0).reshape(len(pdf), bands, bits)
+            k = (sign * weights).sum(axis=2)                      # (rows, bands)
+            yield pd.DataFrame({id_col: np.repeat(pdf[id_col].to_numpy(), bands),
+                                "band": np.tile(np.arange(bands, dtype=np.int32), len(pdf)),
+                                "key": k.reshape(-1).astype(np.int64)})
+    return df.select(id_col, vec).mapInPandas(keys, schema)
+
+
+def approx_knn(corpus: DataFrame, queries: DataFrame, k: int, dims: int, *, qid: str = "qid",
+               cid: str = "chunk_id", vec: str = "embedding", bands: int = 4, bits: int = 8,
+               seed: int = 7) -> DataFrame:
+    """Approximate top-k: candidates share at least one LSH band key with the
+    query (equi-join on (band, key)), then exact cosine re-rank of the
+    distinct candidate pairs."""
+    from quarry.functions.vectors import cosine
+    ck = lsh_band_keys(corpus, cid, vec, dims, bands, bits, seed)
+    qk = lsh_band_keys(queries, qid, vec, dims, bands, bits, seed)
+    cand = qk.join(ck, ["band", "key"]).select(qid, cid).distinct()
+    cand = cand.join(queries.select(qid, F.col(vec).alias("_qv")), qid) \
+        .join(corpus.select(cid, vec), cid)
+    scored = cand.select(qid, cid, F.round(cosine(vec, "_qv"), SCORE_DECIMALS).alias("score"))
+    return top_k_per_group(scored.where(F.col("score").isNotNull()), [qid],
+                           [F.col("score").desc(), F.col(cid).asc()], k)

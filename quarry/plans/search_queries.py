@@ -21,3 +21,114 @@ WHERE rank <= 10
 def top_k_per_group(spark, sf_dir):
     """Flagship: benchmark queries -> 10 best document chunks each."""
     return search.benchmark_top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from quarry.functions import text as T  # noqa: E402
+from quarry.operators import retrieval  # noqa: E402
+from quarry.plans.sql_fragments import bucket_sql, tokens_sql  # noqa: E402
+from quarry.sources.decisions import DECISIONS_SQL, decisions_from_documents  # noqa: E402
+
+_TOPK_SQL = ORACLES_TOPK = None
+
+
+def _topk_sql(k: int, extra_select: str = "", extra_join: str = "") -> str:
+    return f"""
+WITH {CHUNK_TOKENS_CTE}, {QUERY_BUCKETS_CTE},
+sc AS (SELECT qb.item_id, cb.doc_id, cb.idx, sum(qb.c * cb.c) AS dp FROM qb JOIN cb USING (b) GROUP BY ALL),
+r AS (SELECT sc.item_id, sc.doc_id || '_chunk_' || sc.idx AS chunk_id, sc.doc_id, sc.idx,
+             round(dp / (qn.n * cn.n), 6) AS score
+      FROM sc JOIN qn USING (item_id) JOIN cn USING (doc_id, idx)),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM r)
+        WHERE rank <= {k})
+"""
+
+
+@register("relevance_threshold", sql=_topk_sql(10) + """
+SELECT item_id, rank, chunk_id, doc_id, score FROM top WHERE score >= 0.51
+""")
+def q_relevance_threshold(spark, sf):
+    return retrieval.relevance_threshold(top_k_per_group(spark, sf), "score", 0.51)
+
+
+@register("search_results", sql=f"""
+WITH {DECISIONS_SQL}, {CHUNK_TOKENS_CTE.strip()}, {QUERY_BUCKETS_CTE},
+sc AS (SELECT qb.item_id, cb.doc_id, cb.idx, sum(qb.c * cb.c) AS dp FROM qb JOIN cb USING (b) GROUP BY ALL),
+r AS (SELECT sc.item_id, sc.doc_id || '_chunk_' || sc.idx AS chunk_id, sc.doc_id, sc.idx,
+             round(dp / (qn.n * cn.n), 6) AS score
+      FROM sc JOIN qn USING (item_id) JOIN cn USING (doc_id, idx)),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM r)
+        WHERE rank <= 5)
+SELECT top.item_id, CAST(top.rank AS BIGINT) AS rank, top.chunk_id,
+       CASE WHEN coalesce(dd.Title, '') <> '' THEN dd.Title ELSE 'Untitled' END AS title,
+       substr(array_to_string(w.ctok, ' '), 1, 500) AS snippet, top.score,
+       dd.DateDecision AS date_decision, dd.OrganizationName AS organization
+FROM top JOIN w USING (doc_id, idx) JOIN decisions dd USING (doc_id)
+""")
+def q_search_results(spark, sf):
+    dec = decisions_from_documents(table(spark, sf, "documents")) \
+        .select("doc_id", F.col("Content").alias("text"), "Title", "DateDecision", "OrganizationName")
+    keep = ("Title", "DateDecision", "OrganizationName")
+    corpus = search.chunk_vectors(dec, keep=keep)
+    q = search.query_vectors(table(spark, sf, "benchmark"))
+    hits = retrieval.knn_search(corpus, q, 5, qid="item_id", cid="chunk_id", vec="embedding",
+                                carry=["text", *keep])
+    return hits.select("item_id", F.col("rank").cast("long").alias("rank"), "chunk_id",
+                       F.when(F.coalesce(F.col("Title"), F.lit("")) != "", F.col("Title"))
+                       .otherwise(F.lit("Untitled")).alias("title"),
+                       F.substring("text", 1, 500).alias("snippet"), "score",
+                       F.col("DateDecision").alias("date_decision"), F.col("OrganizationName").alias("organization"))
+
+
+_EMB_SCORES_SQL = f"""
+WITH {QUERY_BUCKETS_CTE},
+ev AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(generate_series(0, len(embedding) - 1)) AS b FROM embeddings),
+en AS (SELECT vec_id, sqrt(sum(x::DOUBLE * x::DOUBLE)) AS n FROM ev GROUP BY vec_id),
+sc AS (SELECT qb.item_id, ev.vec_id, ev.label, sum(qb.c * ev.x::DOUBLE) AS dp FROM qb JOIN ev USING (b) GROUP BY ALL),
+r AS (SELECT sc.item_id, sc.vec_id, sc.label, round(dp / (qn.n * en.n), 6) AS score
+      FROM sc JOIN qn USING (item_id) JOIN en USING (vec_id))
+"""
+
+
+@register("knn_search", sql=_EMB_SCORES_SQL + """
+SELECT item_id, CAST(rank AS BIGINT) AS rank, vec_id, label, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, vec_id) AS rank FROM r WHERE label <= 4)
+WHERE rank <= 10
+""")
+def q_knn_search(spark, sf):
+    emb = table(spark, sf, "embeddings").where(F.col("label") <= 4)
+    q = search.query_vectors(table(spark, sf, "benchmark"))
+    hits = retrieval.knn_search(emb, q, 10, qid="item_id", cid="vec_id", vec="embedding", carry=["label"])
+    return hits.select("item_id", F.col("rank").cast("long").alias("rank"), "vec_id", "label", "score")
+
+
+@register("score_pairs", sql=_EMB_SCORES_SQL + """
+SELECT item_id, vec_id, label, score FROM r WHERE score >= 0.25
+""")
+def q_score_pairs(spark, sf):
+    emb = table(spark, sf, "embeddings")
+    q = search.query_vectors(table(spark, sf, "benchmark"))
+    return retrieval.score_pairs(emb, q, 0.25, qid="item_id", cid="vec_id", vec="embedding", carry=["label"]) \
+        .select("item_id", "vec_id", "label", "score")
+
+
+@register("approx_knn")
+def q_approx_knn(spark, sf):
+    """LSH candidates + exact re-rank (rows-only check; recall is tested)."""
+    emb = table(spark, sf, "embeddings")
+    q = search.query_vectors(table(spark, sf, "benchmark"))
+    return retrieval.approx_knn(emb, q, 10, 64, qid="item_id", cid="vec_id", vec="embedding")
+
+
+@register("hash_embed", sql=f"""
+WITH qb AS (SELECT item_id, {bucket_sql('t')} AS b, count(*) AS c
+            FROM (SELECT item_id, unnest({tokens_sql('text')}) AS t FROM benchmark) GROUP BY ALL),
+qn AS (SELECT item_id, sqrt(sum(c * c)) AS n FROM qb GROUP BY ALL),
+grid AS (SELECT item_id, unnest(generate_series(0, 63)) AS b FROM benchmark)
+SELECT g.item_id, list(round(coalesce(qb.c, 0) / qn.n, 6) ORDER BY g.b) AS embedding
+FROM grid g JOIN qn USING (item_id) LEFT JOIN qb USING (item_id, b) GROUP BY g.item_id
+""")
+def q_hash_embed(spark, sf):
+    v = search.query_vectors(table(spark, sf, "benchmark"))
+    return v.select("item_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
