@@ -31,8 +31,38 @@ st AS (SELECT doc_id, tok, list_concat(generate_series(0, last, 80), CASE WHEN n
 w AS (SELECT doc_id, tok, unnest(starts) AS s, unnest(generate_series(0, len(starts) - 1)) AS pos FROM st)
 SELECT doc_id, CAST(pos AS INTEGER) AS chunk_index, CAST(doc_id AS VARCHAR) || '_chunk_' || CAST(pos AS VARCHAR) AS chunk_id,
        array_to_string(list_slice(tok, s + 1, s + 100), ' ') AS text, CAST(len(list_slice(tok, s + 1, s + 100)) AS BIGINT) AS token_count
-FROM w WHERE pos < 1000
+FROM w
 """)
 def q_token_window_chunks(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     return chunking.token_window_chunks(d, "text", "doc_id", max_tokens=100, overlap=20)
+
+
+def _chunk_input(spark, sf):
+    """Decisions with paragraphs (newline -> blank line) and their header."""
+    from quarry.functions import text as T
+    from quarry.operators.partitioning import fan_out
+    from quarry.sources.decisions import decisions_from_documents
+    d = decisions_from_documents(fan_out(table(spark, sf, "documents"), "doc_id"))
+    return d.select("NativeId", F.regexp_replace("Content", "\n", "\n\n").alias("text"),
+                    T.metadata_header("Title", "NativeId", "ClassificationTitle", "ClassificationCode",
+                                      "OrganizationName", "DateDecision", "CaseID", "Section").alias("header"))
+
+
+@register("paragraph_chunks")
+def q_paragraph_chunks(spark, sf):
+    """Greedy paragraph packing 100/50/150, overlap 20, header 75 (rows-only
+    check; semantics pinned by golden tests)."""
+    from quarry.operators.paragraph_chunker import ChunkSettings, paragraph_chunks
+    s = ChunkSettings(target_tokens=100, min_tokens=50, max_tokens=150, overlap_tokens=20, header_overhead_tokens=75)
+    return paragraph_chunks(_chunk_input(spark, sf), "text", "NativeId", s, header_col="header")
+
+
+@register("long_paragraph_chunks")
+def q_long_paragraph_chunks(spark, sf):
+    """Whole document as one paragraph: sentence packing, oversize sentences
+    to token windows (rows-only check)."""
+    from quarry.operators.paragraph_chunker import ChunkSettings, paragraph_chunks
+    s = ChunkSettings(max_tokens=120, overlap_tokens=20, embed_metadata=False)
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("NativeId"), "text")
+    return paragraph_chunks(d, "text", "NativeId", s, long_paragraph_only=True)
