@@ -97,35 +97,43 @@ def _paragraphs(text: str) -> list[str]:
 
 
 def pack(text: str, s: ChunkSettings) -> list[tuple[str, int]]:
-    """Chunk texts with their token counts (before the header)."""
+    """Chunk texts with their token counts (before the header).
+
+    Whitespace token counts are additive over a whitespace join, so the
+    running count is kept as a number instead of re-counting the growing
+    chunk after every paragraph."""
     if not text or not text.strip():
         return []
     paras = _paragraphs(text)
     hi, target, lo = s.limits()
-    out, cur = [], ""
+    out, cur, have = [], "", 0
     for i, p in enumerate(paras):
         last = i == len(paras) - 1
         n = count_tokens(p)
         if n > hi:
             if cur:
-                out.append((cur, count_tokens(cur)))
-                cur = ""
+                out.append((cur, have))
+                cur, have = "", 0
             out.extend(_long_paragraph(p, hi, s))
             continue
-        have = count_tokens(cur)
         if cur and have + n > hi:
             out.append((cur, have))
             ov = _tail(cur, s.overlap_tokens)
             cur = f"{ov}\n\n{p}" if ov else p
+            have = count_tokens(ov) + n if ov else n
         elif have + n >= lo or last:
-            cur = f"{cur}\n\n{p}" if cur else p
-            if count_tokens(cur) >= target or last:
-                out.append((cur, count_tokens(cur)))
-                cur = "" if last else _tail(cur, s.overlap_tokens)
+            cur, have = (f"{cur}\n\n{p}", have + n) if cur else (p, n)
+            if have >= target or last:
+                out.append((cur, have))
+                if last:
+                    cur, have = "", 0
+                else:
+                    cur = _tail(cur, s.overlap_tokens)
+                    have = count_tokens(cur)
         else:
-            cur = f"{cur}\n\n{p}" if cur else p
-    if cur and count_tokens(cur) > 0:
-        out.append((cur, count_tokens(cur)))
+            cur, have = (f"{cur}\n\n{p}", have + n) if cur else (p, n)
+    if cur and have > 0:
+        out.append((cur, have))
     return out
 
 

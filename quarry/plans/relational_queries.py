@@ -290,7 +290,7 @@ SELECT doc_id, CASE
 FROM j
 """)
 def q_content_gate(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = table(spark, sf, "documents", spread=True).select("doc_id", "text")
     lab = table(spark, sf, "labels").select("doc_id", "quality")
     req = docs.select("doc_id").union(lab.select("doc_id")).distinct()
     j = req.join(docs, "doc_id", "left").join(lab, "doc_id", "left")
@@ -315,7 +315,7 @@ SELECT doc_id, NOT (text IS NULL OR regexp_replace(text, '^[\\s]+|[\\s]+$', '',
 FROM t
 """)
 def q_markdown_quality_gate(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = table(spark, sf, "documents", spread=True).select("doc_id", "text")
     lit = spark.createDataFrame([(-1, ""), (-2, "   "), (-3, "<HTML><body>x</body>"), (-4, "ok text"),
                                  (-5, "soft­hyphen"), (-6, "zero​width"), (-7, "tab\tand\nnewline ok"),
                                  (-8, "bell\x07"), (-9, "closing </html> tag")], "doc_id long, text string")
@@ -450,7 +450,7 @@ FROM w JOIN p USING (doc_id) GROUP BY w.doc_id, p.paragraphs
 """)
 def q_chunk_stats(spark, sf):
     from quarry.operators.chunking import fixed_token_chunks
-    d = table(spark, sf, "documents").where(F.col("text").isNotNull() & (F.col("text") != "")) \
+    d = table(spark, sf, "documents", spread=True).where(F.col("text").isNotNull() & (F.col("text") != "")) \
         .select("doc_id", "text", F.size(T.split_paragraphs(F.regexp_replace("text", "\n", "\n\n"))).cast("long")
                 .alias("paragraphs"))
     ch = fixed_token_chunks(d, "text", "doc_id", 400, 50, keep=("paragraphs",))

@@ -28,7 +28,7 @@ b AS (SELECT doc_id, t, regexp_replace(c, '[{WS_NO_NL}]+(\\n|$)', '\\1', 'g') AS
 SELECT doc_id, CASE WHEN t IS NULL OR t = '' THEN '' ELSE {strip_sql('c')} || chr(10) END AS cleaned FROM b
 """)
 def q_clean_markdown(spark, sf):
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents", spread=True)
     noisy = F.regexp_replace("text", "\n", " \n\n\n")
     return d.select("doc_id", T.clean_markdown(noisy).alias("cleaned"))
 
@@ -41,7 +41,7 @@ WITH p AS (
 SELECT doc_id, unnest(generate_series(0, len(ps) - 1)) AS para_index, unnest(ps) AS paragraph FROM p
 """)
 def q_split_paragraphs(spark, sf):
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents", spread=True)
     paras = T.split_paragraphs(F.regexp_replace("text", "\n", "\n\n"))
     return d.select("doc_id", F.posexplode(paras).alias("para_index", "paragraph")) \
         .select("doc_id", F.col("para_index").cast("long").alias("para_index"), "paragraph")
@@ -57,7 +57,7 @@ t AS (SELECT doc_id, CASE WHEN len(ss) > 0 THEN ss ELSE [text] END AS ss FROM s)
 SELECT doc_id, unnest(generate_series(0, len(ss) - 1)) AS sentence_index, unnest(ss) AS sentence FROM t
 """)
 def q_split_sentences(spark, sf):
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents", spread=True)
     return d.select("doc_id", F.posexplode(T.split_sentences("text")).alias("sentence_index", "sentence")) \
         .select("doc_id", F.col("sentence_index").cast("long").alias("sentence_index"), "sentence")
 
@@ -66,7 +66,7 @@ def q_split_sentences(spark, sf):
 SELECT doc_id, CAST(len({tokens_sql('text')}) AS BIGINT) AS token_count FROM documents
 """)
 def q_token_count(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.token_count("text").alias("token_count"))
+    return table(spark, sf, "documents", spread=True).select("doc_id", T.token_count("text").alias("token_count"))
 
 
 @register("token_usage_estimate", sql=f"""
@@ -76,7 +76,7 @@ SELECT source, CAST(count(*) AS BIGINT) AS n_texts,
 FROM documents GROUP BY source
 """)
 def q_token_usage_estimate(spark, sf):
-    d = table(spark, sf, "documents").select("source", T.token_usage_estimate("text").alias("est"))
+    d = table(spark, sf, "documents", spread=True).select("source", T.token_usage_estimate("text").alias("est"))
     return d.groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"),
                                    F.sum(F.floor("est")).cast("long").alias("tokens_used"),
                                    F.round(F.sum("est"), 6).alias("tokens_estimate"))
@@ -115,7 +115,7 @@ SELECT doc_id, concat_ws(chr(10), '--- Dokumentin konteksti ---',
 FROM h
 """)
 def q_metadata_header(spark, sf):
-    d = decisions_from_documents(table(spark, sf, "documents"))
+    d = decisions_from_documents(table(spark, sf, "documents", spread=True))
     d = d.select("*", (F.col("doc_id") % 7 == 0).alias("is_att"),
                  F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Liite "), (F.col("doc_id") % 3).cast("string")))
                  .alias("att_title"),
@@ -180,7 +180,7 @@ WITH t AS (SELECT doc_id, text FROM documents
 SELECT doc_id, regexp_replace(text, '{T.SECRET_PATTERN}', '\\1=REDACTED', 'g') AS text_redacted FROM t
 """)
 def q_redact_secrets(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = table(spark, sf, "documents", spread=True).select("doc_id", "text")
     lit = spark.createDataFrame([(-1 - i, s) for i, s in enumerate(SECRET_LITERALS)], "doc_id long, text string")
     return d.unionByName(lit).select("doc_id", T.redact_secrets("text").alias("text_redacted"))
 
@@ -191,7 +191,7 @@ SELECT doc_id, CASE WHEN regexp_matches(text, '^[A-Z]') THEN substr(regexp_repla
 FROM documents
 """)
 def q_camel_space(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.camel_space("text").alias("spaced"))
+    return table(spark, sf, "documents", spread=True).select("doc_id", T.camel_space("text").alias("spaced"))
 
 
 @register("normalize_url", sql="""
