@@ -78,16 +78,19 @@ class Codec:
 
         self.tokens = read_ranks(path)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(self.tokens))
-        table = vocabulary.byte_table()
+        mapped = vocabulary.mapper()
         back = {c: b for b, c in vocabulary.byte_chars().items()}
         self.bytes_of = [bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(len(self.tokens))]
-        whole = {token: np.array([i], "<u4").tobytes() for i, token in enumerate(self.tokens)}
+        written = [i.to_bytes(4, "little") for i in range(len(self.tokens) + 1)]
+        whole = dict(zip(self.tokens, written))
+
+        merge = self.model.encode
 
         def encode(piece: str) -> bytes:
             raw = piece.encode("utf-8")
             if raw in whole:  # a pre-token that is a token needs no merges
                 return whole[raw]
-            return np.array(self.model.encode(raw.decode("latin-1").translate(table)), "<u4").tobytes()
+            return b"".join([written[i] for i in merge(mapped(piece))])
 
         self.encode = ChunkCache(encode)
 

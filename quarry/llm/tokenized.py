@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import functools
 
-import numpy as np
-
 from quarry.llm import vocabulary
 from quarry.llm.tokens import ChunkCache
 
@@ -19,11 +17,12 @@ def encoder(path: str) -> ChunkCache:
     text."""
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(path).model
-    table = vocabulary.byte_table()
+    tokenizer = Tokenizer.from_file(path)
+    tokenize = tokenizer.model.tokenize
+    written = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+    mapped = vocabulary.mapper()
 
     def encode(piece: str) -> bytes:
-        mapped = piece.encode("utf-8").decode("latin-1").translate(table)
-        return np.array([t.id for t in model.tokenize(mapped)], "<u4").tobytes()
+        return b"".join([written[t.id] for t in tokenize(mapped(piece))])
 
     return ChunkCache(encode)

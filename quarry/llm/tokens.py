@@ -10,6 +10,8 @@ pre-token is encoded alone, which is what byte-level BPE does.
 
 from __future__ import annotations
 
+import string
+
 import regex
 
 from quarry.llm import vocabulary
@@ -23,7 +25,7 @@ class ChunkCache(dict):
     """chunk -> ids as little-endian 32-bit integers, of bounded size: when
     ``limit`` chunks are held, the older half goes."""
 
-    def __init__(self, encode, limit: int = 250_000):
+    def __init__(self, encode, limit: int = 400_000):
         super().__init__()
         self.encode, self.limit, self.old, self.pieces = encode, limit, {}, {}
         self.find = regex.compile(vocabulary.pattern()).findall
@@ -32,9 +34,15 @@ class ChunkCache(dict):
     def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
-            if chunk != "\n" and (chunk in ("", " ") or self.odd(chunk, 1 if chunk[0] == " " else 0)):
+            body = chunk.rstrip(string.punctuation)
+            if (body[1:] if chunk[:1] == " " else body).isalpha():  # letters, then a run of marks: a pre-token each
+                ids = self.piece(body)
+                if len(body) < len(chunk):
+                    ids += self.piece(chunk[len(body):])
+            elif chunk != "\n" and (chunk in ("", " ") or self.odd(chunk, 1 if chunk[0] == " " else 0)):
                 raise _Odd
-            ids = b"".join(map(self.piece, self.find(chunk)))
+            else:
+                ids = b"".join(map(self.piece, self.find(chunk)))
         if len(chunk) <= 64:
             if len(self) >= self.limit:
                 self.old = dict(self)

@@ -27,6 +27,13 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)}
 
 
-def byte_table() -> dict[int, str]:
-    """For ``str.translate`` of a text whose bytes were read as Latin-1."""
-    return byte_chars()
+def mapper():
+    """A function that writes a text's UTF-8 bytes as these characters."""
+    table = byte_chars()
+
+    def mapped(text: str) -> str:
+        if text.isascii() and text.isprintable():  # printable ASCII stands for itself, but for the space
+            return text.replace(" ", table[32])
+        return text.encode("utf-8").decode("latin-1").translate(table)
+
+    return mapped
