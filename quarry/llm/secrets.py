@@ -7,9 +7,9 @@ pairs; a long token that no pattern covers is a secret when its
 log-likelihood ratio exceeds a margin.
 
 Training is bounded: ``TRAIN_RANDOM`` random strings made from hashes of a
-running number, and the words of ``TRAIN_DOCUMENTS`` documents (those with
-the smallest hash of their id) as ordinary identifiers.  The model is a table
-of 80 x 80 scores.  Scanning covers every whole text.
+running number, and the words of about ``TRAIN_DOCUMENTS`` documents (those
+whose id has a hash below that share of its range) as ordinary identifiers.
+The model is a table of 80 x 80 scores.  Scanning covers every whole text.
 
 Defined results: a null text is an empty one without spans; equal rows get
 equal rows; other columns are ignored, whatever their names.  Positions count
@@ -85,7 +85,8 @@ def samples(docs: DataFrame) -> DataFrame:
     noise = spark.range(TRAIN_RANDOM).select(F.explode(F.array(
         F.substring(b64, 1, 40), F.substring(digest, 1, 40), F.substring(F.upper(F.regexp_replace(b64, "[+/=]", "")), 1, 30),
     )).alias("token"), F.lit(True).alias("random"))
-    few = docs.where("text IS NOT NULL").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(TRAIN_DOCUMENTS)
+    share = min(1.0, TRAIN_DOCUMENTS / max(1, docs.count()))
+    few = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).where("text IS NOT NULL").select("text")
     words = F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9])[A-Za-z]{2,}(?![A-Za-z0-9])"), F.lit(0))
     plain = (few.select(F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: i).alias("i"), words.alias("w"))
              .where(F.size("w") > 0)
