@@ -1,0 +1,41 @@
+"""Every stage of the pipeline against a plain version of its decision."""
+
+import re
+
+import corpus_pipeline
+from quarry.llm.common import store, table
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = table(spark, SF, "documents")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality_rules", "exact_dedup", "near_dedup", "secret_scan", "best_fit_packing"]
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, store(stage(spark, docs, SF), name)
+        kept[name] = docs.count()
+        if name != names[-1]:
+            assert docs.columns == before.columns
+    assert 0 < kept["near_dedup"] <= kept["exact_dedup"] <= kept["quality_rules"]
+    assert kept["secret_scan"] == kept["near_dedup"] <= kept["best_fit_packing"]
+
+
+def test_decisions(spark):
+    docs = table(spark, SF, "documents")
+    by = dict(corpus_pipeline.STAGES)
+    same = lambda t: re.sub(r"[\x20\x09-\x0D]+", "", t or "")
+    texts = [same(r["text"]) for r in by["exact_dedup"](spark, docs, SF).collect()]
+    assert len(texts) == len(set(texts)) == len({same(r["text"]) for r in docs.collect()})
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    good = {r["doc_id"] for r in by["quality_rules"](spark, docs, SF).collect()}
+    long = {r["doc_id"] for r in docs.collect() if len((r["text"] or "").split()) >= 60}
+    assert sum(d in good for d, q in labels.items() if q and d in long) >= 0.98 * sum(1 for d, q in labels.items() if q and d in long)
+    assert not any(re.search(r"AKIA[A-Z0-9]{16}", r["text"]) for r in by["secret_scan"](spark, docs, SF).collect())
+
+
+def test_run(spark):
+    rows = corpus_pipeline.run(spark, SF)
+    assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert rows.count() > 0
