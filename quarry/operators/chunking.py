@@ -53,17 +53,15 @@ def fixed_token_chunks(df: DataFrame, text_col: str, id_col: str, size: int = 40
 
 def token_window_chunks(df: DataFrame, text_col: str, id_col: str, max_tokens: int = 1500,
                         overlap: int = 100, start_index: int = 0,
-                        keep: tuple[str, ...] = (), max_chunks: int | None = None) -> DataFrame:
+                        keep: tuple[str, ...] = ()) -> DataFrame:
     """Token splitter of the long-paragraph path: windows of ``max_tokens``
     with ``overlap``; the overlap tail is emitted again.  No chunk cap by
-    default (whole texts); ``max_chunks`` restores a safety cap."""
+    default (whole texts); there is no cap."""
     staged = df.select(*keep, id_col, T.tokens(text_col).alias("_tok"))
     tok = F.col("_tok")
     starts = window_starts(F.size(tok), max_tokens, overlap, tail=True)
     windows = F.transform(starts, lambda s: F.slice(tok, s + 1, max_tokens))
     out = staged.select(*keep, id_col, F.posexplode(windows).alias("pos", "chunk_tokens"))
-    if max_chunks is not None:
-        out = out.where(F.col("pos") < max_chunks)
     idx = (F.col("pos") + F.lit(start_index)).cast("int")
     return out.select(*keep, id_col, idx.alias("chunk_index"),
                       T.chunk_id(id_col, idx).alias("chunk_id"),

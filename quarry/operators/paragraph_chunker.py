@@ -1,22 +1,28 @@
-"""Greedy paragraph chunker: an order-dependent fold over one document's
-paragraphs, so it runs per row inside Arrow batches (mapInPandas).  Each
-document is independent: no shuffle, and a long document only occupies the
-task that holds it.  The context header is computed natively beforehand
-(functions.text.metadata_header) and passed in as a column.
-
-Tokens are whitespace words (the counter is pluggable in spirit: a BPE
-vocabulary is not available offline).
+"""Paragraph chunks with overlap and a context header.
+
+A text is cut at three depths: paragraphs, the sentences of a paragraph that
+is too large, and windows of tokens of a sentence that is.  At the first two
+depths one rule decides from token counts alone which units share a chunk;
+texts are joined afterwards.  Every document is independent (Arrow batches,
+no shuffle), and a text of any length is cut by the same rules.  The header
+comes as a column (functions.text.metadata_header).
+
+Tokens are whitespace words unless ``count`` says otherwise.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-LONG_PARAGRAPH_CHARS = 100_000  # paragraphs longer than this go straight to token windows
+
+def count_tokens(text: str) -> int:
+    return len(text.split()) if text else 0
 
 
 @dataclass(frozen=True)
@@ -27,114 +33,82 @@ class ChunkSettings:
     overlap_tokens: int = 100
     header_overhead_tokens: int = 250
     embed_metadata: bool = True
-    max_chunks: int | None = None   # no cap: whole texts are always chunked
-
-    def limits(self):
-        """(max, target, min) after reserving room for the header."""
-        if not self.embed_metadata:
-            return self.max_tokens, self.target_tokens, self.min_tokens
-        return (max(self.max_tokens - self.header_overhead_tokens, self.min_tokens),
-                max(self.target_tokens - self.header_overhead_tokens, self.min_tokens // 2),
-                max(self.min_tokens - self.header_overhead_tokens, 50))
-
-
-def count_tokens(text: str) -> int:
-    return len(text.split()) if text else 0
-
-
-def _tail(text: str, n: int) -> str:
-    words = text.split()
-    return text if len(words) <= n else " ".join(words[-n:])
-
-
-def _sentences(text: str) -> list[str]:
-    out, start = [], 0
-    for i, ch in enumerate(text):
-        if ch in ".!?" and (i + 1 == len(text) or text[i + 1] in " \n\t"):
-            out.append(text[start:i + 1].strip())
-            start = i + 1
-    if start < len(text):
-        out.append(text[start:].strip())
-    out = [s for s in out if s]
-    return out or [text]
-
-
-def _token_windows(text: str, size: int, s: ChunkSettings) -> list[tuple[str, int]]:
+    count: Callable[[str], int] = count_tokens
+
+    def bounds(self) -> tuple[int, int]:
+        """(most tokens of a chunk, tokens at which one is complete), less the
+        room that the header takes."""
+        room = self.header_overhead_tokens if self.embed_metadata else 0
+        least = max(self.min_tokens - room, 50) if room else self.min_tokens
+        aim = max(self.target_tokens - room, self.min_tokens // 2) if room else self.target_tokens
+        return (max(self.max_tokens - room, self.min_tokens) if room else self.max_tokens), max(least, aim)
+
+
+def spans(counts: list[int], most: int, complete: float, overlap: int) -> Iterator[tuple[int, int, bool | None]]:
+    """Units [a, b) of each chunk and whether the end of the chunk before is
+    repeated in front of them; a unit above ``most`` comes alone, with None."""
+    a, size, repeats = 0, 0, False
+    for k, n in enumerate(counts):
+        if n > most:
+            if size:
+                yield a, k, repeats
+            yield k, k + 1, None
+            a, size, repeats = k + 1, 0, False
+            continue
+        closed = bool(size) and size + n > most
+        if closed:
+            yield a, k, repeats
+            a, repeats = k, overlap > 0
+            size = min(size, overlap)
+        size += n
+        if not closed and size >= complete and k + 1 < len(counts):
+            yield a, k + 1, repeats
+            a, repeats = k + 1, overlap > 0
+            size = min(size, overlap)
+    if size:
+        yield a, len(counts), repeats
+
+
+def windows(text: str, size: int, overlap: int) -> list[str]:
+    """Windows of ``size`` tokens, each starting ``overlap`` before the last
+    one's end; what the last one repeats is a window of its own."""
     words = text.split()
-    out, start = [], 0
-    while start < len(words) and (s.max_chunks is None or len(out) < s.max_chunks):
-        end = min(start + size, len(words))
-        out.append((" ".join(words[start:end]), end - start))
-        start = end if end - s.overlap_tokens <= start else end - s.overlap_tokens
-    return out
-
-
-def _long_paragraph(p: str, size: int, s: ChunkSettings) -> list[tuple[str, int]]:
-    if len(p) > LONG_PARAGRAPH_CHARS:
-        return _token_windows(p, s.max_tokens, s)
-    out, cur = [], ""
-    for sent in _sentences(p):
-        n = count_tokens(sent)
-        if n > size:
-            if cur:
-                out.append((cur, count_tokens(cur)))
-            out.extend(_token_windows(sent, size, s))
-            cur = ""
+    step = size - overlap if overlap < size else size
+    last = -(-max(len(words) - size, 0) // step) * step
+    starts = list(range(0, last + 1, step))
+    if overlap < size and len(words) - overlap > last:
+        starts.append(len(words) - overlap)
+    return [" ".join(words[s:s + size]) for s in starts if s < len(words)]
+
+
+def _joined(units: list[str], mark: str, most: int, complete: float, s: ChunkSettings, larger) -> list[tuple[str, int]]:
+    """Chunks of units; ``larger`` cuts a unit that is too large."""
+    out: list[tuple[str, int]] = []
+    for a, b, repeats in spans([s.count(u) for u in units], most, complete, s.overlap_tokens):
+        if repeats is None:
+            out += larger(units[a])
             continue
-        if cur and count_tokens(cur) + n > size:
-            out.append((cur, count_tokens(cur)))
-            ov = _tail(cur, s.overlap_tokens)
-            cur = f"{ov} {sent}" if ov else sent
-        else:
-            cur = f"{cur} {sent}" if cur else sent
-    if cur:
-        out.append((cur, count_tokens(cur)))
+        parts = units[a:b]
+        if repeats:
+            words = out[-1][0].split()
+            parts = [out[-1][0] if len(words) <= s.overlap_tokens else " ".join(words[-s.overlap_tokens:]), *parts]
+        body = mark.join(parts)
+        out.append((body, s.count(body)))
     return out
 
 
-def _paragraphs(text: str) -> list[str]:
-    return [p.strip() for p in text.split("\n\n") if p.strip()]
+def sentence_chunks(text: str, most: int, s: ChunkSettings) -> list[tuple[str, int]]:
+    """One paragraph as chunks of whole sentences, at most ``most`` tokens."""
+    cut = [x.strip() for x in re.split(r"(?<=[.!?])(?=[ \n\t])", text)]
+    return _joined([x for x in cut if x] or [text], " ", most, float("inf"), s,
+                   lambda x: [(w, s.count(w)) for w in windows(x, most, s.overlap_tokens)])
 
 
 def pack(text: str, s: ChunkSettings) -> list[tuple[str, int]]:
-    """Chunk texts with their token counts (before the header).
-
-    Whitespace token counts are additive over a whitespace join, so the
-    running count is kept as a number instead of re-counting the growing
-    chunk after every paragraph."""
-    if not text or not text.strip():
-        return []
-    paras = _paragraphs(text)
-    hi, target, lo = s.limits()
-    out, cur, have = [], "", 0
-    for i, p in enumerate(paras):
-        last = i == len(paras) - 1
-        n = count_tokens(p)
-        if n > hi:
-            if cur:
-                out.append((cur, have))
-                cur, have = "", 0
-            out.extend(_long_paragraph(p, hi, s))
-            continue
-        if cur and have + n > hi:
-            out.append((cur, have))
-            ov = _tail(cur, s.overlap_tokens)
-            cur = f"{ov}\n\n{p}" if ov else p
-            have = count_tokens(ov) + n if ov else n
-        elif have + n >= lo or last:
-            cur, have = (f"{cur}\n\n{p}", have + n) if cur else (p, n)
-            if have >= target or last:
-                out.append((cur, have))
-                if last:
-                    cur, have = "", 0
-                else:
-                    cur = _tail(cur, s.overlap_tokens)
-                    have = count_tokens(cur)
-        else:
-            cur, have = (f"{cur}\n\n{p}", have + n) if cur else (p, n)
-    if cur and have > 0:
-        out.append((cur, have))
-    return out
+    """Chunk texts with their token counts, before the header."""
+    units = [p.strip() for p in (text or "").split("\n\n") if p.strip()]
+    most, complete = s.bounds()
+    return _joined(units, "\n\n", most, complete, s, lambda p: sentence_chunks(p, most, s))
 
 
 CHUNK_SCHEMA = T.StructType([T.StructField("chunk_index", T.IntegerType()), T.StructField("chunk_id", T.StringType()),
@@ -146,30 +120,26 @@ def paragraph_chunks(df: DataFrame, text_col: str, id_col: str, settings: ChunkS
                      long_paragraph_only: bool = False) -> DataFrame:
     """One output row per chunk: keep..., id, chunk_index, chunk_id, text
     (header + blank line + chunk when a header is given), token_count."""
-    cols = list(keep) + [id_col, text_col] + ([header_col] if header_col else [])
-    src = df.select(*cols)
-    fields = [src.schema[c] for c in keep] + [src.schema[id_col]] + list(CHUNK_SCHEMA.fields)
-    out_schema = T.StructType(fields)
+    src = df.select(*keep, id_col, text_col, *([header_col] if header_col else []))
+    fields = [src.schema[c] for c in (*keep, id_col)] + CHUNK_SCHEMA.fields
+    names = [f.name for f in fields]
+
+    def cut(text):
+        if not long_paragraph_only:
+            return pack(text, settings)
+        return sentence_chunks(text, settings.max_tokens, settings) if text and text.strip() else []
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for rec in pdf.itertuples(index=False):
-                r = rec._asdict()
-                text = r[text_col]
-                if long_paragraph_only:
-                    parts = _long_paragraph(text, settings.max_tokens, settings) if text and text.strip() else []
-                else:
-                    parts = pack(text, settings)
-                header = r[header_col] if header_col else None
-                for idx, (body, n) in enumerate(parts):
-                    if settings.embed_metadata and header:
+            for rec in pdf.to_dict("records"):
+                header = rec[header_col] if header_col and settings.embed_metadata else None
+                for k, (body, n) in enumerate(cut(rec[text_col])):
+                    if header:
                         body = f"{header}\n\n{body}"
-                        n = count_tokens(body)
-                    row = {k: r[k] for k in keep}
-                    row.update({id_col: r[id_col], "chunk_index": idx, "chunk_id": f"{r[id_col]}_chunk_{idx}",
-                                "text": body, "token_count": n})
-                    rows.append(row)
+                        n = settings.count(body)
+                    rows.append([*(rec[c] for c in (*keep, id_col)), k, f"{rec[id_col]}_chunk_{k}", body, n])
             if rows:
-                yield pd.DataFrame(rows, columns=[f.name for f in fields])
-    return src.mapInPandas(run, out_schema)
+                yield pd.DataFrame(rows, columns=names)
+
+    return src.mapInPandas(run, T.StructType(fields))
