@@ -2,35 +2,30 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.session import ensure_checkpoint_dir
 
 
-def crawl_frontier(edges: DataFrame, start: DataFrame, src: str = "src", dst: str = "dst",
-                   max_depth: int | None = None, max_pages: int | None = None) -> DataFrame:
+def crawl_frontier(edges: DataFrame, start: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Nodes reachable from ``start`` (column ``node``) with their BFS depth.
 
-    Each round joins the frontier to the edges (equi-join), removes visited
-    nodes (left anti), and appends the rest; the visited table is
-    checkpointed every round into the shared checkpoint folder, so lineage
-    stays one round long and a lost executor recomputes one round only.
-    ``max_pages`` keeps the first N nodes by (depth, node) -- the crawl cap.
+    Edges are checkpointed once.  Each round joins the frontier to them and
+    drops what an earlier round has (left anti join against all of them);
+    only the new frontier is written to the shared checkpoint folder.  The
+    search ends when a round finds nothing new, whatever its depth.
     """
     ensure_checkpoint_dir(start.sparkSession)
-    visited = start.select(F.col("node"), F.lit(0).cast("long").alias("depth")).distinct().checkpoint()
-    frontier = visited
-    depth = 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        nxt = frontier.join(edges, frontier["node"] == edges[src]).select(F.col(dst).alias("node")).distinct()
-        new = nxt.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth).cast("long"))
-        new = new.checkpoint()
+    links = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct().checkpoint()
+    rounds = [start.select(F.col("node"), F.lit(0).cast("long").alias("depth")).distinct().checkpoint()]
+    while True:
+        visited = reduce(DataFrame.unionByName, rounds)
+        found = rounds[-1].join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        new = (found.join(visited.select("node"), "node", "left_anti")
+               .withColumn("depth", F.lit(len(rounds)).cast("long")).checkpoint())
         if new.isEmpty():
-            break
-        visited = visited.unionByName(new).checkpoint()
-        frontier = new
-    if max_pages is not None:
-        visited = visited.orderBy("depth", "node").limit(max_pages)
-    return visited
+            return visited
+        rounds.append(new)

@@ -101,16 +101,17 @@ def q_rag_prompts(spark, sf):
     return msgs.select("item_id", "system_content", "user_content")
 
 
+# Node ids are below 100, so no shortest path has 100 steps: the bound ends the SQL recursion, not the search.
 @register("crawl_frontier", sql="""
 WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 100 AS src, l_partkey % 100 AS dst FROM lineitem),
-r(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 12)
+r(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 100)
 SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY node
 """)
 def q_crawl_frontier(spark, sf):
     li = table(spark, sf, "lineitem")
     edges = li.select((F.col("l_suppkey") % 100).alias("src"), (F.col("l_partkey") % 100).alias("dst")).distinct()
     start = spark.range(1).select(F.lit(1).cast("long").alias("node"))
-    return crawl_frontier(edges, start, "src", "dst", max_depth=12)
+    return crawl_frontier(edges, start, "src", "dst")
 
 
 @register("full_pipeline")
