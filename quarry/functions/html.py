@@ -14,6 +14,15 @@ RAW = {"script", "style"}
 NOISE_SECTION_CLASS = "MuutoksenhakuohjeetSektio"  # appeal-instruction boilerplate (fixed value)
 
 
+# Elements whose end tag the HTML standard lets the next element imply, and where the search for them stops.
+ENDED_BY = {
+    "p": frozenset("p div ul ol li table section article aside nav header footer main form h1 h2 h3 h4 h5 h6 pre blockquote dl".split()),
+    "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
+    "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]),
+}
+ENDS_SEARCH = frozenset("ul ol dl table div section article aside main body html form blockquote #root".split())
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children", "parent")
 
@@ -34,11 +43,22 @@ class _Builder(HTMLParser):
         self.cur = self.root
 
     def handle_starttag(self, tag, attrs):
+        self._implied_ends(tag)
         n = Node(tag, attrs, self.cur)
         self.cur.children.append(n)
         if tag not in VOID:
             self.cur = n
 
+    def _implied_ends(self, tag):
+        """Close what the new element cannot stand in: a paragraph ends where
+        a block starts, an item or cell where its next one starts."""
+        n = self.cur
+        while n is not None and n.tag not in ENDS_SEARCH:
+            if tag in ENDED_BY.get(n.tag, ()):
+                self.cur = n.parent
+                return
+            n = n.parent
+
     def handle_startendtag(self, tag, attrs):
         self.cur.children.append(Node(tag, attrs, self.cur))
 
@@ -63,26 +83,33 @@ def parse(html: str | None) -> Node:
     return b.root
 
 
+def walk(node: Node):
+    """("open" | "text" | "close", item) in document order, without recursion:
+    pages may nest as deep as they like."""
+    stack = [iter(node.children)]
+    open_ = [node]
+    while stack:
+        c = next(stack[-1], None)
+        if c is None:
+            stack.pop()
+            done = open_.pop()
+            if done is not node:
+                yield "close", done
+        elif isinstance(c, Node):
+            yield "open", c
+            stack.append(iter(c.children))
+            open_.append(c)
+        else:
+            yield "text", c
+
+
 def iter_nodes(node: Node):
-    for c in node.children:
-        if isinstance(c, Node):
-            yield c
-            yield from iter_nodes(c)
+    return (c for event, c in walk(node) if event == "open")
 
 
 def text_of(node: Node, strip: bool = False, sep: str = "") -> str:
-    parts = []
-
-    def walk(n):
-        for c in n.children:
-            if isinstance(c, Node):
-                walk(c)
-            else:
-                parts.append(c.strip() if strip else c)
-    walk(node)
-    if strip:
-        parts = [p for p in parts if p]
-    return sep.join(parts)
+    parts = [c.strip() if strip else c for event, c in walk(node) if event == "text"]
+    return sep.join(p for p in parts if p) if strip else sep.join(parts)
 
 
 def _matches(n: Node, selector: str) -> bool:
@@ -99,122 +126,147 @@ def select_one(root: Node, selector: str):
 
 def remove_noise(root: Node) -> Node:
     """Drop every img element and every appeal-instruction section."""
-    def prune(n):
-        keep = []
-        for c in n.children:
-            if isinstance(c, Node):
-                if c.tag == "img" or (c.tag == "section" and NOISE_SECTION_CLASS in c.classes()):
-                    continue
-                prune(c)
-            keep.append(c)
-        n.children = keep
-    prune(root)
+    def noise(c):
+        return isinstance(c, Node) and (c.tag == "img" or (c.tag == "section" and NOISE_SECTION_CLASS in c.classes()))
+
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        n.children = [c for c in n.children if not noise(c)]
+        todo += [c for c in n.children if isinstance(c, Node)]
     return root
 
 
 def serialize(n: Node) -> str:
     from html import escape
-    out = []
-
-    def walk(x):
-        for c in x.children:
-            if isinstance(c, Node):
-                attrs = "".join(f' {k}="{escape(v or "", quote=True)}"' for k, v in c.attrs.items())
-                out.append(f"<{c.tag}{attrs}>")
-                if c.tag not in VOID:
-                    walk(c)
-                    out.append(f"</{c.tag}>")
-            else:
-                out.append(c if (x.tag in RAW) else escape(c, quote=False))
-    walk(n)
+    out, tags = [], [n.tag]
+    for event, c in walk(n):
+        if event == "open":
+            out.append(f"<{c.tag}" + "".join(f' {k}="{escape(v or "", quote=True)}"' for k, v in c.attrs.items()) + ">")
+            tags.append(c.tag)
+        elif event == "close":
+            tags.pop()
+            if c.tag not in VOID:
+                out.append(f"</{c.tag}>")
+        else:
+            out.append(c if tags[-1] in RAW else escape(c, quote=False))
     return "".join(out)
 
 
-def _inline(n: Node) -> str:
-    parts = []
-    for c in n.children:
-        if isinstance(c, Node):
-            if c.tag in RAW or c.tag in ("head", "title"):
-                continue
-            inner = _inline(c)
-            if c.tag in ("b", "strong") and inner.strip():
-                parts.append(f"**{inner.strip()}**")
-            elif c.tag == "br":
-                parts.append("\n")
-            else:
-                parts.append(inner)
-        else:
-            parts.append(c)
-    return " ".join("".join(parts).split(" ")) if parts else ""
+def _inline(n: Node, skip: frozenset = frozenset()) -> str:
+    """Text with emphasis and link targets; elements in ``skip`` and those
+    without visible text are left out."""
+    parts, hidden = [[]], 0
+    for event, c in walk(n):
+        if event == "text":
+            if not hidden:
+                parts[-1].append(c)
+            continue
+        quiet = c.tag in RAW or c.tag in ("head", "title") or c.tag in skip
+        if event == "open":
+            hidden += quiet
+            parts.append([])
+            continue
+        hidden -= quiet
+        inner = "".join(parts.pop())
+        if c.tag in ("b", "strong") and inner.strip():
+            inner = f"**{inner.strip()}**"
+        elif c.tag in ("i", "em") and inner.strip():
+            inner = f"*{inner.strip()}*"
+        elif c.tag == "a" and inner.strip() and c.attrs.get("href"):
+            inner = f"[{inner.strip()}]({c.attrs['href']})"
+        elif c.tag == "br":
+            inner = "\n"
+        if not hidden:
+            parts[-1].append(inner)
+    return "".join(parts[0])
 
 
 def _norm(s: str) -> str:
     return " ".join(s.split())
 
 
+LISTS = frozenset(["ul", "ol"])
+HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
+BLOCKS = LISTS | HEADINGS | frozenset("p table div section article main aside header footer form blockquote pre dl figure body html".split())
+
+
+def _list_lines(top: Node) -> list[str]:
+    """Items of a list and of the lists in it, these indented."""
+    lines, todo = [], [(top, 0, iter(top.children), [0])]
+    while todo:
+        own, depth, rest, number = todo[-1]
+        c = next(rest, None)
+        if c is None:
+            todo.pop()
+        elif isinstance(c, Node) and c.tag in LISTS:
+            todo.append((c, depth + 1, iter(c.children), [0]))
+        elif isinstance(c, Node) and c.tag == "li":
+            number[0] += 1
+            t = _norm(_inline(c, LISTS))
+            if t:
+                lines.append("  " * depth + (f"{number[0]}. " if own.tag == "ol" else "- ") + t)
+            inner = [x for x in c.children if isinstance(x, Node) and x.tag in LISTS]
+            todo += [(x, depth + 1, iter(x.children), [0]) for x in reversed(inner)]
+    return lines
+
+
+def _table_lines(table: Node) -> list[str]:
+    lines = []
+    for r in (x for x in iter_nodes(table) if x.tag == "tr"):
+        cells = [_norm(_inline(x)) for x in r.children if isinstance(x, Node) and x.tag in ("td", "th")]
+        lines.append("| " + " | ".join(cells) + " |")
+        if len(lines) == 1:
+            lines.append("|" + "|".join(["---"] * max(len(cells), 1)) + "|")
+    return lines
+
+
 def to_markdown(root: Node) -> str:
-    """Headings, paragraphs, lists, tables and emphasis to Markdown."""
-    out = []
-
-    def block(n: Node, depth=0):
-        for c in n.children:
-            if not isinstance(c, Node):
-                t = _norm(c)
-                if t:
-                    out.append(t)
-                continue
-            tag = c.tag
-            if tag in RAW or tag in ("head", "title", "nav", "img"):
-                continue
-            if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                t = _norm(_inline(c))
-                if t:
-                    out.append("#" * int(tag[1]) + " " + t)
-            elif tag == "p":
-                t = _norm(_inline(c))
-                if t:
-                    out.append(t)
-            elif tag in ("ul", "ol"):
-                items = [x for x in c.children if isinstance(x, Node) and x.tag == "li"]
-                lines = []
-                for i, li in enumerate(items, 1):
-                    t = _norm(_inline(li))
-                    if t:
-                        lines.append(("  " * depth) + (f"{i}. " if tag == "ol" else "- ") + t)
-                if lines:
-                    out.append("\n".join(lines))
-            elif tag == "table":
-                rows = [r for r in iter_nodes(c) if r.tag == "tr"]
-                lines = []
-                for ri, r in enumerate(rows):
-                    cells = [_norm(_inline(x)) for x in r.children if isinstance(x, Node) and x.tag in ("td", "th")]
-                    lines.append("| " + " | ".join(cells) + " |")
-                    if ri == 0:
-                        lines.append("|" + "|".join(["---"] * max(len(cells), 1)) + "|")
-                if lines:
-                    out.append("\n".join(lines))
-            else:
-                block(c, depth)
-    block(root)
+    """Headings, paragraphs, lists, tables, links and emphasis to Markdown.
+
+    Text and inline elements side by side in a container are one paragraph."""
+    out, run = [], Node("#run")
+
+    def close():
+        t = _norm(_inline(run))
+        if t:
+            out.append(t)
+        run.children = []
+
+    todo = [iter(root.children)]
+    while todo:
+        c = next(todo[-1], None)
+        if c is None:
+            todo.pop()
+            close()
+            continue
+        tag = c.tag if isinstance(c, Node) else None
+        if tag is None or tag not in BLOCKS and not any(x.tag in BLOCKS for x in iter_nodes(c)):
+            if tag not in RAW and tag not in ("head", "title", "nav", "img"):
+                run.children.append(c)
+            continue
+        close()
+        if tag == "head" or tag == "nav":
+            continue
+        if tag in HEADINGS:
+            t = _norm(_inline(c))
+            out += ["#" * int(tag[1]) + " " + t] if t else []
+        elif tag in LISTS or tag == "table":
+            lines = _list_lines(c) if tag in LISTS else _table_lines(c)
+            out += ["\n".join(lines)] if lines else []
+        else:
+            todo.append(iter(c.children))
     return "\n\n".join(out)
 
 
 def html_to_markdown(html: str | None) -> str:
-    """Backslashes removed, noise dropped, then Markdown; '' on failure."""
+    """Backslashes removed, noise dropped, then Markdown."""
     if not html or not html.strip():
         return ""
-    try:
-        return to_markdown(remove_noise(parse(html.replace("\\", ""))))
-    except Exception:  # noqa: BLE001
-        return ""
+    return to_markdown(remove_noise(parse(html.replace("\\", ""))))
 
 
 def strip_noise(html: str | None) -> str:
     if not html or not html.strip():
         return ""
     return serialize(remove_noise(parse(html.replace("\\", ""))))
-
-
-def malformed(html: str | None) -> bool:
-    """Flags the empty-tag forms '</>' and '< >'."""
-    return bool(html) and ("</>" in html or "< >" in html)
