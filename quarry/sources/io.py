@@ -148,10 +148,9 @@ def upsert_chunks(store_path: str, changes: DataFrame, key: str = "chunk_id") ->
     is written to a new versioned folder next to the old one (a crash in the
     middle leaves the old version intact); returns the new path."""
     spark = changes.sparkSession
-    try:
-        base = spark.read.parquet(store_path)
-    except Exception:  # noqa: BLE001 -- first write
-        base = None
+    folder = spark._jvm.org.apache.hadoop.fs.Path(store_path)
+    exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    base = spark.read.parquet(store_path) if exists else None  # a store that cannot be read is an error
     merged = changes if base is None else upsert_latest(base, changes, key)
     new_path = f"{store_path.rstrip('/')}.v{uuid.uuid4().hex[:8]}"
     merged.write.mode("overwrite").parquet(new_path)
@@ -169,7 +168,7 @@ def fan_out_write(df: DataFrame, paths: list[str]) -> DataFrame:
             df.write.mode("overwrite").parquet(p)
             results.append((p, n, 0, None))
         except Exception as e:  # noqa: BLE001 -- one store failing does not stop the others
-            results.append((p, 0, n, str(e)[:500]))
+            results.append((p, 0, n, str(e)))
     return spark.createDataFrame(results, "store string, success long, failed long, error string")
 
 
