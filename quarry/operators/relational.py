@@ -91,7 +91,8 @@ def delete_document(store: DataFrame, ids: DataFrame, id_col: str = "id",
     (two equi anti joins instead of one OR join)."""
     k = ids.select(F.col(id_col).alias("_k")).distinct()
     kept = store.join(k, store[own] == k["_k"], "left_anti")
-    return kept.join(k, F.coalesce(kept[parent], F.lit("\u0000")) == k["_k"], "left_anti")
+    # a row without a parent gets a key of its own, so that such rows are spread
+    return kept.join(k, F.coalesce(kept[parent], F.concat(F.lit("\u0000"), kept[own])) == k["_k"], "left_anti")
 
 
 def upsert_latest(base: DataFrame, changes: DataFrame, key: str, order_col: str = "_version") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import quality as Q
-from quarry.operators.relational import upsert_latest
+from quarry.operators.relational import latest_wins, upsert_latest
 from quarry.session import scratch_path
 
 ARCHIVE_SCHEMA = "native_id string, fetched_at timestamp, data string"
@@ -112,16 +112,20 @@ def read_eval_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ sinks
-def write_valid_documents(df: DataFrame, path: str, rejects_path: str | None = None) -> DataFrame:
-    """Validate; valid rows (last write per id wins) go to ``path``
-    partitioned by decision day, rejects with their reason to
-    ``rejects_path``.  Returns the accepted rows as read back."""
+def write_valid_documents(df: DataFrame, path: str, rejects_path: str | None = None,
+                          order_col: str | None = None) -> DataFrame:
+    """Validate; valid rows go to ``path`` partitioned by decision day, rejects
+    with their reason to ``rejects_path``.  Of several valid rows of one id
+    the one with the greatest ``order_col`` is written, if that is named.
+    Returns the accepted rows as read back."""
     v = Q.validate_documents(df)
     if rejects_path:
         v.where(~F.col("is_valid")).select("NativeId", "error").write.mode("overwrite").json(rejects_path)
     good = v.where("is_valid").drop("error", "is_valid") \
         .withColumn("day", F.coalesce(F.substring("DateDecision", 1, 10), F.lit("unknown")))
-    good.write.mode("overwrite").partitionBy("day").parquet(path)
+    if order_col:
+        good = latest_wins(good, ["NativeId"], [F.col(order_col).desc()])
+    good.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("day").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -143,11 +147,17 @@ def write_embeddings(df: DataFrame, path: str, model: str, window_col: str = "wi
     return df.sparkSession.read.parquet(path)
 
 
-def upsert_chunks(store_path: str, changes: DataFrame, key: str = "chunk_id") -> str:
-    """Insert or replace rows by key.  Without a table format the new state
+def upsert_chunks(store_path: str, changes: DataFrame, key: str = "chunk_id", order_col: str | None = None) -> str:
+    """Insert or replace rows by key; of several changes to one key the one
+    with the greatest ``order_col`` wins, and without that column they are an
+    error.  Without a table format the new state
     is written to a new versioned folder next to the old one (a crash in the
     middle leaves the old version intact); returns the new path."""
     spark = changes.sparkSession
+    if order_col:
+        changes = latest_wins(changes, [key], [F.col(order_col).desc()])
+    elif changes.groupBy(key).count().where("count > 1").limit(1).count():
+        raise ValueError(f"several changes to one {key}: name the column that orders them")
     folder = spark._jvm.org.apache.hadoop.fs.Path(store_path)
     exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
     base = spark.read.parquet(store_path) if exists else None  # a store that cannot be read is an error

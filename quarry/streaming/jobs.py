@@ -46,44 +46,49 @@ def stream_redact(spark: SparkSession, source: str, schema, out: str, checkpoint
 
 def stream_embargo(spark: SparkSession, source: str, schema, out: str, checkpoint: str, cutoff: str,
                    ts_col: str = "ts") -> DataFrame:
-    """Only rows at or before the run's cut-off flow on; younger rows wait
-    (a later run with a later cut-off picks them up from its own source)."""
-    s = _read(spark, source, schema)
-    ripe = s.where(F.col(ts_col) <= F.lit(cutoff).cast("timestamp_ntz"))
-    _run(ripe.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    return spark.read.parquet(out)
+    """Rows at or before the run's cut-off.  Every row is taken once into the
+    table at ``out``, by day; a row that is too young stays there and is
+    released by the first run with a later cut-off."""
+    s = _read(spark, source, schema).withColumn("_day", F.to_date(ts_col))
+    _run(s.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+         .partitionBy("_day").trigger(availableNow=True).start())
+    limit = F.lit(cutoff).cast("timestamp_ntz")
+    return spark.read.parquet(out).where((F.col("_day") <= F.to_date(limit)) & (F.col(ts_col) <= limit)).drop("_day")
 
 
 def stream_daily_counts(spark: SparkSession, source: str, schema, out: str, checkpoint: str,
-                        ts_col: str = "ts", watermark: str = "1 day", size: str = "1 day") -> DataFrame:
-    """Tumbling event-time windows with a watermark; rows later than the
-    watermark are dropped by the engine.  Update mode + foreachBatch: each
-    micro-batch writes its updated windows under its batch id (idempotent on
-    replay); the result keeps the newest value per window."""
+                        ts_col: str = "ts", size: str = "1 day") -> DataFrame:
+    """Tumbling event-time windows.  Each micro-batch writes its own partial
+    counts under its batch id (a replay overwrites them), and a window is the
+    sum of its parts.  So no state is held, no row is too late, and neither
+    the number nor the order of files changes the result."""
     s = _event_time(_read(spark, source, schema), ts_col)
-    agg = s.withWatermark(ts_col, watermark).groupBy(F.window(ts_col, size).alias("w")).agg(
-        F.count(F.lit(1)).alias("events"), F.sum("value").alias("value_sum"))
 
     def sink(batch: DataFrame, batch_id: int):
-        batch.select(F.col("w.start").alias("window_start"), "events", "value_sum",
-                     F.lit(batch_id).alias("batch_id")) \
+        batch.groupBy(F.window(ts_col, size).alias("w")).agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value_sum")) \
+            .select(F.col("w.start").alias("window_start"), "events", "value_sum") \
             .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    _run(agg.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    res = spark.read.parquet(out)
-    return latest_wins(res, ["window_start"], [F.col("batch_id").desc()]).drop("batch_id")
+    _run(s.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return spark.read.parquet(out).groupBy("window_start").agg(
+        F.sum("events").alias("events"), F.sum("value_sum").alias("value_sum"))
 
 
 def stream_dedup(spark: SparkSession, source: str, schema, out: str, checkpoint: str, keys: list[str],
-                 ts_col: str = "ts", watermark: str = "1 day") -> DataFrame:
-    """The same key arriving twice within the watermark is kept once."""
+                 ts_col: str = "ts") -> DataFrame:
+    """The first row of each key, whenever it comes again: a micro-batch adds
+    the keys that no earlier batch has stored, its earliest row of each."""
     s = _event_time(_read(spark, source, schema), ts_col)
-    d = s.withWatermark(ts_col, watermark).dropDuplicatesWithinWatermark(keys)
-    _run(d.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    return spark.read.parquet(out)
+
+    def sink(batch: DataFrame, batch_id: int):
+        fresh = latest_wins(batch, keys, [F.col(ts_col).asc()])
+        if batch_id:  # only what earlier batches wrote, so a replay decides alike
+            stored = batch.sparkSession.read.parquet(out).where(F.col("batch_id") < batch_id).select(*keys)
+            fresh = fresh.join(stored, keys, "left_anti").select(*batch.columns)
+        fresh.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    _run(s.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return spark.read.parquet(out).drop("batch_id")
 
 
 def stream_ingest(spark: SparkSession, source: str, schema, table_path: str, checkpoint: str,
@@ -101,4 +106,5 @@ def stream_ingest(spark: SparkSession, source: str, schema, table_path: str, che
     _run(s.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     t = spark.read.parquet(table_path)
-    return latest_wins(t, [key], [F.col("batch").desc(), F.col(order_col).desc()]).drop("_batch", "batch")
+    # the newest row wins, in whichever run it came; the batch decides ties
+    return latest_wins(t, [key], [F.col(order_col).desc(), F.col("batch").desc()]).drop("_batch", "batch")
