@@ -21,7 +21,7 @@ def _nz(c) -> Column:
 
 
 # ---------------------------------------------------------------- projections
-def document_metadata(d: DataFrame, collection: str = "Helsinki Decisions") -> DataFrame:
+def document_metadata(d: DataFrame, collection: str = "decisions") -> DataFrame:
     """Fixed metadata fields of a decision (flat decision columns in)."""
     title = F.col("Title")
     src = F.when(title.isNotNull() & (title != ""), F.concat(title, F.lit(".md"))).otherwise(F.lit("Unknown Source"))

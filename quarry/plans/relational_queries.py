@@ -23,7 +23,7 @@ def _decisions(spark, sf):
 # ------------------------------------------------------------------ projections
 @register("document_metadata", sql=f"""
 WITH {DECISIONS_SQL}
-SELECT doc_id, 'Helsinki Decisions' AS collection_name,
+SELECT doc_id, 'decisions' AS collection_name,
        CASE WHEN coalesce(Title, '') <> '' THEN Title || '.md' ELSE 'Unknown Source' END AS source,
        CASE WHEN coalesce(Title, '') <> '' THEN Title || '.md' ELSE 'Unknown Source' END AS name,
        coalesce(NativeId, '') AS file_id, coalesce(NativeId, '') AS native_id, coalesce(Title, '') AS title,
@@ -112,7 +112,7 @@ def q_attachment_gate(spark, sf):
 WITH {ATTACHMENTS_SQL},
 parent AS (SELECT 'ORD-' || CAST(o_orderkey AS VARCHAR) AS native_id, o_orderpriority AS title, o_orderstatus AS organization_name,
                   strftime(o_orderdate, '%Y-%m-%d') AS date_decision FROM orders)
-SELECT a.decision_native_id, p.native_id, p.title, 'Helsinki Decisions' AS collection_name, p.title || '.md' AS source,
+SELECT a.decision_native_id, p.native_id, p.title, 'decisions' AS collection_name, p.title || '.md' AS source,
        p.date_decision, p.organization_name, true AS is_attachment,
        coalesce(nullif(a.NativeId, ''), 'att_' || CAST(a.AttachmentNumber AS VARCHAR)) AS attachment_native_id,
        coalesce(a.Title, '') AS attachment_title, CAST(coalesce(a.AttachmentNumber, 0) AS BIGINT) AS attachment_number,
