@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.session import shared_table
 
 
 def _c(c) -> Column:
@@ -109,21 +110,27 @@ def with_global_index(df: DataFrame, order_cols: list[str], index_col: str = "ro
                       num_partitions: int | None = None) -> DataFrame:
     """0-based position in a total order, without a single-partition window.
 
-    Rows are range-partitioned and sorted; each row's position inside its
-    partition comes from ``monotonically_increasing_id``; partition offsets
-    are prefix sums over one count per partition (a table as small as the
-    partition count, broadcast back).  Order keys must be unique.
+    Rows are range-partitioned, sorted and written once to the shared folder
+    with their partition and place in it; partition offsets are prefix sums
+    over one count per partition (a table as small as the partition count,
+    broadcast back).  The written table is counted and joined, so both see
+    the same partitions.  Rows with equal keys are numbered in any order.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     s = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
     s = s.withColumn("_pid", F.spark_partition_id()) \
          .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_pid", "_off")
-    return s.join(F.broadcast(offs), "_pid").withColumn(index_col, F.col("_off") + F.col("_local")) \
-        .drop("_pid", "_local", "_off")
+    s = shared_table(s, "ordered")
+    return s.join(F.broadcast(_offsets(s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")), _off="_n")), "_pid") \
+        .withColumn(index_col, F.col("_off") + F.col("_local")).drop("_pid", "_local", "_off")
+
+
+def _offsets(per_partition: DataFrame, **sums: str) -> DataFrame:
+    """Sums over all partitions before each one (a row per partition)."""
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    return per_partition.select("_pid", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(name)
+                                          for name, c in sums.items()])
 
 
 def assign_batches(df: DataFrame, order_cols: list[str], batch_size: int) -> DataFrame:
@@ -138,15 +145,12 @@ def running_totals(df: DataFrame, order_cols: list[str], value_col: str, out: st
     """Running sum in a total order (prefix sums per partition + offsets)."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
+    s = shared_table(df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id()), "ordered")
     w_local = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("_local_sum", F.sum(value_col).over(w_local)) \
-         .withColumn("_local_n", F.count(F.lit(1)).over(w_local))
     tot = s.groupBy("_pid").agg(F.sum(value_col).alias("_t"), F.count(F.lit(1)).alias("_c"))
-    wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("_pid", F.coalesce(F.sum("_t").over(wo), F.lit(0)).alias("_off"),
-                      F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_offn"))
-    r = s.join(F.broadcast(offs), "_pid")
+    r = s.withColumn("_local_sum", F.sum(value_col).over(w_local)) \
+         .withColumn("_local_n", F.count(F.lit(1)).over(w_local)) \
+         .join(F.broadcast(_offsets(tot, _off="_t", _offn="_c")), "_pid")
     return r.withColumn(out, F.col("_off") + F.col("_local_sum")) \
         .withColumn("item_no", (F.col("_offn") + F.col("_local_n")).cast("long")) \
         .drop("_pid", "_local_sum", "_local_n", "_off", "_offn")
@@ -168,7 +172,3 @@ def distinct_by_min(df: DataFrame, key_col: str, id_col: str) -> DataFrame:
     others = [c for c in df.columns if c not in (key_col, id_col)]
     return df.groupBy(key_col).agg(F.min(id_col).alias(id_col),
                                    *[F.min_by(c, F.col(id_col)).alias(c) for c in others])
-
-
-def markdown_gate(df: DataFrame, text_col: str) -> DataFrame:
-    return df.withColumn("markdown_ok", T.markdown_ok(text_col))

@@ -1,27 +1,33 @@
-"""Vector retrieval: exact cosine top-k, per-group top-k, relevance threshold.
-
-Exact k-NN is a block-nested scoring: the query side is cut into blocks
-whose size is checked against ``max_block_bytes``; each block is broadcast
-once and every corpus partition scores its rows against it with one NumPy
-matrix product per Arrow batch, emitting only the local top-k candidates per
-query (ties at the k-th score included, so the result stays exact).  Only
-those candidates are shuffled -- by query id -- to the final ranking
-(``row_number`` with WindowGroupLimit).  No pair table is ever materialised
-and no corpus row is shuffled.
+"""Vector retrieval: exact and approximate cosine top-k, score pairs, per-group top-k.
+
+The query side is cut into blocks of at most ``max_block_bytes``.  One block
+at a time is broadcast; every corpus partition scores its rows against it
+with NumPy products of bounded size and emits only its best rows per query
+(ties at the k-th score included, so an exact search stays exact).  With
+several blocks, each block's candidates are written to the shared folder
+and its broadcast is destroyed before the next block is read, so the driver
+holds one block, whatever the number of queries.  Only candidates are
+shuffled, by query id, to the final ranking (``row_number`` with
+WindowGroupLimit); corpus rows stay where they are and no pair table exists.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.operators.relational import with_global_index
+from quarry.session import shared_table
+
 SCORE_DECIMALS = 6
-DEFAULT_MAX_BLOCK_BYTES = 256 * 1024 * 1024
+DEFAULT_MAX_BLOCK_BYTES = 64 * 1024 * 1024
+#: Scores held at once by one task (32 MiB of doubles).
+MAX_SCORES = 1 << 22
 
 
 def top_k_per_group(df: DataFrame, group_cols, order_cols, k: int,
@@ -37,70 +43,103 @@ def relevance_threshold(df: DataFrame, score_col: str = "score", threshold: floa
     return df.where(F.col(score_col) >= threshold)
 
 
-def _query_blocks(queries: DataFrame, qid: str, vec: str, max_block_bytes: int):
-    """Yield pandas blocks of (qid, vector) whose size is within the limit."""
-    stats = queries.agg(F.count(F.lit(1)).alias("n"),
-                        F.coalesce(F.max(F.size(vec)), F.lit(0)).alias("d")).first()
-    n, d = int(stats["n"]), int(stats["d"])
-    if n == 0:
-        return
-    row_bytes = max(d, 1) * 8 + 64
-    per_block = max(1, max_block_bytes // row_bytes)
-    n_blocks = -(-n // per_block)
-    if n_blocks == 1:
-        yield queries.select(qid, vec).toPandas()
-        return
-    # Hash blocks; each is checked again before it is pulled to the driver.
-    keyed = queries.select(qid, vec, F.pmod(F.xxhash64(qid), F.lit(n_blocks)).alias("_blk"))
-    for b in range(n_blocks):
-        part = keyed.where(F.col("_blk") == b).drop("_blk")
-        cnt = part.count()
-        if cnt * row_bytes > 2 * max_block_bytes:
-            raise ValueError("query block exceeds its size bound; lower max_block_bytes")
-        yield part.toPandas()
-
-
-def _score_partitions(corpus: DataFrame, block: pd.DataFrame, qid: str, cid: str, vec: str,
-                      k: int, carry: list[str], out_schema: T.StructType) -> DataFrame:
-    spark = corpus.sparkSession
-    q_ids = block[qid].to_numpy()
-    q_mat = np.vstack([np.asarray(v, dtype=np.float64) for v in block[vec]]) if len(block) else \
-        np.zeros((0, 0))
-    q_norm = np.linalg.norm(q_mat, axis=1)
-    ok = q_norm > 0
-    q_ids, q_mat, q_norm = q_ids[ok], q_mat[ok] / q_norm[ok, None], q_norm[ok]
-    bc = spark.sparkContext.broadcast((q_ids, q_mat))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, mat = bc.value
+def _unit_rows(vectors: pd.Series, dims: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which vectors can be scored (present, of ``dims`` numbers, not zero),
+    and those as unit rows."""
+    ok = vectors.map(lambda v: v is not None and (dims is None or len(v) == dims)).to_numpy(dtype=bool)
+    if not ok.any():
+        return ok, np.zeros((0, dims or 0))
+    m = np.vstack([np.asarray(v, dtype=np.float64) for v in vectors[ok]])
+    norm = np.linalg.norm(m, axis=1)
+    ok[ok] = norm > 0
+    return ok, m[norm > 0] / norm[norm > 0, None]
+
+
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) places of the k best scores per query, ties included."""
+    n = scores.shape[1]
+    if n <= k:
+        return np.nonzero(np.ones_like(scores, dtype=bool))
+    kth = np.partition(scores, n - k, axis=1)[:, n - k]
+    return np.nonzero(scores >= kth[:, None])
+
+
+def _score(corpus: DataFrame, block: pd.DataFrame, qid: str, cid: str, vec: str, carry: list[str],
+           schema: T.StructType, pick: Callable, wanted: Callable | None = None):
+    """Rows of ``corpus`` that ``pick`` takes for the queries of a block.
+
+    ``wanted(unit query rows)`` may name the cells each query looks into (a
+    boolean matrix); then only rows whose ``_cell`` is among them are scored.
+    Returns the hits and the broadcast to destroy.
+    """
+    ok, mat = _unit_rows(block[vec])
+    ids = block[qid].to_numpy()[ok]
+    cells = None if wanted is None else wanted(mat)
+    if cells is not None:  # reaches the scan: files and row groups are sorted by cell
+        corpus = corpus.where(F.col("_cell").isin([int(c) for c in np.nonzero(cells.any(axis=0))[0]]))
+    shared = corpus.sparkSession.sparkContext.broadcast((ids, mat, cells))
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, mat, cells = shared.value
         for pdf in batches:
             if len(pdf) == 0 or len(ids) == 0:
                 continue
-            vecs = pdf[vec]
-            good = vecs.map(lambda v: v is not None and len(v) == mat.shape[1]).to_numpy()
-            if not good.any():
-                continue
+            good, unit = _unit_rows(pdf[vec], mat.shape[1])
             pdf = pdf[good]
-            m = np.vstack(pdf[vec].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-            norms = np.linalg.norm(m, axis=1)
-            nz = norms > 0
-            if not nz.any():
-                continue
-            pdf, m, norms = pdf[nz], m[nz], norms[nz]
-            s = (mat @ m.T) / norms[None, :]              # (queries, rows)
-            r = np.round(s, SCORE_DECIMALS)
-            nb = r.shape[1]
-            if nb > k:
-                kth = np.partition(r, nb - k, axis=1)[:, nb - k]
-                qi, ri = np.nonzero(r >= kth[:, None])
-            else:
-                qi, ri = np.nonzero(np.ones_like(r, dtype=bool))
-            out = {"_qid": ids[qi], "_cid": pdf[cid].to_numpy()[ri], "_score": s[qi, ri]}
-            for c in carry:
-                out[c] = pdf[c].to_numpy()[ri]
-            yield pd.DataFrame(out)
-
-    return corpus.select(cid, vec, *carry).mapInPandas(score, out_schema)
+            parts = [(pdf, unit, np.arange(len(ids)))]
+            if cells is not None:
+                of_row = pdf["_cell"].to_numpy()
+                parts = [(pdf[of_row == c], unit[of_row == c], np.nonzero(cells[:, c])[0]) for c in np.unique(of_row)]
+            for part, unit, who in parts:
+                step = max(1, MAX_SCORES // max(1, len(part)))
+                for at in range(0, len(who) if len(part) else 0, step):
+                    s = mat[who[at:at + step]] @ unit.T
+                    qi, ri = pick(np.round(s, SCORE_DECIMALS))
+                    out = {"_qid": ids[who[at + qi]], "_cid": part[cid].to_numpy()[ri], "_score": s[qi, ri]}
+                    out.update({c: part[c].to_numpy()[ri] for c in carry})
+                    yield pd.DataFrame(out)
+
+    extra = [] if cells is None else ["_cell"]
+    return corpus.select(cid, vec, *carry, *extra).mapInPandas(rows, schema), shared
+
+
+def _hits(corpus: DataFrame, queries: DataFrame, qid: str, cid: str, vec: str, query_vec: str | None,
+          carry: list[str], max_block_bytes: int, pick: Callable, cut: Callable,
+          wanted: Callable | None = None) -> DataFrame:
+    """Scored rows of all queries; ``cut`` shrinks what a block stores."""
+    spark = corpus.sparkSession
+    schema = T.StructType([T.StructField("_qid", queries.schema[qid].dataType),
+                           T.StructField("_cid", corpus.schema[cid].dataType),
+                           T.StructField("_score", T.DoubleType()),
+                           *[T.StructField(c, corpus.schema[c].dataType) for c in carry]])
+    queries = queries.select(F.col(qid), F.col(query_vec or vec).alias(vec))
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(vec)), F.lit(0)).alias("d")).first()
+    per_block = max(1, max_block_bytes // (max(size["d"], 1) * 8 + 64))
+    if size["n"] <= per_block:
+        return _score(corpus, queries.toPandas(), qid, cid, vec, carry, schema, pick, wanted)[0]
+    numbered = shared_table(with_global_index(queries, [qid], "_at").withColumn(
+        "_block", F.floor(F.col("_at") / per_block).cast("long")).drop("_at"), "query-blocks", "_block")
+    if wanted is None:  # scanned once per block: what computed the corpus runs once
+        corpus = shared_table(corpus.select(cid, vec, *carry), "corpus")
+    found = None
+    for b in range(-(-size["n"] // per_block)):
+        block = numbered.where(F.col("_block") == b).drop("_block").toPandas()  # per_block rows at most
+        hits, shared = _score(corpus, block, qid, cid, vec, carry, schema, pick, wanted)
+        part = shared_table(cut(hits), "block-hits")
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _ranked(corpus, queries, k, qid, cid, vec, query_vec, carry, max_block_bytes, wanted=None) -> DataFrame:
+    def cut(hits):
+        hits = hits.withColumn("_score", F.round("_score", SCORE_DECIMALS))
+        return top_k_per_group(hits, ["_qid"], [F.col("_score").desc(), F.col("_cid").asc()], k)
+
+    found = _hits(corpus, queries, qid, cid, vec, query_vec, carry, max_block_bytes,
+                  lambda s: _best(s, k), lambda h: cut(h).drop("rank"), wanted)
+    return cut(found).select(F.col("_qid").alias(qid), F.col("_cid").alias(cid), *carry,
+                             F.col("_score").alias("score"), "rank")
 
 
 def knn_search(corpus: DataFrame, queries: DataFrame, k: int = 10, *, qid: str = "qid",
@@ -112,131 +151,112 @@ def knn_search(corpus: DataFrame, queries: DataFrame, k: int = 10, *, qid: str =
     Output: qid, cid, carry..., score (rounded to 6), rank (1..k); order by
     score desc then corpus id.  Zero-norm vectors never match.
     """
-    carry = list(carry or [])
-    query_vec = query_vec or vec
-    qtype = queries.schema[qid].dataType
-    ctype = corpus.schema[cid].dataType
-    fields = [T.StructField("_qid", qtype), T.StructField("_cid", ctype),
-              T.StructField("_score", T.DoubleType())]
-    fields += [T.StructField(c, corpus.schema[c].dataType) for c in carry]
-    out_schema = T.StructType(fields)
-    qsel = queries.select(F.col(qid), F.col(query_vec).alias(vec))
-    parts = [_score_partitions(corpus, blk, qid, cid, vec, k, carry, out_schema)
-             for blk in _query_blocks(qsel, qid, vec, max_block_bytes)]
-    if not parts:
-        return corpus.sparkSession.createDataFrame([], out_schema) \
-            .withColumnRenamed("_qid", qid).withColumnRenamed("_cid", cid) \
-            .withColumnRenamed("_score", "score").withColumn("rank", F.lit(0))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    cand = cand.withColumn("_score", F.round("_score", SCORE_DECIMALS))
-    ranked = top_k_per_group(cand, ["_qid"], [F.col("_score").desc(), F.col("_cid").asc()], k)
-    return ranked.select(F.col("_qid").alias(qid), F.col("_cid").alias(cid), *carry,
-                         F.col("_score").alias("score"), F.col("rank"))
-
-
-def score_column(a, b) -> Column:
-    """Row-wise cosine for already paired vectors (see functions.vectors)."""
-    from quarry.functions.vectors import cosine
-    return cosine(a, b)
+    return _ranked(corpus, queries, k, qid, cid, vec, query_vec, list(carry or []), max_block_bytes)
 
 
 def score_pairs(corpus: DataFrame, queries: DataFrame, min_score: float, *, qid: str = "qid",
                 cid: str = "chunk_id", vec: str = "embedding", query_vec: str | None = None,
                 carry: list[str] | None = None,
                 max_block_bytes: int = DEFAULT_MAX_BLOCK_BYTES) -> DataFrame:
-    """Every (query, corpus row) pair whose cosine is >= ``min_score``.
+    """Every (query, corpus row) pair whose cosine is >= ``min_score``: as
+    ``knn_search`` with a threshold in place of a rank, so nothing is shuffled."""
+    carry = list(carry or [])
+    found = _hits(corpus, queries, qid, cid, vec, query_vec, carry, max_block_bytes,
+                  lambda s: np.nonzero(s >= min_score), lambda h: h)
+    return found.select(F.col("_qid").alias(qid), F.col("_cid").alias(cid), *carry,
+                        F.round("_score", SCORE_DECIMALS).alias("score"))
+
+
+class CellIndex:
+    """Approximate top-k: unit vectors in cells around spherical k-means centres.
 
-    Same block-broadcast scoring as ``knn_search`` but the cut is a score
-    threshold instead of a rank, so nothing is shuffled at all: each corpus
-    partition emits its qualifying pairs directly.
+    The centres (``n_cells``, by default the square root of the row count, at
+    most 4,096) are fitted on about ``sample_rows`` rows, those whose id has a
+    hash below that share.  Every row is then assigned to its nearest centre
+    and the table is written sorted by cell, cells of any size cut into
+    several files.  A query looks into its nearest cells only, and the scan
+    skips the row groups of the others.
+
+    How many cells: the fewest with which ``recall`` of the exact k nearest
+    sample rows are found for 256 queries of the block; and always enough to
+    hold k rows.
     """
-    carry = list(carry or [])
-    query_vec = query_vec or vec
-    fields = [T.StructField("_qid", queries.schema[qid].dataType),
-              T.StructField("_cid", corpus.schema[cid].dataType), T.StructField("_score", T.DoubleType())]
-    fields += [T.StructField(c, corpus.schema[c].dataType) for c in carry]
-    out_schema = T.StructType(fields)
-    qsel = queries.select(F.col(qid), F.col(query_vec).alias(vec))
-    spark = corpus.sparkSession
-    parts = []
-    for blk in _query_blocks(qsel, qid, vec, max_block_bytes):
-        q_ids = blk[qid].to_numpy()
-        q_mat = np.vstack([np.asarray(v, dtype=np.float64) for v in blk[vec]])
-        qn = np.linalg.norm(q_mat, axis=1)
-        ok = qn > 0
-        bc = spark.sparkContext.broadcast((q_ids[ok], q_mat[ok] / qn[ok, None]))
-
-        def pairs(batches, bc=bc):
-            ids, mat = bc.value
+
+    def __init__(self, corpus: DataFrame, *, cid: str = "chunk_id", vec: str = "embedding",
+                 keep: tuple[str, ...] = (), n_cells: int | None = None, sample_rows: int = 20_000, seed: int = 7):
+        self.cid, self.vec, self.keep = cid, vec, list(keep)
+        n = corpus.count()
+        sample = _id_share(corpus.select(cid, vec), cid, sample_rows, n).toPandas()
+        _, self.sample = _unit_rows(sample[vec])
+        if not len(self.sample):
+            _, self.sample = _unit_rows(corpus.where(F.col(vec).isNotNull()).select(vec).limit(sample_rows).toPandas()[vec])
+        wanted = n_cells or min(4096, max(1, round(n ** 0.5)))
+        self.centres = _centres(self.sample, min(wanted, len(self.sample)), seed)
+        centres = self.centres
+        schema = T.StructType([corpus.schema[cid], corpus.schema[vec], *[corpus.schema[c] for c in self.keep],
+                               T.StructField("_cell", T.IntegerType())])
+
+        def assign(batches):
             for pdf in batches:
-                if len(pdf) == 0 or len(ids) == 0:
-                    continue
-                good = pdf[vec].map(lambda v: v is not None and len(v) == mat.shape[1]).to_numpy()
-                pdf = pdf[good]
-                if len(pdf) == 0:
-                    continue
-                m = np.vstack(pdf[vec].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-                norms = np.linalg.norm(m, axis=1)
-                nz = norms > 0
-                pdf, m, norms = pdf[nz], m[nz], norms[nz]
-                if len(pdf) == 0:
-                    continue
-                s = (mat @ m.T) / norms[None, :]
-                qi, ri = np.nonzero(np.round(s, SCORE_DECIMALS) >= min_score)
-                out = {"_qid": ids[qi], "_cid": pdf[cid].to_numpy()[ri], "_score": s[qi, ri]}
-                for c in carry:
-                    out[c] = pdf[c].to_numpy()[ri]
-                yield pd.DataFrame(out)
-        parts.append(corpus.select(cid, vec, *carry).mapInPandas(pairs, out_schema))
-    if not parts:
-        return spark.createDataFrame([], out_schema)
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res.select(F.col("_qid").alias(qid), F.col("_cid").alias(cid), *carry,
-                      F.round("_score", SCORE_DECIMALS).alias("score"))
-
-
-def lsh_band_keys(df: DataFrame, id_col: str, vec: str, dims: int, bands: int = 4, bits: int = 8,
-                  seed: int = 7) -> DataFrame:
-    """Random-hyperplane LSH: one row per (id, band) with a key of ``bits``
-    sign bits.  The hyperplanes are a fixed, seeded (bands·bits × dims)
-    matrix -- a constant as small as the parameters, not the data -- and the
-    projection is one NumPy product per Arrow batch."""
-    planes = np.random.default_rng(seed).standard_normal((bands * bits, dims))
-    weights = (1 << np.arange(bits)).astype(np.int64)
-    id_type = df.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, id_type), T.StructField("band", T.IntegerType()),
-                           T.StructField("key", T.LongType())])
-
-    def keys(batches):
-        for pdf in batches:
-            pdf = pdf[pdf[vec].map(lambda v: v is not None and len(v) == dims)]
-            if len(pdf) == 0:
-                continue
-            m = np.vstack(pdf[vec].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-            sign = (m @ planes.T >= 0).reshape(len(pdf), bands, bits)
-            k = (sign * weights).sum(axis=2)                      # (rows, bands)
-            yield pd.DataFrame({id_col: np.repeat(pdf[id_col].to_numpy(), bands),
-                                "band": np.tile(np.arange(bands, dtype=np.int32), len(pdf)),
-                                "key": k.reshape(-1).astype(np.int64)})
-    return df.select(id_col, vec).mapInPandas(keys, schema)
-
-
-def approx_knn(corpus: DataFrame, queries: DataFrame, k: int, dims: int, *, qid: str = "qid",
-               cid: str = "chunk_id", vec: str = "embedding", bands: int = 4, bits: int = 8,
-               seed: int = 7) -> DataFrame:
-    """Approximate top-k: candidates share at least one LSH band key with the
-    query (equi-join on (band, key)), then exact cosine re-rank of the
-    distinct candidate pairs."""
-    from quarry.functions.vectors import cosine
-    ck = lsh_band_keys(corpus, cid, vec, dims, bands, bits, seed)
-    qk = lsh_band_keys(queries, qid, vec, dims, bands, bits, seed)
-    cand = qk.join(ck, ["band", "key"]).select(qid, cid).distinct()
-    cand = cand.join(queries.select(qid, F.col(vec).alias("_qv")), qid) \
-        .join(corpus.select(cid, vec), cid)
-    scored = cand.select(qid, cid, F.round(cosine(vec, "_qv"), SCORE_DECIMALS).alias("score"))
-    return top_k_per_group(scored.where(F.col("score").isNotNull()), [qid],
-                           [F.col("score").desc(), F.col(cid).asc()], k)
+                ok, unit = _unit_rows(pdf[vec], centres.shape[1])
+                if ok.any():
+                    yield pdf[ok].assign(_cell=(unit @ centres.T).argmax(axis=1).astype(np.int32))
+
+        rows = corpus.select(cid, vec, *self.keep).mapInPandas(assign, schema)
+        self.rows = shared_table(rows.repartitionByRange("_cell", cid).sortWithinPartitions("_cell"), "cells")
+        self.sizes = np.zeros(len(centres), dtype=np.int64)
+        for r in self.rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per cell
+            self.sizes[r["_cell"]] = r["n"]
+
+    def _probes(self, unit: np.ndarray, k: int, recall: float) -> int:
+        """The fewest nearest cells with which the sample's recall is reached."""
+        unit = unit[:256]
+        top = np.argsort(-(unit @ self.sample.T), axis=1)[:, :k]
+        cell = (self.sample @ self.centres.T).argmax(axis=1)
+        place = np.argsort(np.argsort(-(unit @ self.centres.T), axis=1), axis=1)
+        needed = np.sort(np.take_along_axis(place, cell[top], axis=1).ravel()) + 1
+        return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) if len(needed) else 1
+
+    def search(self, queries: DataFrame, k: int = 10, *, qid: str = "qid", query_vec: str | None = None,
+               recall: float = 0.95, max_block_bytes: int = DEFAULT_MAX_BLOCK_BYTES) -> DataFrame:
+        """Output as ``knn_search``; k rows per query if the index has as many."""
+        def wanted(unit: np.ndarray) -> np.ndarray:
+            if not len(unit):
+                return np.zeros((0, len(self.centres)), dtype=bool)
+            order = np.argsort(-(unit @ self.centres.T), axis=1)
+            probes = self._probes(unit, k, recall)
+            before = np.cumsum(self.sizes[order], axis=1) - self.sizes[order]
+            take = (np.arange(order.shape[1])[None, :] < probes) | (before < k)
+            cells = np.zeros(order.shape, dtype=bool)
+            np.put_along_axis(cells, order, take, axis=1)
+            return cells
+
+        if not len(self.centres):
+            wanted = None
+        return _ranked(self.rows, queries, k, qid, self.cid, self.vec, query_vec, self.keep, max_block_bytes, wanted)
+
+
+def _id_share(df: DataFrame, cid: str, rows: int, n: int) -> DataFrame:
+    """About ``rows`` of ``n`` rows, by the hash of the id (never more than twice)."""
+    if n <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(cid), F.lit(1 << 30)) < (rows << 30) // n).limit(2 * rows)
+
+
+def _centres(unit: np.ndarray, n_cells: int, seed: int, rounds: int = 10) -> np.ndarray:
+    """Spherical k-means of the sample."""
+    rng = np.random.default_rng(seed)
+    centres = unit[rng.choice(len(unit), n_cells, replace=False)] if n_cells else unit
+    for _ in range(rounds if n_cells else 0):
+        near = (unit @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, unit)
+        norm = np.linalg.norm(sums, axis=1)
+        centres = np.where(norm[:, None] > 0, sums / np.where(norm > 0, norm, 1)[:, None], centres)
+    return centres
+
+
+def approx_knn(corpus: DataFrame, queries: DataFrame, k: int, *, qid: str = "qid", cid: str = "chunk_id",
+               vec: str = "embedding", recall: float = 0.95, n_cells: int | None = None) -> DataFrame:
+    """Approximate top-k by a ``CellIndex`` built for this one search."""
+    return CellIndex(corpus, cid=cid, vec=vec, n_cells=n_cells).search(queries, k, qid=qid, recall=recall)

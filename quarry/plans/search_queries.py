@@ -30,9 +30,6 @@ from quarry.operators import retrieval  # noqa: E402
 from quarry.plans.sql_fragments import bucket_sql, tokens_sql  # noqa: E402
 from quarry.sources.decisions import DECISIONS_SQL, decisions_from_documents  # noqa: E402
 
-_TOPK_SQL = ORACLES_TOPK = None
-
-
 def _topk_sql(k: int, extra_select: str = "", extra_join: str = "") -> str:
     return f"""
 WITH {CHUNK_TOKENS_CTE}, {QUERY_BUCKETS_CTE},
@@ -115,10 +112,11 @@ def q_score_pairs(spark, sf):
 
 @register("approx_knn")
 def q_approx_knn(spark, sf):
-    """LSH candidates + exact re-rank (rows-only check; recall is tested)."""
+    """Cells probed until the sample's recall is 0.95 (recall against the exact search is tested)."""
     emb = table(spark, sf, "embeddings")
     q = search.query_vectors(table(spark, sf, "benchmark"))
-    return retrieval.approx_knn(emb, q, 10, 64, qid="item_id", cid="vec_id", vec="embedding")
+    return retrieval.approx_knn(emb, q, 10, qid="item_id", cid="vec_id") \
+        .select("item_id", F.col("rank").cast("long").alias("rank"), "vec_id", "score")
 
 
 @register("hash_embed", sql=f"""

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators assume (UTC timestamps, AQE, Arrow batches).
 DEFAULT_CONF = {
@@ -60,3 +61,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+def shared_table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """Write ``df`` as a new Parquet table below the shared folder and read it
+    back: what computed it runs once, and a lost executor does not rerun it."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

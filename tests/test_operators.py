@@ -8,6 +8,7 @@ from quarry.functions import html as H
 from quarry.functions import text as T
 from quarry.operators import chunking
 from quarry.operators.paragraph_chunker import ChunkSettings, pack, paragraph_chunks
+from tests.conftest import SF
 
 
 def _one(spark, expr, value, schema="t string"):
@@ -149,18 +150,41 @@ def test_page_entries(spark):
 
 
 # ---------------------------------------------------------------- retrieval
-def test_approx_knn_recall(spark):
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_approx_knn_recall(spark, sf):
+    from quarry.operators import retrieval
+    from quarry.plans import search
+    emb = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    q = search.query_vectors(spark.read.parquet(f"/root/testdata/{sf}/benchmark.parquet"))
+    exact = retrieval.knn_search(emb, q, 10, qid="item_id", cid="vec_id").select("item_id", "vec_id").collect()
+    approx = retrieval.approx_knn(emb, q, 10, qid="item_id", cid="vec_id").select("item_id", "vec_id").collect()
+    e, a = {tuple(r) for r in exact}, {tuple(r) for r in approx}
+    assert len(a) == len(approx) == len(exact)
+    assert len(e & a) / len(e) >= 0.9
+
+
+def test_knn_many_blocks_equal_one(spark):
     from quarry.operators import retrieval
     from quarry.plans import search
-    from tests.conftest import SF
     emb = spark.read.parquet(f"{SF}/embeddings.parquet")
     q = search.query_vectors(spark.read.parquet(f"{SF}/benchmark.parquet"))
-    exact = retrieval.knn_search(emb, q, 10, qid="item_id", cid="vec_id").select("item_id", "vec_id").collect()
-    approx = retrieval.approx_knn(emb, q, 10, 64, qid="item_id", cid="vec_id", bands=8, bits=4) \
-        .select("item_id", "vec_id").collect()
-    e = {(r[0], r[1]) for r in exact}
-    a = {(r[0], r[1]) for r in approx}
-    assert len(e & a) / len(e) >= 0.5
+    names = {"qid": "item_id", "cid": "vec_id"}
+    small = (64 * 8 + 64) * 15  # 15 queries a block
+    for run in (lambda **o: retrieval.knn_search(emb, q, 3, **names, **o),
+                lambda **o: retrieval.score_pairs(emb, q, 0.2, **names, **o)):
+        assert sorted(map(tuple, run().collect())) == sorted(map(tuple, run(max_block_bytes=small).collect()))
+
+
+def test_knn_skips_what_cannot_be_scored(spark):
+    from quarry.operators import retrieval
+    schema = "chunk_id string, embedding array<double>"
+    corpus = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [0.0, 0.0]), ("d", [1.0])], schema)
+    q = spark.createDataFrame([(1, [2.0, 0.0]), (2, None), (3, [0.0, 0.0])], "qid int, embedding array<double>")
+    for search in (retrieval.knn_search, retrieval.approx_knn):
+        assert [(r["qid"], r["chunk_id"], r["score"]) for r in search(corpus.limit(3), q, 5).collect()] == [(1, "a", 1.0)]
+        assert search(corpus.limit(0), q, 5).count() == 0
+        assert search(corpus.limit(3), q.limit(0), 5).count() == 0
+    assert retrieval.knn_search(corpus, q, 5).count() == 1
 
 
 def test_knn_ties_are_exact(spark):
