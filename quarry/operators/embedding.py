@@ -10,25 +10,37 @@ from pyspark.sql import types as T
 
 
 def embed_texts(df: DataFrame, text_col: str, id_col: str, embed_fn: Callable[[list[str]], list],
-                batch_size: int = 100, model: str = "plugin") -> DataFrame:
+                batch_size: int = 100, model: str = "plugin", keep: tuple[str, ...] = ()) -> DataFrame:
     """Call ``embed_fn`` on batches of ``batch_size`` texts per partition.
 
-    Empty texts get no embedding; a batch whose call fails is skipped (its
-    rows are absent, so a later inner join drops them and an anti join
-    lists them for a retry).  ``tokens_used`` = int(words * 1.3).
+    One row per input row: id, embedding, model, tokens_used (int(words *
+    1.3)), error, and the ``keep`` columns, so no join brings them back.  The
+    texts of a batch that fails are tried one by one; a text that fails alone
+    or is blank has a null embedding and its ``error``, ready for a retry.
     """
+    columns = list(dict.fromkeys([id_col, text_col, *keep]))
     schema = T.StructType([df.schema[id_col], T.StructField("embedding", T.ArrayType(T.DoubleType())),
-                           T.StructField("model", T.StringType()), T.StructField("tokens_used", T.LongType())])
+                           T.StructField("model", T.StringType()), T.StructField("tokens_used", T.LongType()),
+                           T.StructField("error", T.StringType()), *[df.schema[c] for c in keep]])
+
+    def embedded(texts: list[str]) -> list[tuple]:
+        try:
+            return [(v, None) for v in embed_fn(texts)]
+        except Exception as e:  # noqa: BLE001 -- whatever the plugin raises is the row's error
+            if len(texts) == 1:
+                return [(None, f"{type(e).__name__}: {e}")]
+            return [embedded([t])[0] for t in texts]
 
     def run(batches):
         for pdf in batches:
-            pdf = pdf[pdf[text_col].map(lambda t: bool(t and t.strip()))]
-            for start in range(0, len(pdf), batch_size):
-                part = pdf.iloc[start:start + batch_size]
-                try:
-                    vecs = embed_fn(part[text_col].tolist())
-                except Exception:  # noqa: BLE001 -- a failed batch is skipped, as specified
-                    continue
-                yield pd.DataFrame({id_col: part[id_col].to_numpy(), "embedding": vecs, "model": model,
-                                    "tokens_used": [int(len(t.split()) * 1.3) for t in part[text_col]]})
-    return df.select(id_col, text_col).mapInPandas(run, schema)
+            filled = [i for i, t in enumerate(pdf[text_col]) if t and t.strip()]
+            found = [(None, "empty text")] * len(pdf)
+            for at in range(0, len(filled), batch_size):
+                part = filled[at:at + batch_size]
+                for i, hit in zip(part, embedded([pdf[text_col].iloc[i] for i in part]), strict=True):
+                    found[i] = hit
+            yield pd.DataFrame({id_col: pdf[id_col], "embedding": pd.Series([v for v, _ in found], pdf.index, dtype=object),
+                                "model": model, "tokens_used": [int(len((t or "").split()) * 1.3) for t in pdf[text_col]],
+                                "error": pd.Series([e for _, e in found], pdf.index, dtype=object),
+                                **{c: pdf[c] for c in keep}})
+    return df.select(*columns).mapInPandas(run, schema)

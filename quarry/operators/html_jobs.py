@@ -26,11 +26,14 @@ def _map_html(df: DataFrame, fn, out_fields: list[T.StructField]) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-def html_to_markdown(df: DataFrame, html_col: str, out_col: str = "markdown") -> DataFrame:
+def html_to_markdown(df: DataFrame, html_col: str, out_col: str = "markdown", is_html: str | None = None) -> DataFrame:
     """Markdown of each page, then the native clean-up and quality gate:
-    a page that fails the gate yields ''."""
-    md = _map_html(df, lambda p: {"_md": [H.html_to_markdown(h) for h in p[html_col]]},
-                   [T.StructField("_md", T.StringType())])
+    a page that fails the gate yields ''.  Rows where the column ``is_html``
+    is false hold Markdown already and only pass the clean-up and gate."""
+    def convert(p):
+        flags = p[is_html] if is_html else [True] * len(p)
+        return {"_md": [H.html_to_markdown(h) if f else h for h, f in zip(p[html_col], flags)]}
+    md = _map_html(df, convert, [T.StructField("_md", T.StringType())])
     cleaned = TX.clean_markdown("_md")
     return md.withColumn("_md", cleaned) \
         .withColumn(out_col, F.when(TX.markdown_ok("_md"), F.col("_md")).otherwise(F.lit(""))).drop("_md")
@@ -62,11 +65,14 @@ def select_text(df: DataFrame, html_col: str, selectors: dict[str, str], strip:
 
 def extract_links(pages: DataFrame, url_col: str = "url", html_col: str = "html",
                   allowed_prefix: Column | None = None) -> DataFrame:
-    """a[href] values; a leading '/' is resolved against the page's
-    scheme://host; only links under ``allowed_prefix`` (default: same host)."""
+    """href values of ``a`` elements; a leading '/' is resolved against the
+    page's scheme://host; only links under ``allowed_prefix`` (default: same host)."""
+    def hrefs(p):
+        return {"_hrefs": [[n.attrs["href"] for n in H.iter_nodes(H.parse(h)) if n.tag == "a" and n.attrs.get("href")]
+                           for h in p[html_col]]}
     base = F.regexp_extract(url_col, r"^(https?://[^/?#]+)", 1)
-    hrefs = F.regexp_extract_all(html_col, F.lit(r'href="([^"]*)"'), F.lit(1))
-    ex = pages.select("*", base.alias("_base"), F.explode(hrefs).alias("_href"))
+    found = _map_html(pages, hrefs, [T.StructField("_hrefs", T.ArrayType(T.StringType()))])
+    ex = found.select(*pages.columns, base.alias("_base"), F.explode("_hrefs").alias("_href"))
     link = F.when(F.col("_href").startswith("/"), F.concat("_base", "_href")).otherwise(F.col("_href"))
     prefix = allowed_prefix if allowed_prefix is not None else F.concat(F.col("_base"), F.lit("/"))
     return ex.withColumn("link", link).where(F.col("link").startswith(prefix)).drop("_base", "_href")

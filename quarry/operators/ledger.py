@@ -3,23 +3,26 @@ accounting, failure streaks and progress estimates."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ingest_batch_stats(df: DataFrame, batch_col: str = "batch_date", kind: str = "event_type",
-                       value: str = "value") -> DataFrame:
-    """Per batch: outcome counters; chunk sums only from successful rows."""
-    k, v = F.col(kind), F.floor(F.col(value)).cast("long")
+def ingest_batch_stats(df: DataFrame, batch_col: str = "batch_day", outcome: str = "outcome") -> DataFrame:
+    """Per batch: outcome counters, and sums of chunks (successful rows only),
+    attachments and attachment chunks.  Outcomes are 'successful', 'skipped'
+    and 'failed' with or without a reason; others count as processed."""
+    o = F.coalesce(F.col(outcome), F.lit(""))
+
+    def total(c):
+        return F.coalesce(F.sum(c), F.lit(0)).cast("long")
     return df.groupBy(batch_col).agg(
         F.count(F.lit(1)).alias("total"),
-        F.count_if(k != "view").cast("long").alias("processed"),
-        F.count_if(k == "purchase").cast("long").alias("successful"),
-        F.count_if(k == "error").cast("long").alias("failed"),
-        F.count_if(k == "view").cast("long").alias("skipped"),
-        F.coalesce(F.sum(F.when(k == "purchase", v)), F.lit(0)).cast("long").alias("chunks"),
-        F.count_if(k == "signup").cast("long").alias("attachments"),
-        F.coalesce(F.sum(F.when(k == "signup", v)), F.lit(0)).cast("long").alias("attachment_chunks"))
+        F.count_if(o != "skipped").cast("long").alias("processed"),
+        F.count_if(o == "successful").cast("long").alias("successful"),
+        F.count_if(o.startswith("failed")).cast("long").alias("failed"),
+        F.count_if(o == "skipped").cast("long").alias("skipped"),
+        total(F.when(o == "successful", F.col("chunks"))).alias("chunks"),
+        total("attachments").alias("attachments"), total("attachment_chunks").alias("attachment_chunks"))
 
 
 def error_digest(errors: DataFrame, group_col: str, order_col: str, msg_col: str, keep: int = 10) -> DataFrame:
@@ -36,18 +39,29 @@ def error_digest(errors: DataFrame, group_col: str, order_col: str, msg_col: str
     return counts.join(firsts, group_col)
 
 
+def _first_good(attempts: DataFrame, key: str, order_cols: list[str], good: Column) -> DataFrame:
+    """Per key: attempts, how many were not good, and the place of the first
+    good one (null if none).  Two partial aggregations: the first good position
+    per key, then counts up to it; no group is sorted in one task."""
+    at = F.struct(*order_cols)
+    first = attempts.groupBy(F.col(key).alias("_key")).agg(F.min(F.when(good, at)).alias("_first"))
+    joined = attempts.join(first, attempts[key].eqNullSafe(first["_key"]))
+    place = F.count_if(at <= F.col("_first"))
+    return joined.groupBy(key).agg(
+        F.count(F.lit(1)).cast("long").alias("attempts"), F.count_if(~good).cast("long").alias("not_good"),
+        F.when(place > 0, place).cast("long").alias("first_good"))
+
+
+def _status(first_good: str) -> Column:
+    return F.when(F.col(first_good).isNull(), "failed").when(F.col(first_good) == 1, "ok").otherwise("recovered")
+
+
 def retry_rollup(attempts: DataFrame, key: str, order_cols: list[str], ok_col: str = "ok") -> DataFrame:
     """Per key: attempt of first success, attempts made, status, attempts used
-    (an id leaves later rounds once it succeeded).  The window and the
-    aggregation share one shuffle on ``key``."""
-    w = Window.partitionBy(key).orderBy(*order_cols)
-    a = attempts.withColumn("_attempt", F.row_number().over(w))
-    first_ok = F.min(F.when(F.col(ok_col), F.col("_attempt")))
-    g = a.groupBy(key).agg(first_ok.cast("long").alias("recovered_at"), F.max("_attempt").cast("long").alias("attempts"))
-    status = (F.when(F.col("recovered_at").isNull(), "failed").when(F.col("recovered_at") == 1, "ok")
-              .otherwise("recovered"))
-    return g.select(key, "recovered_at", "attempts", status.alias("status"),
-                    F.coalesce("recovered_at", "attempts").cast("long").alias("attempts_used"))
+    (an id leaves later rounds once it succeeded)."""
+    g = _first_good(attempts, key, order_cols, F.col(ok_col))
+    return g.select(key, F.col("first_good").alias("recovered_at"), "attempts", _status("first_good").alias("status"),
+                    F.coalesce("first_good", "attempts").alias("attempts_used"))
 
 
 def fetch_summary(per_id: DataFrame, attempts: DataFrame) -> DataFrame:
@@ -68,21 +82,15 @@ def fetch_summary(per_id: DataFrame, attempts: DataFrame) -> DataFrame:
 
 def outage_rollup(attempts: DataFrame, batch: str, order_cols: list[str], outage_col: str = "outage") -> DataFrame:
     """Per batch window: attempts, outages, first good attempt, status, retries used."""
-    w = Window.partitionBy(batch).orderBy(*order_cols)
-    a = attempts.withColumn("_attempt", F.row_number().over(w))
-    first_ok = F.min(F.when(~F.col(outage_col), F.col("_attempt")))
-    g = a.groupBy(batch).agg(F.count(F.lit(1)).alias("attempts"), F.count_if(outage_col).cast("long").alias("outages"),
-                             first_ok.cast("long").alias("first_ok_attempt"))
-    status = (F.when(F.col("first_ok_attempt").isNull(), "failed").when(F.col("first_ok_attempt") == 1, "ok")
-              .otherwise("recovered"))
-    return g.select(batch, "attempts", "outages", "first_ok_attempt", status.alias("status"),
-                    (F.coalesce("first_ok_attempt", "attempts") - 1).cast("long").alias("retries_used"))
+    g = _first_good(attempts, batch, order_cols, ~F.col(outage_col))
+    return g.select(batch, "attempts", F.col("not_good").alias("outages"), F.col("first_good").alias("first_ok_attempt"),
+                    _status("first_good").alias("status"), (F.coalesce("first_good", "attempts") - 1).alias("retries_used"))
 
 
 def failure_streak(runs: DataFrame, key: str, ts: str, ok_col: str = "ok") -> DataFrame:
-    """Failures after the last success, per key (one shuffle on key)."""
-    w = Window.partitionBy(key)
-    r = runs.withColumn("_last_ok", F.max(F.when(F.col(ok_col), F.col(ts))).over(w))
+    """Failures after the last success, per key (two partial aggregations)."""
+    last = runs.groupBy(F.col(key).alias("_key")).agg(F.max(F.when(F.col(ok_col), F.col(ts))).alias("_last_ok"))
+    r = runs.join(last, runs[key].eqNullSafe(last["_key"]))
     return r.groupBy(key).agg(F.count_if(~F.col(ok_col) & (F.col("_last_ok").isNull() | (F.col(ts) > F.col("_last_ok"))))
                               .cast("long").alias("streak"))
 

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 
 # ISO dates as Python's fromisoformat (plus the YYYY-MM-DD fallback) accepts
-# them: extended or basic date, optional time (hour, minute, second, fraction)
-# after 'T' or ' ', optional zone.  Week dates are not supported.
-ISO_DATE_RE = (r"^(\d{4})-?(\d{2})-?(\d{2})"
-               r"(?:[T ](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,]\d+)?)?)?"
+# them: a date and an optional time (hour, minute, second, fraction) after 'T'
+# or ' ', each with all of its separators or with none, and an optional zone.
+# Week dates are not supported.
+ISO_DATE_RE = (r"^(\d{4})(-?)(\d{2})\2(\d{2})"
+               r"(?:[T ](\d{2})(?:(:?)(\d{2})(?:\6(\d{2})(?:[.,]\d+)?)?)?"
                r"(?:Z|[+-]\d{2}(?::?\d{2})?)?)?$")
 
 
@@ -30,11 +31,11 @@ def iso_date_ok(c) -> Column:
     """True when the text is a calendar-valid ISO date/time (see ISO_DATE_RE)."""
     s = F.regexp_replace(_c(c), "Z$", "+00:00")
     y = F.regexp_extract(s, ISO_DATE_RE, 1)
-    m = F.regexp_extract(s, ISO_DATE_RE, 2)
-    d = F.regexp_extract(s, ISO_DATE_RE, 3)
-    hh = F.regexp_extract(s, ISO_DATE_RE, 4)
-    mi = F.regexp_extract(s, ISO_DATE_RE, 5)
-    ss = F.regexp_extract(s, ISO_DATE_RE, 6)
+    m = F.regexp_extract(s, ISO_DATE_RE, 3)
+    d = F.regexp_extract(s, ISO_DATE_RE, 4)
+    hh = F.regexp_extract(s, ISO_DATE_RE, 5)
+    mi = F.regexp_extract(s, ISO_DATE_RE, 7)
+    ss = F.regexp_extract(s, ISO_DATE_RE, 8)
     date_ok = F.try_to_timestamp(F.concat_ws("-", y, m, d), F.lit("yyyy-MM-dd")).isNotNull()
 
     def in_range(part, hi):
@@ -67,6 +68,18 @@ def validate_documents(df: DataFrame, native_id="NativeId", title="Title", conte
     return df.withColumn("error", err).withColumn("is_valid", F.col("error").isNull())
 
 
+def validation_report(validated: DataFrame, id_col: str, content: str = "Content", keep: int = 10) -> DataFrame:
+    """Of validated rows: how many are valid, invalid, and valid without
+    content, and the reasons of the first ``keep`` invalid ones by id."""
+    firsts = validated.where(~F.col("is_valid")).select(id_col, "error").orderBy(id_col).limit(keep) \
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct(id_col, "error"))), lambda s: s["error"]).alias("first_errors"))
+    counts = validated.agg(
+        F.count(F.lit(1)).alias("checked"), F.count_if("is_valid").cast("long").alias("valid"),
+        F.count_if(~F.col("is_valid")).cast("long").alias("invalid"),
+        F.count_if(F.col("is_valid") & (F.coalesce(F.col(content), F.lit("")) == "")).cast("long").alias("valid_no_content"))
+    return counts.join(F.broadcast(firsts))  # one row each
+
+
 def date_range_error(start, end, now) -> Column:
     """start < end, start >= 2000-01-01, end <= now; else the message."""
     s, e, n = _c(start), _c(end), _c(now)

@@ -22,20 +22,22 @@ def _nz(c) -> Column:
 
 
 # ---------------------------------------------------------------- projections
-def document_metadata(d: DataFrame, collection: str = "decisions") -> DataFrame:
-    """Fixed metadata fields of a decision (flat decision columns in)."""
+def _metadata_columns(collection: str) -> list[Column]:
     title = F.col("Title")
     src = F.when(title.isNotNull() & (title != ""), F.concat(title, F.lit(".md"))).otherwise(F.lit("Unknown Source"))
     dd = F.col("DateDecision")
-    return d.select(
-        "doc_id", F.lit(collection).alias("collection_name"), src.alias("source"), src.alias("name"),
-        _nz("NativeId").alias("file_id"), _nz("NativeId").alias("native_id"), _nz("Title").alias("title"),
-        _nz("CaseID").alias("case_id"), _nz("Section").alias("section"),
-        _nz("ClassificationCode").alias("classification_code"),
-        _nz("ClassificationTitle").alias("classification_title"),
-        F.when(dd.isNotNull() & (dd != ""), dd).alias("date_decision"),
-        _nz("OrganizationName").alias("organization_name"),
-        F.lit(False).alias("is_attachment"))
+    return [F.lit(collection).alias("collection_name"), src.alias("source"), src.alias("name"),
+            _nz("NativeId").alias("file_id"), _nz("NativeId").alias("native_id"), _nz("Title").alias("title"),
+            _nz("CaseID").alias("case_id"), _nz("Section").alias("section"),
+            _nz("ClassificationCode").alias("classification_code"),
+            _nz("ClassificationTitle").alias("classification_title"),
+            F.when(dd.isNotNull() & (dd != ""), dd).alias("date_decision"),
+            _nz("OrganizationName").alias("organization_name")]
+
+
+def document_metadata(d: DataFrame, collection: str = "decisions") -> DataFrame:
+    """Fixed metadata fields of a decision (flat decision columns in)."""
+    return d.select("doc_id", *_metadata_columns(collection), F.lit(False).alias("is_attachment"))
 
 
 def explode_attachments(decisions: DataFrame, id_col: str = "NativeId",
@@ -51,21 +53,15 @@ def explode_attachments(decisions: DataFrame, id_col: str = "NativeId",
                      att_id.alias("attachment_native_id"), "att.*")
 
 
-def attachment_metadata(parent_meta: DataFrame, atts: DataFrame) -> DataFrame:
-    """Parent metadata (by native_id) + attachment fields, is_attachment=true."""
-    a = atts.select("decision_native_id", F.col("NativeId").alias("_a_id"), F.col("Title").alias("_a_title"),
-                    F.col("AttachmentNumber").alias("_a_num"), F.col("Type").alias("_a_type"),
-                    F.col("FileURI").alias("_a_url"))
-    p = parent_meta.select("native_id", "title", "collection_name", "source", "date_decision", "organization_name")
-    j = a.join(p, a["decision_native_id"] == p["native_id"])
-    return j.select(
-        "decision_native_id", "native_id", "title", "collection_name", "source", "date_decision",
-        "organization_name", F.lit(True).alias("is_attachment"),
-        F.coalesce(F.nullif(F.col("_a_id"), F.lit("")),
-                   F.concat(F.lit("att_"), F.col("_a_num").cast("string"))).alias("attachment_native_id"),
-        _nz("_a_title").alias("attachment_title"),
-        F.coalesce(F.col("_a_num"), F.lit(0)).cast("long").alias("attachment_number"),
-        _nz("_a_type").alias("attachment_type"), _nz("_a_url").alias("attachment_url"))
+def attachment_metadata(decisions: DataFrame, collection: str = "decisions") -> DataFrame:
+    """The parent's metadata and the attachment's fields, is_attachment=true;
+    row-local, the parent is in the row that is exploded."""
+    held = decisions.select("NativeId", "Attachments", F.struct(*_metadata_columns(collection)).alias("_meta"))
+    return explode_attachments(held, keep=("_meta",)).select(
+        "decision_native_id", "_meta.*", F.lit(True).alias("is_attachment"), "attachment_native_id",
+        _nz("Title").alias("attachment_title"),
+        F.coalesce("AttachmentNumber", F.lit(0)).cast("long").alias("attachment_number"),
+        _nz("Type").alias("attachment_type"), _nz("FileURI").alias("attachment_url"))
 
 
 # ---------------------------------------------------------------- membership

@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def metadata_filter(df: DataFrame, date_col: str | None = None, date_gte: str | None = None,
                     date_lte: str | None = None, equals: dict | None = None) -> DataFrame:
-    """AND of: date >= / <= (on the first 10 characters of an ISO text date)
-    and exact key = value matches.  Plain column predicates, so they reach
-    the Parquet scan and run before any scoring."""
+    """AND of: day >= / <= (ISO text dates, with or without a time) and exact
+    key = value matches.  ISO texts order as their dates, so the bounds compare
+    the raw column -- the upper one with the day after -- and reach the scan."""
     cond = F.lit(True)
-    if date_col and (date_gte or date_lte):
-        day = F.substring(F.col(date_col), 1, 10)
-        cond = cond & F.col(date_col).isNotNull()
-        if date_gte:
-            cond = cond & (day >= F.lit(date_gte))
-        if date_lte:
-            cond = cond & (day <= F.lit(date_lte))
+    if date_col and date_gte:
+        cond = cond & (F.col(date_col) >= F.lit(date_gte))
+    if date_col and date_lte:
+        after = dt.date.fromisoformat(date_lte) + dt.timedelta(days=1)
+        cond = cond & (F.col(date_col) < F.lit(after.isoformat()))
     for k, v in (equals or {}).items():
         cond = cond & (F.col(k) == F.lit(v))
     return df.where(cond)

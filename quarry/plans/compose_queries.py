@@ -16,6 +16,7 @@ from quarry.operators.graph import crawl_frontier
 from quarry.plans import search, search_queries  # noqa: F401 (hash_embed oracle is reused)
 from quarry.plans.registry import ORACLES, register
 from quarry.plans.sql_fragments import CHUNK_TOKENS_CTE, QUERY_BUCKETS_CTE, bucket_sql, tokens_sql
+from quarry.sources.decisions import DECISIONS_SQL, decisions_from_documents
 from quarry.sources.tables import table
 
 # --- fixed value: system prompt template of the chat pipeline
@@ -45,7 +46,8 @@ def md5_hash_embedder(dims: int = 64):
 def q_embed_texts(spark, sf):
     b = table(spark, sf, "benchmark")
     e = embed_texts(b, "text", "item_id", md5_hash_embedder(64), batch_size=100)
-    return e.select("item_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+    return e.where(F.col("embedding").isNotNull()) \
+        .select("item_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
 @register("eval_scores", sql=f"""
@@ -114,10 +116,58 @@ def q_crawl_frontier(spark, sf):
     return crawl_frontier(edges, start, "src", "dst")
 
 
-@register("full_pipeline")
+PIPELINE_SQL = f"""
+WITH {DECISIONS_SQL},
+src AS (SELECT NativeId, DateDecision, Content FROM decisions
+        UNION ALL SELECT 'PAGE-' || CAST(page_id AS VARCHAR),
+               strftime(DATE '2024-01-01' + CAST(page_id % 60 AS INTEGER), '%Y-%m-%d'), html FROM pages),
+o AS (SELECT NativeId, substr(DateDecision, 1, 10) AS batch_day,
+             CASE WHEN NativeId IN (SELECT 'DOC-' || CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 1) THEN 'skipped'
+                  WHEN coalesce(Content, '') = '' THEN 'failed'
+                  WHEN starts_with(NativeId, 'PAGE-') THEN 'successful'
+                  WHEN regexp_replace(Content, '^[\\s]+|[\\s]+$', '', 'g') = '' OR regexp_matches(lower(Content), '<html|</html>')
+                       OR regexp_matches(regexp_replace(Content, '[\\s\\x0B\\x{{1C}}-\\x{{1F}}\\x{{85}}]', '', 'g'), '[\\p{{Cc}}\\p{{Cf}}\\p{{Co}}\\p{{Cs}}]')
+                  THEN 'failed' ELSE 'successful' END AS outcome
+      FROM src WHERE DateDecision >= '2024-01-01' AND DateDecision < '2024-03-01'),
+a AS (SELECT 'DOC-' || CAST(conv_id AS VARCHAR) AS NativeId, count(*) AS n FROM conversations WHERE role <> 'system' GROUP BY 1)
+SELECT batch_day, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE outcome <> 'skipped') AS BIGINT) AS processed,
+       CAST(count(*) FILTER (WHERE outcome = 'successful') AS BIGINT) AS successful,
+       CAST(count(*) FILTER (WHERE outcome = 'failed') AS BIGINT) AS failed,
+       CAST(count(*) FILTER (WHERE outcome = 'skipped') AS BIGINT) AS skipped,
+       CAST(coalesce(sum(a.n) FILTER (WHERE outcome = 'successful'), 0) AS BIGINT) AS attachments
+FROM o LEFT JOIN a USING (NativeId) GROUP BY batch_day
+"""
+
+
+def pipeline_inputs(spark, sf):
+    """Decisions (documents as plain text, pages as HTML), the ids indexed
+    already (good labels) and attachments (conversation turns)."""
+    docs = decisions_from_documents(table(spark, sf, "documents", spread=True)).drop("doc_id") \
+        .withColumn("is_html", F.lit(False))
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 60).cast("int")), "yyyy-MM-dd")
+    pages = table(spark, sf, "pages", spread=True).select(
+        F.concat(F.lit("PAGE-"), F.col("page_id").cast("string")).alias("NativeId"), F.col("url").alias("Title"),
+        F.col("html").alias("Content"), day.alias("DateDecision"), F.lit(True).alias("is_html"))
+    known = table(spark, sf, "labels").where(F.col("quality") == 1).select(
+        F.concat(F.lit("DOC-"), F.col("doc_id").cast("string")).alias("NativeId"))
+    turns = table(spark, sf, "conversations").select(
+        F.concat(F.lit("DOC-"), F.col("conv_id").cast("string")).alias("decision_native_id"),
+        F.concat(F.lit("att_"), F.col("turn").cast("string")).alias("attachment_native_id"),
+        F.lit("https://example.com/turn.txt").alias("FileURI"),
+        F.when(F.col("role") == "system", "Salainen").otherwise("Julkinen").alias("PublicityClass"),
+        F.lit(None).cast("string").alias("PersonalData"), "text")
+    return docs.unionByName(pages, allowMissingColumns=True), known, turns
+
+
+@register("full_pipeline", sql=PIPELINE_SQL)
 def q_full_pipeline(spark, sf):
-    from quarry.plans.ingest import full_pipeline
-    return full_pipeline(spark, sf, "2024-01-01", "2024-03-01")
+    from quarry.operators.ledger import ingest_batch_stats
+    from quarry.plans.ingest import ingest
+    from quarry.sources import io
+    decisions, known, turns = pipeline_inputs(spark, sf)
+    outcomes = ingest(decisions, known, turns, "2024-01-01", "2024-03-01", md5_hash_embedder(64), model="hash-64",
+                      store_path=io.new_scratch(spark, "chunk-store"), export_path=io.new_scratch(spark, "embeddings"))
+    return ingest_batch_stats(outcomes).drop("chunks", "attachment_chunks")
 
 
 # embed_texts uses the same values as hash_embed: reuse its oracle.

@@ -111,21 +111,20 @@ def q_attachment_gate(spark, sf):
 @register("attachment_metadata", sql=f"""
 WITH {ATTACHMENTS_SQL},
 parent AS (SELECT 'ORD-' || CAST(o_orderkey AS VARCHAR) AS native_id, o_orderpriority AS title, o_orderstatus AS organization_name,
-                  strftime(o_orderdate, '%Y-%m-%d') AS date_decision FROM orders)
-SELECT a.decision_native_id, p.native_id, p.title, 'decisions' AS collection_name, p.title || '.md' AS source,
+                  strftime(o_orderdate, '%Y-%m-%d') AS date_decision, o_clerk AS case_id FROM orders)
+SELECT a.decision_native_id, p.native_id, p.native_id AS file_id, p.title, 'decisions' AS collection_name, p.title || '.md' AS source,
+       p.title || '.md' AS name, p.case_id, '' AS section, '' AS classification_code, '' AS classification_title,
        p.date_decision, p.organization_name, true AS is_attachment,
-       coalesce(nullif(a.NativeId, ''), 'att_' || CAST(a.AttachmentNumber AS VARCHAR)) AS attachment_native_id,
+       coalesce(nullif(a.NativeId, ''), 'att_' || CAST(coalesce(nullif(a.AttachmentNumber, 0), position + 1) AS VARCHAR)) AS attachment_native_id,
        coalesce(a.Title, '') AS attachment_title, CAST(coalesce(a.AttachmentNumber, 0) AS BIGINT) AS attachment_number,
        coalesce(a.Type, '') AS attachment_type, coalesce(a.FileURI, '') AS attachment_url
 FROM atts a JOIN parent p ON a.decision_native_id = p.native_id
 """)
 def q_attachment_metadata(spark, sf):
-    dec = _order_decisions(spark, sf)
-    meta = R.document_metadata(dec.withColumn("doc_id", F.col("o_orderkey")).withColumn("CaseID", F.lit(None).cast("string"))
-                               .withColumn("Section", F.lit(None).cast("string"))
-                               .withColumn("ClassificationCode", F.lit(None).cast("string"))
-                               .withColumn("ClassificationTitle", F.lit(None).cast("string")))
-    return R.attachment_metadata(meta, R.explode_attachments(dec))
+    none = F.lit(None).cast("string")
+    clerks = table(spark, sf, "orders").select(F.col("o_orderkey"), F.col("o_clerk").alias("CaseID"))
+    dec = _order_decisions(spark, sf).join(clerks, "o_orderkey")
+    return R.attachment_metadata(dec.withColumns({"Section": none, "ClassificationCode": none, "ClassificationTitle": none}))
 
 
 @register("metadata_only", sql=f"""
@@ -184,41 +183,43 @@ def q_valid_native_id(spark, sf):
     return c.unionByName(lit).select("id", Q.valid_native_id("id").alias("is_valid"))
 
 
-DATE_LITERALS = ["2024-01-15", "2024-01-15T10:00:00.000", "2024-01-15T10:00:00Z", "20240115", "2024-02-30",
-                 "2024", "2024-01", " 2024-01-15", "2024-1-5", "2024-01-15T10", "not a date", "2024-13-01",
-                 "2024-01-15 10:30", "2024-01-15T25:00"]
+# Listed by hand: what Python's date parsing accepts and rejects.
+GOOD_DATES = ["2024-01-15", "2024-01-15T10:00:00.000", "2024-01-15T10:00:00Z", "20240115", "2024-1-5",
+              "2024-01-15T10", "2024-01-15 10:30", "2024-01-15T1030", "20240115T103000",
+              "2024-01-15T10:30:00+02:00", "2024-01-15T10:30:00+0200", "2024-01-15T10:30:00,123456"]
+BAD_DATES = ["2024-02-30", "2024", "2024-01", " 2024-01-15", "not a date", "2024-13-01", "2024-01-15T25:00",
+             "2024-0115", "202401-15", "2024-01-15T10:0000", "2024-01-15T10:30:60", "2024-01-15T1030:00"]
 
-ISO_RE = Q.ISO_DATE_RE
+#: (NativeId, Title, DateDecision, expected error) of rows added to the documents.
+VALIDATION_CASES = ([(f"GOOD-{i}", "title", d, None) for i, d in enumerate(GOOD_DATES)]
+                    + [(f"BAD-{i}", "title", d, f"Invalid DateDecision format: {d}") for i, d in enumerate(BAD_DATES)]
+                    + [("  ", "t", None, "Invalid NativeId:   "),
+                       ("NO-CONTENT", "", None, "Document NO-CONTENT has no Title or Content")])
 
 
-@register("validate_documents", sql=f"""
-WITH {DECISIONS_SQL},
-lit AS (SELECT * FROM (VALUES {", ".join(f"({-1 - i}, 'LIT-{i}', 'title', '{d}')" for i, d in enumerate(DATE_LITERALS))},
-                              (-100, '  ', 't', NULL), (-101, 'NO-CONTENT', '', NULL)) v(doc_id, NativeId, Title, DateDecision)),
-src AS (SELECT doc_id, NativeId, Title, Content, DateDecision FROM decisions
-        UNION ALL SELECT doc_id, NativeId, Title, NULL AS Content, DateDecision FROM lit),
-chk AS (SELECT *, regexp_replace(DateDecision, 'Z$', '+00:00') AS s FROM src),
-ok AS (SELECT *, (regexp_matches(s, '{ISO_RE}')
-                  AND try_strptime(regexp_extract(s, '{ISO_RE}', 1) || '-' || regexp_extract(s, '{ISO_RE}', 2) || '-' || regexp_extract(s, '{ISO_RE}', 3), '%Y-%m-%d') IS NOT NULL
-                  AND (regexp_extract(s, '{ISO_RE}', 4) = '' OR TRY_CAST(regexp_extract(s, '{ISO_RE}', 4) AS INTEGER) < 24)
-                  AND (regexp_extract(s, '{ISO_RE}', 5) = '' OR TRY_CAST(regexp_extract(s, '{ISO_RE}', 5) AS INTEGER) < 60)
-                  AND (regexp_extract(s, '{ISO_RE}', 6) = '' OR TRY_CAST(regexp_extract(s, '{ISO_RE}', 6) AS INTEGER) < 60))
-                 OR (regexp_matches(DateDecision, '^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}$') AND try_strptime(DateDecision, '%Y-%m-%d') IS NOT NULL) AS date_ok
-       FROM chk)
-SELECT doc_id, CASE
-  WHEN NOT coalesce(NativeId IS NOT NULL AND length(trim(NativeId)) > 0 AND length(NativeId) < 200, false)
-       THEN 'Invalid NativeId: ' || coalesce(NativeId, 'None')
-  WHEN coalesce(Title, '') = '' AND coalesce(Content, '') = '' THEN 'Document ' || NativeId || ' has no Title or Content'
-  WHEN coalesce(DateDecision, '') <> '' AND NOT coalesce(date_ok, false) THEN 'Invalid DateDecision format: ' || DateDecision
-  END AS error
-FROM ok
-""")
-def q_validate_documents(spark, sf):
+def _quoted(v):
+    return "NULL" if v is None else f"'{v}'"
+
+
+_CASES_SQL = ", ".join(f"({-1 - i}, {_quoted(e)})" for i, (_, _, _, e) in enumerate(VALIDATION_CASES))
+#: The mapping gives every document a valid id and date: only empty ones fail.
+VALIDATED_SQL = f"""
+v AS (SELECT doc_id, CASE WHEN coalesce(Title, '') = '' AND coalesce(Content, '') = ''
+                          THEN 'Document ' || NativeId || ' has no Title or Content' END AS error,
+             coalesce(Content, '') = '' AS empty FROM decisions
+      UNION ALL SELECT *, true FROM (VALUES {_CASES_SQL}) c(doc_id, error))
+"""
+
+
+def _validated(spark, sf):
     d = _decisions(spark, sf).select("doc_id", "NativeId", "Title", "Content", "DateDecision")
-    rows = [(-1 - i, f"LIT-{i}", "title", None, v) for i, v in enumerate(DATE_LITERALS)]
-    rows += [(-100, "  ", "t", None, None), (-101, "NO-CONTENT", "", None, None)]
-    lit = spark.createDataFrame(rows, "doc_id long, NativeId string, Title string, Content string, DateDecision string")
-    return Q.validate_documents(d.unionByName(lit)).select("doc_id", "error")
+    rows = [(-1 - i, n, t, None, day) for i, (n, t, day, _) in enumerate(VALIDATION_CASES)]
+    return Q.validate_documents(d.unionByName(spark.createDataFrame(rows, d.schema)))
+
+
+@register("validate_documents", sql=f"WITH {DECISIONS_SQL}, {VALIDATED_SQL} SELECT doc_id, error FROM v")
+def q_validate_documents(spark, sf):
+    return _validated(spark, sf).select("doc_id", "error")
 
 
 NOW = "2024-06-01 00:00:00"
@@ -402,11 +403,11 @@ def q_attach_embeddings(spark, sf):
 
 
 @register("failed_ids", sql="""
-SELECT doc_id FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)
+SELECT doc_id FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.n_chars >= 1000)
 """)
 def q_failed_ids(spark, sf):
-    return table(spark, sf, "labels").select("doc_id").join(table(spark, sf, "documents").select("doc_id"),
-                                                             "doc_id", "left_anti")
+    loaded = table(spark, sf, "documents").where(F.col("n_chars") >= 1000).select("doc_id")
+    return table(spark, sf, "labels").select("doc_id").join(loaded, "doc_id", "left_anti")
 
 
 # ------------------------------------------------------------------ aggregations
@@ -473,7 +474,12 @@ FROM events GROUP BY 1
 def q_ingest_batch_stats(spark, sf):
     from quarry.operators.ledger import ingest_batch_stats
     e = table(spark, sf, "events")
-    return ingest_batch_stats(e.select(F.to_date("ts").alias("batch_date"), "event_type", "value"))
+    kind, n = F.col("event_type"), F.floor("value").cast("long")
+    outcome = F.when(kind == "purchase", "successful").when(kind == "error", "failed").when(kind == "view", "skipped")
+    return ingest_batch_stats(e.select(
+        F.to_date("ts").alias("batch_date"), outcome.alias("outcome"), n.alias("chunks"),
+        F.when(kind == "signup", 1).alias("attachments"), F.when(kind == "signup", n).alias("attachment_chunks")),
+        "batch_date")
 
 
 @register("error_digest", sql="""
@@ -559,20 +565,16 @@ def q_mean_entry_tokens(spark, sf):
 
 
 @register("validation_report", sql=f"""
-WITH {DECISIONS_SQL},
-v AS (SELECT *, CASE WHEN NOT coalesce(NativeId IS NOT NULL AND length(trim(NativeId)) > 0 AND length(NativeId) < 200, false) THEN 'id'
-                     WHEN coalesce(Title, '') = '' AND coalesce(Content, '') = '' THEN 'empty' END AS err FROM decisions)
-SELECT CAST(count(*) AS BIGINT) AS checked, CAST(count(*) FILTER (WHERE err IS NULL) AS BIGINT) AS valid,
-       CAST(count(*) FILTER (WHERE err IS NOT NULL) AS BIGINT) AS invalid,
-       CAST(count(*) FILTER (WHERE err IS NULL AND coalesce(Content, '') = '') AS BIGINT) AS valid_no_content
+WITH {DECISIONS_SQL}, {VALIDATED_SQL},
+i AS (SELECT doc_id, error FROM v WHERE error IS NOT NULL ORDER BY doc_id LIMIT 10)
+SELECT CAST(count(*) AS BIGINT) AS checked, CAST(count(*) FILTER (WHERE error IS NULL) AS BIGINT) AS valid,
+       CAST(count(*) FILTER (WHERE error IS NOT NULL) AS BIGINT) AS invalid,
+       CAST(count(*) FILTER (WHERE error IS NULL AND empty) AS BIGINT) AS valid_no_content,
+       (SELECT list(error ORDER BY doc_id) FROM i) AS first_errors
 FROM v
 """)
 def q_validation_report(spark, sf):
-    d = Q.validate_documents(_decisions(spark, sf).withColumn("DateDecision", F.lit(None).cast("string")))
-    return d.agg(F.count(F.lit(1)).alias("checked"), F.count_if("is_valid").cast("long").alias("valid"),
-                 F.count_if(~F.col("is_valid")).cast("long").alias("invalid"),
-                 F.count_if(F.col("is_valid") & (F.coalesce(F.col("Content"), F.lit("")) == "")).cast("long")
-                 .alias("valid_no_content"))
+    return Q.validation_report(_validated(spark, sf), "doc_id")
 
 
 @register("failure_streak", sql="""
@@ -657,6 +659,20 @@ def q_paginate(spark, sf):
                                                     F.lit(pages).cast("long").alias("pages"))
 
 
+@register("paginate_filtered", sql=f"""
+WITH {DECISIONS_SQL},
+f AS (SELECT doc_id, NativeId, DateDecision, OrganizationName FROM decisions
+      WHERE substr(DateDecision, 1, 10) BETWEEN '2024-01-05' AND '2024-02-20' AND ClassificationCode = 'EN')
+SELECT *, CAST((SELECT count(*) FROM f) AS BIGINT) AS total FROM f ORDER BY doc_id LIMIT 25 OFFSET 25
+""")
+def q_paginate_filtered(spark, sf):
+    from quarry.operators.search_filters import metadata_filter
+    rows = metadata_filter(_decisions(spark, sf), "DateDecision", "2024-01-05", "2024-02-20", {"ClassificationCode": "EN"})
+    total = rows.count()
+    return R.paginate(rows, ["doc_id"], 2, 25).select("doc_id", "NativeId", "DateDecision", "OrganizationName",
+                                                      F.lit(total).cast("long").alias("total"))
+
+
 @register("list_runs", sql="""
 SELECT event_id, ts, event_type, value FROM events WHERE event_type IN ('error', 'purchase') AND value > 50
 ORDER BY ts DESC NULLS LAST, event_id DESC LIMIT 20

@@ -112,6 +112,12 @@ def read_eval_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ sinks
+def by_window(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows of one window side by side before a partitioned write, so files do
+    not multiply by tasks; adaptive execution splits windows that are large."""
+    return df.hint("rebalance", *columns)
+
+
 def write_valid_documents(df: DataFrame, path: str, rejects_path: str | None = None,
                           order_col: str | None = None) -> DataFrame:
     """Validate; valid rows go to ``path`` partitioned by decision day, rejects
@@ -125,14 +131,16 @@ def write_valid_documents(df: DataFrame, path: str, rejects_path: str | None = N
         .withColumn("day", F.coalesce(F.substring("DateDecision", 1, 10), F.lit("unknown")))
     if order_col:
         good = latest_wins(good, ["NativeId"], [F.col(order_col).desc()])
-    good.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("day").parquet(path)
+    by_window(good, "day").write.mode("overwrite").option("partitionOverwriteMode", "static") \
+        .partitionBy("day").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
 def write_raw_archive(df: DataFrame, path: str) -> None:
     """One gzip NDJSON set per (batch_start, batch_end) window; re-running a
     window replaces it (dynamic partition overwrite), others stay."""
-    df.select("native_id", "fetched_at", "data", "batch_start", "batch_end").write \
+    rows = df.select("native_id", "fetched_at", "data", "batch_start", "batch_end")
+    by_window(rows, "batch_start", "batch_end").write \
         .mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy("batch_start", "batch_end").option("compression", "gzip").json(path)
 
@@ -143,7 +151,8 @@ def write_embeddings(df: DataFrame, path: str, model: str, window_col: str = "wi
     out = df.select("chunk_id", "native_id", F.col("embedding").cast("array<float>").alias("embedding"),
                     F.lit(model).alias("embedding_model"), F.size("embedding").alias("embedding_dimensions"),
                     F.current_timestamp().alias("created_at"), window_col)
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(window_col).parquet(path)
+    by_window(out, window_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy(window_col).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
