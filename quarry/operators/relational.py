@@ -92,6 +92,25 @@ def delete_document(store: DataFrame, ids: DataFrame, id_col: str = "id",
     return kept.join(k, F.coalesce(kept[parent], F.concat(F.lit("\u0000"), kept[own])) == k["_k"], "left_anti")
 
 
+def delete_attachments(store: DataFrame, ids: DataFrame, id_col: str = "id",
+                       parent: str = "decision_native_id", flag: str = "is_attachment") -> DataFrame:
+    """Rows kept after deleting the attachment chunks of the listed decisions."""
+    k = ids.select(F.col(id_col).alias("_k")).distinct()
+    # rows that are no attachments match nothing: a null key
+    return store.join(k, F.when(store[flag], store[parent]) == k["_k"], "left_anti")
+
+
+def delete_counts(store: DataFrame, kept: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """One row: ids asked for, ids deleted (an id that was not stored counts),
+    ids that are still stored, and rows removed."""
+    left = kept.select("native_id").join(ids.select(F.col(id_col).alias("native_id")), "native_id", "left_semi")
+    total, failed = ids.agg(F.count(F.lit(1)).alias("total")), left.agg(F.count_distinct("native_id").alias("failed"))
+    before, after = store.agg(F.count(F.lit(1)).alias("_b")), kept.agg(F.count(F.lit(1)).alias("_a"))
+    joined = total.join(F.broadcast(failed)).join(F.broadcast(before)).join(F.broadcast(after))  # one row each
+    return joined.select("total", (F.col("total") - F.col("failed")).alias("deleted"), "failed",
+                         (F.col("_b") - F.col("_a")).alias("rows_removed"))
+
+
 def upsert_latest(base: DataFrame, changes: DataFrame, key: str, order_col: str = "_version") -> DataFrame:
     """Insert-or-replace by key: every column of the newest row wins."""
     b = base.withColumn(order_col, F.lit(0))

@@ -4,6 +4,7 @@ frontier and the full ingestion pipeline (rows 40, 91, 93-95)."""
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from quarry.operators.graph import crawl_frontier
 from quarry.plans import search, search_queries  # noqa: F401 (hash_embed oracle is reused)
 from quarry.plans.registry import ORACLES, register
 from quarry.plans.sql_fragments import CHUNK_TOKENS_CTE, QUERY_BUCKETS_CTE, bucket_sql, tokens_sql
+from quarry.session import shared_table
 from quarry.sources.decisions import DECISIONS_SQL, decisions_from_documents
 from quarry.sources.tables import table
 
@@ -28,14 +30,17 @@ TITLE_PROMPT_PREFIX = "Here is the query:"
 # --- end of fixed values
 
 
+@lru_cache(maxsize=1 << 17)
+def _md5_number(token: str) -> int:
+    return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16)
+
+
 def md5_hash_embedder(dims: int = 64):
     """Plugin for embed_texts: the offline md5 feature-hash embedder in NumPy."""
     def embed(texts: list[str]) -> list[list[float]]:
         out = []
         for t in texts:
-            v = np.zeros(dims)
-            for tok in (t or "").split():
-                v[int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dims] += 1.0
+            v = np.bincount([_md5_number(tok) % dims for tok in (t or "").split()], minlength=dims).astype(float)
             n = np.linalg.norm(v)
             out.append((v / n).tolist() if n > 0 else None)
         return out
@@ -96,9 +101,9 @@ FROM benchmark b LEFT JOIN c USING (item_id)
 def q_rag_prompts(spark, sf):
     from quarry.plans.prompts import rag_prompts
     docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    corpus = search.chunk_vectors(docs)
-    hits = retrieval.knn_search(corpus, search.query_vectors(bench), 3, qid="item_id", cid="chunk_id",
-                                vec="embedding", carry=["text"])
+    hits = shared_table(retrieval.knn_search(search.chunk_vectors(docs), search.query_vectors(bench), 3, qid="item_id",
+                                             carry=["doc_id"]), "hits")
+    hits = search.hit_texts(hits, docs)
     msgs = rag_prompts(bench.select("item_id", "text"), hits, "item_id", "text", SYSTEM_TEMPLATE, TITLE_PROMPT_PREFIX)
     return msgs.select("item_id", "system_content", "user_content")
 

@@ -11,6 +11,7 @@ from quarry.functions import text as T
 from quarry.operators import relational as R
 from quarry.plans.registry import register
 from quarry.plans.relational_queries import STORE_SQL, _store
+from quarry.session import shared_table
 from quarry.sources import io
 from quarry.sources.decisions import DECISIONS_SQL, decisions_from_documents
 from quarry.sources.tables import table
@@ -248,29 +249,23 @@ SELECT native_id, decision_native_id FROM store
 WHERE NOT (decision_native_id IS NOT NULL AND decision_native_id IN (SELECT id FROM ids))
 """)
 def q_delete_attachments(spark, sf):
-    s = _store(spark, sf)
-    k = _urgent_ids(spark, sf).distinct()
-    atts = s.where(F.col("decision_native_id").isNotNull())
-    keep_atts = atts.join(k, atts["decision_native_id"] == k["id"], "left_anti")
-    return s.where(F.col("decision_native_id").isNull()).unionByName(keep_atts)
+    s = _store(spark, sf).withColumn("is_attachment", F.col("decision_native_id").isNotNull())
+    return R.delete_attachments(s, _urgent_ids(spark, sf)).drop("is_attachment")
 
 
 @register("delete_many", sql=f"""
 WITH {STORE_SQL}, ids AS ({URGENT_IDS} UNION ALL SELECT 'MISSING-' || CAST(n_nationkey AS VARCHAR) FROM nation)
 SELECT CAST((SELECT count(*) FROM ids) AS BIGINT) AS total, CAST((SELECT count(*) FROM ids) AS BIGINT) AS deleted,
        CAST(0 AS BIGINT) AS failed,
-       CAST((SELECT count(*) FROM store WHERE native_id IN (SELECT id FROM ids)) AS BIGINT) AS rows_removed
+       CAST((SELECT count(*) FROM store WHERE native_id IN (SELECT id FROM ids)
+                                           OR decision_native_id IN (SELECT id FROM ids)) AS BIGINT) AS rows_removed
 """)
 def q_delete_many(spark, sf):
+    """Deletes from a stored table and counts what the new version holds."""
     ids = _urgent_ids(spark, sf).unionByName(table(spark, sf, "nation").select(
         F.concat(F.lit("MISSING-"), F.col("n_nationkey").cast("string")).alias("id")))
-    s = _store(spark, sf)
-    hit = s.join(ids.distinct(), s["native_id"] == ids["id"], "left_semi")
-    total = ids.agg(F.count(F.lit(1)).alias("total"))
-    removed = hit.agg(F.count(F.lit(1)).alias("rows_removed"))
-    # single-row aggregates on both sides
-    return total.join(F.broadcast(removed)).select(
-        "total", F.col("total").alias("deleted"), F.lit(0).cast("long").alias("failed"), "rows_removed")
+    store = shared_table(_store(spark, sf), "store")
+    return R.delete_counts(store, shared_table(R.delete_document(store, ids), "store"), ids)
 
 
 @register("full_refresh_publish", sql="""

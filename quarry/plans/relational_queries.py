@@ -111,9 +111,9 @@ def q_attachment_gate(spark, sf):
 @register("attachment_metadata", sql=f"""
 WITH {ATTACHMENTS_SQL},
 parent AS (SELECT 'ORD-' || CAST(o_orderkey AS VARCHAR) AS native_id, o_orderpriority AS title, o_orderstatus AS organization_name,
-                  strftime(o_orderdate, '%Y-%m-%d') AS date_decision, o_clerk AS case_id FROM orders)
+                  strftime(o_orderdate, '%Y-%m-%d') AS date_decision FROM orders)
 SELECT a.decision_native_id, p.native_id, p.native_id AS file_id, p.title, 'decisions' AS collection_name, p.title || '.md' AS source,
-       p.title || '.md' AS name, p.case_id, '' AS section, '' AS classification_code, '' AS classification_title,
+       p.title || '.md' AS name, '' AS case_id, '' AS section, '' AS classification_code, '' AS classification_title,
        p.date_decision, p.organization_name, true AS is_attachment,
        coalesce(nullif(a.NativeId, ''), 'att_' || CAST(coalesce(nullif(a.AttachmentNumber, 0), position + 1) AS VARCHAR)) AS attachment_native_id,
        coalesce(a.Title, '') AS attachment_title, CAST(coalesce(a.AttachmentNumber, 0) AS BIGINT) AS attachment_number,
@@ -122,9 +122,8 @@ FROM atts a JOIN parent p ON a.decision_native_id = p.native_id
 """)
 def q_attachment_metadata(spark, sf):
     none = F.lit(None).cast("string")
-    clerks = table(spark, sf, "orders").select(F.col("o_orderkey"), F.col("o_clerk").alias("CaseID"))
-    dec = _order_decisions(spark, sf).join(clerks, "o_orderkey")
-    return R.attachment_metadata(dec.withColumns({"Section": none, "ClassificationCode": none, "ClassificationTitle": none}))
+    return R.attachment_metadata(_order_decisions(spark, sf).withColumns(
+        {"CaseID": none, "Section": none, "ClassificationCode": none, "ClassificationTitle": none}))
 
 
 @register("metadata_only", sql=f"""

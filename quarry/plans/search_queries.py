@@ -30,28 +30,11 @@ from quarry.operators import retrieval  # noqa: E402
 from quarry.plans.sql_fragments import bucket_sql, tokens_sql  # noqa: E402
 from quarry.sources.decisions import DECISIONS_SQL, decisions_from_documents  # noqa: E402
 
-def _topk_sql(k: int, extra_select: str = "", extra_join: str = "") -> str:
+def _search_sql(where: str = "TRUE") -> str:
     return f"""
-WITH {CHUNK_TOKENS_CTE}, {QUERY_BUCKETS_CTE},
-sc AS (SELECT qb.item_id, cb.doc_id, cb.idx, sum(qb.c * cb.c) AS dp FROM qb JOIN cb USING (b) GROUP BY ALL),
-r AS (SELECT sc.item_id, sc.doc_id || '_chunk_' || sc.idx AS chunk_id, sc.doc_id, sc.idx,
-             round(dp / (qn.n * cn.n), 6) AS score
-      FROM sc JOIN qn USING (item_id) JOIN cn USING (doc_id, idx)),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM r)
-        WHERE rank <= {k})
-"""
-
-
-@register("relevance_threshold", sql=_topk_sql(10) + """
-SELECT item_id, rank, chunk_id, doc_id, score FROM top WHERE score >= 0.51
-""")
-def q_relevance_threshold(spark, sf):
-    return retrieval.relevance_threshold(top_k_per_group(spark, sf), "score", 0.51)
-
-
-@register("search_results", sql=f"""
 WITH {DECISIONS_SQL}, {CHUNK_TOKENS_CTE.strip()}, {QUERY_BUCKETS_CTE},
-sc AS (SELECT qb.item_id, cb.doc_id, cb.idx, sum(qb.c * cb.c) AS dp FROM qb JOIN cb USING (b) GROUP BY ALL),
+sc AS (SELECT qb.item_id, cb.doc_id, cb.idx, sum(qb.c * cb.c) AS dp FROM qb JOIN cb USING (b)
+       WHERE cb.doc_id IN (SELECT doc_id FROM decisions WHERE {where}) GROUP BY ALL),
 r AS (SELECT sc.item_id, sc.doc_id || '_chunk_' || sc.idx AS chunk_id, sc.doc_id, sc.idx,
              round(dp / (qn.n * cn.n), 6) AS score
       FROM sc JOIN qn USING (item_id) JOIN cn USING (doc_id, idx)),
@@ -62,20 +45,25 @@ SELECT top.item_id, CAST(top.rank AS BIGINT) AS rank, top.chunk_id,
        substr(array_to_string(w.ctok, ' '), 1, 500) AS snippet, top.score,
        dd.DateDecision AS date_decision, dd.OrganizationName AS organization
 FROM top JOIN w USING (doc_id, idx) JOIN decisions dd USING (doc_id)
-""")
+"""
+
+
+def _searched(spark, sf):
+    """Decisions with their content as ``text``, and the benchmark queries."""
+    return (decisions_from_documents(table(spark, sf, "documents")).withColumnRenamed("Content", "text"),
+            table(spark, sf, "benchmark"))
+
+
+@register("search_results", sql=_search_sql())
 def q_search_results(spark, sf):
-    dec = decisions_from_documents(table(spark, sf, "documents")) \
-        .select("doc_id", F.col("Content").alias("text"), "Title", "DateDecision", "OrganizationName")
-    keep = ("Title", "DateDecision", "OrganizationName")
-    corpus = search.chunk_vectors(dec, keep=keep)
-    q = search.query_vectors(table(spark, sf, "benchmark"))
-    hits = retrieval.knn_search(corpus, q, 5, qid="item_id", cid="chunk_id", vec="embedding",
-                                carry=["text", *keep])
-    return hits.select("item_id", F.col("rank").cast("long").alias("rank"), "chunk_id",
-                       F.when(F.coalesce(F.col("Title"), F.lit("")) != "", F.col("Title"))
-                       .otherwise(F.lit("Untitled")).alias("title"),
-                       F.substring("text", 1, 500).alias("snippet"), "score",
-                       F.col("DateDecision").alias("date_decision"), F.col("OrganizationName").alias("organization"))
+    return search.search(*_searched(spark, sf), 5)
+
+
+@register("search_results_filtered", sql=_search_sql(
+    "substr(DateDecision, 1, 10) BETWEEN '2024-01-05' AND '2024-02-10' AND ClassificationCode = 'EN'"))
+def q_search_results_filtered(spark, sf):
+    return search.search(*_searched(spark, sf), 5, date_gte="2024-01-05", date_lte="2024-02-10",
+                         equals={"ClassificationCode": "EN"})
 
 
 _EMB_SCORES_SQL = f"""
@@ -100,6 +88,16 @@ def q_knn_search(spark, sf):
     return hits.select("item_id", F.col("rank").cast("long").alias("rank"), "vec_id", "label", "score")
 
 
+@register("relevance_threshold", sql=_EMB_SCORES_SQL + """
+SELECT item_id, CAST(rank AS BIGINT) AS rank, vec_id, label, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, vec_id) AS rank FROM r WHERE label <= 4)
+WHERE rank <= 10 AND score >= 0.25
+""")
+def q_relevance_threshold(spark, sf):
+    """Scores of these vectors lie around 0.25, so rows fall on both sides."""
+    return retrieval.relevance_threshold(q_knn_search(spark, sf), "score", 0.25)
+
+
 @register("score_pairs", sql=_EMB_SCORES_SQL + """
 SELECT item_id, vec_id, label, score FROM r WHERE score >= 0.25
 """)

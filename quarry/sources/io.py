@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import quality as Q
 from quarry.operators.relational import latest_wins, upsert_latest
-from quarry.session import scratch_path
+from quarry.session import scratch_path, shared_table
 
 ARCHIVE_SCHEMA = "native_id string, fetched_at timestamp, data string"
 EMBEDDING_EXPORT_COLUMNS = ("chunk_id", "native_id", "embedding", "embedding_model", "embedding_dimensions",
@@ -24,12 +24,15 @@ def new_scratch(spark: SparkSession, name: str) -> str:
 
 
 # ------------------------------------------------------------------ sources
-def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Stored decision JSON with a fixed schema; unreadable records are
-    dropped (they land in ``_bad`` first)."""
-    df = spark.read.schema(schema + ", _bad string").option("mode", "PERMISSIVE") \
+def read_documents(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
+    """Stored decision JSON with a fixed schema: one record per line, or with
+    ``multi_line`` one (indented) document or array of documents per file.
+    Unreadable records are dropped (they land in ``_bad`` first)."""
+    df = spark.read.schema(schema + ", _bad string").option("mode", "PERMISSIVE").option("multiLine", multi_line) \
         .option("columnNameOfCorruptRecord", "_bad").json(path)
-    return df.where(F.col("_bad").isNull()).drop("_bad")
+    # a scan of nothing but the corrupt column is refused, so another one is always read
+    read = F.coalesce(F.length(F.col(df.columns[0]).cast("string")), F.lit(0)) >= 0
+    return df.where(F.col("_bad").isNull() & read).drop("_bad")
 
 
 def read_raw_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -181,11 +184,12 @@ def fan_out_write(df: DataFrame, paths: list[str]) -> DataFrame:
     (success count, failures 0 or all rows with the error text)."""
     spark = df.sparkSession
     results = []
+    df = shared_table(df, "fan-out")  # computed once, whatever the number of stores
     n = df.count()
     for p in paths:
         try:
             df.write.mode("overwrite").parquet(p)
-            results.append((p, n, 0, None))
+            results.append((p, spark.read.parquet(p).count(), 0, None))
         except Exception as e:  # noqa: BLE001 -- one store failing does not stop the others
             results.append((p, 0, n, str(e)))
     return spark.createDataFrame(results, "store string, success long, failed long, error string")
