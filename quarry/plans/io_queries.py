@@ -168,9 +168,8 @@ def q_read_eval_pairs(spark, sf):
         "conv_id", F.when(F.col("a").isNull(), F.col("q"))
         .otherwise(F.concat("q", F.lit("\n---\n"), "a")).alias("value"))
     path = io.new_scratch(spark, "eval-pairs")
-    files.write.mode("overwrite").partitionBy("conv_id").text(path)
-    pairs = io.read_eval_pairs(spark, path)
-    return pairs.select(F.col("conv_id").cast("long").alias("conv_id"), "question", "answer", "error")
+    files.write.mode("overwrite").json(path)  # many pairs a file
+    return io.eval_pairs(spark.read.schema(files.schema).json(path)).select("conv_id", "question", "answer", "error")
 
 
 @register("write_valid_documents", sql=f"""

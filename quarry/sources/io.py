@@ -103,12 +103,16 @@ def event_entries(events: DataFrame, page_text: DataFrame | None = None) -> Data
 
 
 def read_eval_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """Files of 'question --- answer'; exactly two parts, both trimmed;
-    other files come back with an error and null parts."""
-    raw = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    parts = F.split("value", "---")
+    """Files of 'question --- answer', one pair a file (see ``eval_pairs``)."""
+    return eval_pairs(spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name()))
+
+
+def eval_pairs(raw: DataFrame, value: str = "value") -> DataFrame:
+    """Texts of 'question --- answer': exactly two parts, both trimmed; other
+    texts come back with an error and null parts."""
+    parts = F.split(value, "---")
     ok = F.size(parts) == 2
-    extra = [c for c in raw.columns if c != "value"]
+    extra = [c for c in raw.columns if c != value]
     return raw.select(*extra, F.when(ok, T.py_strip(parts[0])).alias("question"),
                       F.when(ok, T.py_strip(parts[1])).alias("answer"),
                       F.when(~ok, F.lit("expected exactly one '---' separator")).alias("error"))
@@ -136,7 +140,7 @@ def write_valid_documents(df: DataFrame, path: str, rejects_path: str | None = N
         good = latest_wins(good, ["NativeId"], [F.col(order_col).desc()])
     by_window(good, "day").write.mode("overwrite").option("partitionOverwriteMode", "static") \
         .partitionBy("day").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(good.schema).parquet(path)
 
 
 def write_raw_archive(df: DataFrame, path: str) -> None:
@@ -156,7 +160,7 @@ def write_embeddings(df: DataFrame, path: str, model: str, window_col: str = "wi
                     F.current_timestamp().alias("created_at"), window_col)
     by_window(out, window_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy(window_col).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(out.schema).parquet(path)
 
 
 def upsert_chunks(store_path: str, changes: DataFrame, key: str = "chunk_id", order_col: str | None = None) -> str:
