@@ -91,6 +91,13 @@ def safe_name(c) -> Column:
     return F.translate(_c(c), "/\\:", "___")
 
 
+def entry_name(name, content) -> Column:
+    """Entry file name: safe, without blanks, and told apart from others of
+    the same name by a stable suffix from the content."""
+    safe = F.regexp_replace(safe_name(name), r"\s", "_")
+    return F.concat_ws("_", safe, F.substring(F.sha2(_c(content), 256), 1, 12))
+
+
 def chunk_id(native_id, index) -> Column:
     return F.concat(_c(native_id).cast("string"), F.lit("_chunk_"), _c(index).cast("string"))
 

@@ -36,12 +36,6 @@ def l2_normalize(v) -> Column:
     return F.when(n > 0, F.transform(_c(v), lambda x: x / n))
 
 
-def hash_embedding(token_array, dims: int = 64) -> Column:
-    """Offline embedder as one expression (for small inputs; prefer
-    ``with_hash_embedding`` which stages the work)."""
-    return l2_normalize(hash_counts(token_array, dims))
-
-
 def with_hash_embedding(df, token_col: str, dims: int = 64, out: str = "embedding"):
     """Offline embedder: md5 feature hashing to ``dims``, L2-normalised.
 

@@ -108,5 +108,5 @@ def page_entries(pages: DataFrame, title_selector: str | None = "h1",
     fname = F.col("_fname") if file_name_selector else F.lit(None).cast("string")
     fname = F.coalesce(fname, F.concat(F.lit("unknown_entry_"), F.translate(url_col, "/", "_")))
     out = sel.withColumn("title", title).withColumn("content", content) \
-        .withColumn("file_name", F.regexp_replace(TX.safe_name(fname), r"\s", "_"))
+        .withColumn("file_name", TX.entry_name(fname, "content"))
     return out.drop(*sels.keys())

@@ -21,13 +21,10 @@ from quarry.session import shared_table
 from quarry.sources.decisions import DECISIONS_SQL, decisions_from_documents
 from quarry.sources.tables import table
 
-# --- fixed value: system prompt template of the chat pipeline
-SYSTEM_TEMPLATE = ("Vastaa käyttäjän kysymykseen hyödyntäen ohessa olevaa dataa. "
-                   "Jos konteksti ei sisällä vastausta, et saa vastata. "
-                   "Vinkkaa että käyttäjä voisi kysyä OpenWebUI pipelines laajennoksesta."
+#: Settings of these queries: the system message, and the start of title requests, which get none.
+SYSTEM_TEMPLATE = ("Answer the question from the data below. If it does not hold the answer, say so."
                    "\n\nDATA: {context}")
 TITLE_PROMPT_PREFIX = "Here is the query:"
-# --- end of fixed values
 
 
 @lru_cache(maxsize=1 << 17)

@@ -124,28 +124,37 @@ WITH ev AS (SELECT e.event_id, e.event_type || ' ' || CAST(e.event_id AS VARCHAR
                    CASE WHEN e.event_id % 2 = 0 THEN json_extract_string(e.props, '$.k') END AS description_fi,
                    CASE WHEN e.event_id % 3 = 0 THEN p.url END AS location_url,
                    CASE WHEN e.event_id % 3 = 0 THEN regexp_extract(p.html, '<h1>([^<]*)</h1>', 1) END AS main_text
-            FROM events e LEFT JOIN pages p ON p.page_id = e.user_id)
-SELECT event_id,
+            FROM events e LEFT JOIN pages p ON p.page_id = e.user_id),
+c AS (SELECT event_id, start_time, name_fi,
   'Tapahtuma: ' || name_fi || chr(10) || ', ' || chr(10) || 'Päivämäärä: ' || strftime(start_time, '%d.%m.%Y')
   || chr(10) || ', ' || chr(10) || 'Aika: ' || strftime(start_time, '%H:%M') || ' - ' || strftime(end_time, '%H:%M')
   || chr(10) || ', ' || chr(10) || 'Paikka: ' || location_fi || ', ' || coalesce(street_fi, 'No Address')
-  || chr(10) || ', ' || chr(10) || 'Kuvaus: ' || coalesce(nullif(description_fi, ''), CASE WHEN location_url IS NOT NULL THEN coalesce(main_text, 'None') END, 'None') AS content,
-  replace(translate(strftime(start_time, '%Y-%m-%d') || '_' || substr(name_fi, 1, 6), '/\\:', '___'), ' ', '_') AS file_name
-FROM ev
+  || chr(10) || ', ' || chr(10) || 'Kuvaus: ' || coalesce(nullif(description_fi, ''), CASE WHEN location_url IS NOT NULL THEN coalesce(main_text, 'None') END, 'None') AS content
+FROM ev)
+SELECT event_id, content, replace(translate(strftime(start_time, '%Y-%m-%d') || '_' || substr(name_fi, 1, 6), '/\\:', '___'), ' ', '_')
+       || '_' || substr(sha256(content), 1, 12) AS file_name
+FROM c
 """)
 def q_event_entries(spark, sf):
+    """Events written as feed responses (nested JSON) and read back."""
     e = table(spark, sf, "events")
     pages = table(spark, sf, "pages")
-    feed = e.join(pages.select("page_id", "url"), e["user_id"] == pages["page_id"], "left").select(
-        "event_id", F.concat("event_type", F.lit(" "), F.col("event_id").cast("string")).alias("name_fi"),
-        F.col("ts").alias("start_time"),
-        F.timestamp_add("MINUTE", F.floor("value"), "ts").alias("end_time"),
-        F.concat(F.lit("Paikka "), F.col("user_id").cast("string")).alias("location_fi"),
-        F.when(F.col("user_id") % 2 == 1, F.concat(F.lit("Katu "), F.col("user_id").cast("string"))).alias("street_fi"),
-        F.when(F.col("event_id") % 2 == 0, F.get_json_object("props", "$.k")).alias("description_fi"),
-        F.when(F.col("event_id") % 3 == 0, F.col("url")).alias("location_url"))
+    name = F.struct(F.concat("event_type", F.lit(" "), F.col("event_id").cast("string")).alias("fi"))
+    end = F.timestamp_add("MINUTE", F.floor("value").cast("int"), "ts")
+    street = F.when(F.col("user_id") % 2 == 1, F.concat(F.lit("Katu "), F.col("user_id").cast("string")))
+    place = F.struct(F.when(F.col("event_id") % 3 == 0, F.col("url")).alias("@id"),
+                     F.struct(F.concat(F.lit("Paikka "), F.col("user_id").cast("string")).alias("fi")).alias("name"),
+                     F.struct(street.alias("fi")).alias("street_address"))
+    described = F.struct(F.when(F.col("event_id") % 2 == 0, F.get_json_object("props", "$.k")).alias("fi"))
+    event = F.struct(name.alias("name"), F.col("ts").cast("string").alias("start_time"), end.cast("string").alias("end_time"),
+                     place.alias("location"), described.alias("description"))
+    feed = e.join(pages.select("page_id", "url"), e["user_id"] == pages["page_id"], "left") \
+        .select("event_id", F.to_json(F.struct(F.array(event).alias("data"))).alias("value"))
+    path = io.new_scratch(spark, "event-feed")
+    feed.write.json(path)
     page_text = pages.select("url", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("main_text"))
-    return io.event_entries(feed, page_text).select("event_id", "content", "file_name")
+    back = io.event_feed(spark.read.schema(feed.schema).json(path))
+    return io.event_entries(back, page_text).select("event_id", "content", "file_name")
 
 
 @register("read_eval_pairs", sql=f"""
@@ -293,6 +302,31 @@ def q_fan_out_write(spark, sf):
                                               F.size("errors").cast("long").alias("n_errors"))
 
 
+@register("publish_from_config", sql="""
+SELECT * FROM (VALUES ('csv_excel', 'customers'), ('web', 'pages'), ('events_api', 'events')) t(type, collection) JOIN (
+  SELECT 'customers' AS collection, CAST(count(DISTINCT (c_name, c_mktsegment)) AS BIGINT) AS entries, false AS failed FROM customer
+  UNION ALL SELECT 'pages', CAST(count(DISTINCT regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS BIGINT), false FROM pages
+  UNION ALL SELECT 'events', CAST(count(DISTINCT (event_type, date_trunc('minute', ts))) AS BIGINT), false FROM events) USING (collection)
+UNION ALL SELECT 'no_such_type', 'none', CAST(0 AS BIGINT), true
+""")
+def q_publish_from_config(spark, sf):
+    """Four configs published, one of them wrong: it fails alone."""
+    from quarry.operators import html_jobs
+    from quarry.plans.publish import publish_all
+    none = F.lit(None).cast("string")
+    sources = {
+        "csv_excel": lambda s, c: io.tabular_entries(table(s, sf, "customer"), ["c_mktsegment"], "c_name", "c_name"),
+        "web": lambda s, c: html_jobs.page_entries(table(s, sf, "pages"), "h1", ("h1",), "h1"),
+        "events_api": lambda s, c: io.event_entries(table(s, sf, "events").select(
+            F.col("event_type").alias("name_fi"), F.col("ts").alias("start_time"), F.col("ts").alias("end_time"),
+            none.alias("location_fi"), none.alias("street_fi"), none.alias("description_fi"), none.alias("location_url")))}
+    configs = [{"type": "csv_excel", "collection": "customers", "data": {"prefix": "c_"}},
+               {"type": "no_such_type", "collection": "none"}, {"type": "web", "collection": "pages"},
+               {"type": "events_api", "collection": "events"}]
+    done = publish_all(spark, configs, sources, io.new_scratch(spark, "knowledge"))
+    return done.select("type", "collection", "entries", F.col("error").isNotNull().alias("failed"))
+
+
 @register("import_from_config")
 def q_import_from_config(spark, sf):
     """Three configs (csv_excel, web, events_api) over the landed tables;

@@ -20,7 +20,7 @@ def full_refresh_publish(entries: DataFrame, path: str, collection: str, prefix:
     out = dedup.select(F.concat(F.lit(prefix), F.col("doc_id").cast("string")).alias("name"), "content",
                        T.token_count("content").alias("tokens"), F.lit(collection).alias("collection"))
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(path)
-    back = entries.sparkSession.read.parquet(path).where(F.col("collection") == collection)
+    back = entries.sparkSession.read.schema(out.schema).parquet(path).where(F.col("collection") == collection)
     return back.groupBy("collection").agg(F.count(F.lit(1)).alias("entries"),
                                           F.round(F.coalesce(F.avg("tokens"), F.lit(0.0)), 6).alias("mean_tokens"))
 
@@ -35,3 +35,25 @@ def import_from_config(spark: SparkSession, config: dict, sources: dict) -> Data
     entries = sources[kind](spark, config)
     prefix = config.get("data", {}).get("prefix", "")
     return entries.withColumn("file_name", F.concat(F.lit(prefix), F.col("file_name")))
+
+
+def publish_all(spark: SparkSession, configs: list[dict], sources: dict, path: str, verify_only: bool = False) -> DataFrame:
+    """Import and publish each config's entries as its ``collection`` below
+    ``path``; one row per config: type, collection, entries, error.  A config
+    that fails leaves the others alone.  ``verify_only`` publishes nothing and
+    fails configs whose source yields no entry."""
+    done = []
+    for cfg in configs:
+        row = [str(cfg.get("type")), cfg.get("collection", ""), 0, None]
+        try:
+            entries = import_from_config(spark, cfg, sources).select(F.col("file_name").alias("doc_id"), "content")
+            if verify_only:
+                if entries.isEmpty():
+                    raise ValueError("the source yields no entry")
+            else:
+                summary = full_refresh_publish(entries, path, row[1]).first()
+                row[2] = summary["entries"] if summary else 0
+        except Exception as e:  # noqa: BLE001 -- reported in the config's row
+            row[3] = f"{type(e).__name__}: {e}"
+        done.append(tuple(row))
+    return spark.createDataFrame(done, "type string, collection string, entries long, error string")

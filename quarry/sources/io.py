@@ -77,6 +77,24 @@ def tabular_entries(df: DataFrame, content_fields: list[str], title_field: str |
                      F.regexp_replace(T.safe_name(fname), r"\s", "_").alias("file_name"))
 
 
+# --- fixed value: the fields of an event feed that entries use
+EVENT_FEED = """data array<struct<
+  name: struct<fi: string>, start_time: string, end_time: string, description: struct<fi: string>,
+  location: struct<`@id`: string, name: struct<fi: string>, street_address: struct<fi: string>>>>"""
+# --- end of fixed values
+
+
+def event_feed(raw: DataFrame, col: str = "value") -> DataFrame:
+    """Feed responses (JSON texts with a ``data`` list) -> one flat row per
+    event, as ``event_entries`` takes them; a text without the list has none."""
+    e = raw.select(*[c for c in raw.columns if c != col], F.explode(F.from_json(col, EVENT_FEED)["data"]).alias("_e"))
+    fields = {"name_fi": "name.fi", "description_fi": "description.fi", "location_url": "location.`@id`",
+              "location_fi": "location.name.fi", "street_fi": "location.street_address.fi"}
+    times = {t: F.try_to_timestamp(F.col(f"_e.{t}")) for t in ("start_time", "end_time")}
+    return e.select("*", *[F.col(f"_e.{path}").alias(name) for name, path in fields.items()],
+                    *[c.alias(name) for name, c in times.items()]).drop("_e")
+
+
 def event_entries(events: DataFrame, page_text: DataFrame | None = None) -> DataFrame:
     """Event feed rows (flattened JSON fields) -> text entries with per-field
     defaults; a missing description falls back to the location page's main
@@ -98,8 +116,7 @@ def event_entries(events: DataFrame, page_text: DataFrame | None = None) -> Data
                        F.lit("\n, \nPaikka: "), F.coalesce(F.col("location_fi"), F.lit("No Location")), F.lit(", "),
                        F.coalesce(F.col("street_fi"), F.lit("No Address")), F.lit("\n, \nKuvaus: "), desc)
     fname = F.concat(F.date_format(start, "yyyy-MM-dd"), F.lit("_"), F.substring(title, 1, 6))
-    return e.select("*", content.alias("content"),
-                    F.regexp_replace(T.safe_name(fname), r"\s", "_").alias("file_name"))
+    return e.withColumn("content", content).withColumn("file_name", T.entry_name(fname, "content"))
 
 
 def read_eval_pairs(spark: SparkSession, path: str) -> DataFrame:

@@ -130,3 +130,29 @@ def test_metadata_filter_days(spark, lo, hi, want):
     days = ["2024-01-01T23:59:59", "2024-01-02", "2024-01-02T10:00:00", "2024-01-03T23:59:59.999", "2024-01-04", None]
     df = spark.createDataFrame(list(enumerate(days)), "id int, d string")
     assert {r["id"] for r in metadata_filter(df, "d", lo, hi).collect()} == want
+
+
+def test_event_feed_and_unique_names(spark):
+    event = {"name": {"fi": "Konsertti"}, "start_time": "2024-05-01T18:00:00", "end_time": "2024-05-01T20:30:00",
+             "location": {"@id": "http://x/1", "name": {"fi": "Talo"}, "street_address": None}, "description": {"fi": "a"}}
+    other = {**event, "description": {"fi": "b"}}
+    raw = spark.createDataFrame([(json.dumps({"data": [event, other, {}]}),), ("{}",), ("not json",), (None,)], "value string")
+    rows = io.event_entries(io.event_feed(raw)).orderBy("content").collect()
+    assert len(rows) == 3 and len({r["file_name"] for r in rows}) == 3
+    assert any("Aika: 18:00 - 20:30" in r["content"] and "No Address" in r["content"] for r in rows)
+    assert any("No Title" in r["content"] for r in rows)
+
+
+def test_publish_all_isolates_failures(spark, tmp_path):
+    from quarry.plans.publish import publish_all
+    ok = spark.createDataFrame([("a", "x y"), ("b", "x y"), ("c", "z")], "file_name string, content string")
+
+    def broken(s, c):
+        raise OSError("gone")
+    sources = {"csv_excel": lambda s, c: ok, "web": broken, "events_api": lambda s, c: ok.limit(0)}
+    configs = [{"type": t, "collection": t} for t in ("web", "csv_excel", "events_api", "ftp")]
+    got = {r["type"]: (r["entries"], r["error"]) for r in publish_all(spark, configs, sources, str(tmp_path / "k")).collect()}
+    assert got["csv_excel"] == (2, None) and got["events_api"] == (0, None)
+    assert got["web"] == (0, "OSError: gone") and got["ftp"][1].startswith("ValueError")
+    checked = {r["type"]: r["error"] for r in publish_all(spark, configs, sources, str(tmp_path / "v"), verify_only=True).collect()}
+    assert checked["csv_excel"] is None and "no entry" in checked["events_api"] and not (tmp_path / "v").exists()
