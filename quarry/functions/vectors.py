@@ -15,27 +15,10 @@ def token_bucket(tok, dims: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("long"), F.lit(dims))
 
 
-def hash_counts(token_array, dims: int) -> Column:
-    """Dense term-count vector (array<double>, length dims) of a token array.
-
-    Row-local (no shuffle): buckets are computed once, then counted per
-    dimension inside the row.
-    """
-    buckets = F.transform(_c(token_array), lambda t: token_bucket(t, dims))
-    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long")),
-                       lambda d: (F.size(buckets) - F.size(F.array_remove(buckets, d))).cast("double"))
-
-
 def l2_norm(v) -> Column:
     return F.sqrt(F.aggregate(_c(v), F.lit(0.0), lambda acc, x: acc + x * x))
 
 
-def l2_normalize(v) -> Column:
-    """Unit-length copy of a vector; null when the norm is 0."""
-    n = l2_norm(v)
-    return F.when(n > 0, F.transform(_c(v), lambda x: x / n))
-
-
 def with_hash_embedding(df, token_col: str, dims: int = 64, out: str = "embedding"):
     """Offline embedder: md5 feature hashing to ``dims``, L2-normalised.
 
