@@ -64,20 +64,28 @@ def retry_rollup(attempts: DataFrame, key: str, order_cols: list[str], ok_col: s
                     F.coalesce("first_good", "attempts").alias("attempts_used"))
 
 
-def fetch_summary(per_id: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Totals and recovery rate (recovered / retries · 100, 0 when no retry)."""
-    retries = F.sum(F.when(F.col("recovered_at") > 1, F.col("recovered_at") - 1).otherwise(0))
-    s = per_id.agg(F.count(F.lit(1)).alias("ids"),
-                   F.count_if(F.col("recovered_at") == 1).cast("long").alias("first_try"),
-                   retries.cast("long").alias("retries"),
-                   F.count_if(F.col("recovered_at") > 1).cast("long").alias("recovered"),
-                   F.count_if(F.col("recovered_at").isNull()).cast("long").alias("failed"))
-    n = attempts.agg(F.count(F.lit(1)).alias("attempts"))
-    # both sides are single-row aggregates
-    return s.join(F.broadcast(n), how="inner").select(
-        "ids", "attempts", "first_try", "retries", "recovered", "failed",
-        F.round(F.coalesce(F.try_divide(F.col("recovered") * 100.0, F.nullif(F.col("retries"), F.lit(0))),
-                           F.lit(0.0)), 6).alias("recovery_rate"))
+def _rate(part: Column, whole: Column) -> Column:
+    return F.round(F.coalesce(F.try_divide(part * 100.0, F.nullif(whole, F.lit(0))), F.lit(0.0)), 6)
+
+
+def fetch_summary(per_id: DataFrame, attempts: DataFrame, skipped: DataFrame, outages: DataFrame) -> DataFrame:
+    """Totals of a fetch: ids (see ``retry_rollup``), skipped ids, attempts,
+    batches with outages (see ``outage_rollup``), and the rates recovered /
+    retries and recovered batches / batches with outages (percent, 0 if none)."""
+    recovered = F.col("recovered_at") > 1
+    hit = F.col("outages") > 0
+    totals = [
+        per_id.agg(F.count(F.lit(1)).alias("ids"), F.count_if(F.col("recovered_at") == 1).alias("first_try"),
+                   F.coalesce(F.sum(F.when(recovered, F.col("recovered_at") - 1)), F.lit(0)).cast("long").alias("retries"),
+                   F.count_if(recovered).alias("recovered"), F.count_if(F.col("recovered_at").isNull()).alias("failed")),
+        attempts.agg(F.count(F.lit(1)).alias("attempts")),
+        skipped.agg(F.count(F.lit(1)).alias("skipped")),
+        outages.agg(F.count_if(hit).alias("outage_batches"), F.count_if(hit & (F.col("status") == "recovered")).alias("_back"))]
+    s = totals[0]
+    for one_row in totals[1:]:
+        s = s.join(F.broadcast(one_row))
+    return s.withColumn("recovery_rate", _rate(F.col("recovered"), F.col("retries"))) \
+        .withColumn("outage_recovery_rate", _rate(F.col("_back"), F.col("outage_batches"))).drop("_back")
 
 
 def outage_rollup(attempts: DataFrame, batch: str, order_cols: list[str], outage_col: str = "outage") -> DataFrame:

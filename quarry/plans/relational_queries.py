@@ -520,13 +520,20 @@ def q_retry_rollup(spark, sf):
 
 @register("fetch_summary", sql=f"""
 WITH {ATTEMPTS_SQL},
-per AS (SELECT user_id, min(attempt) FILTER (WHERE ok) AS first_ok, max(attempt) AS n FROM att GROUP BY user_id)
+per AS (SELECT user_id, min(attempt) FILTER (WHERE ok) AS first_ok, max(attempt) AS n FROM att GROUP BY user_id),
+day_att AS (SELECT CAST(ts AS DATE) AS day, event_type <> 'error' AS ok,
+                   row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS attempt FROM events),
+days AS (SELECT day, min(attempt) FILTER (WHERE ok) AS first_ok, count(*) FILTER (WHERE NOT ok) AS outages FROM day_att GROUP BY day)
 SELECT CAST(count(*) AS BIGINT) AS ids, CAST((SELECT count(*) FROM events) AS BIGINT) AS attempts,
        CAST(count(*) FILTER (WHERE first_ok = 1) AS BIGINT) AS first_try,
        CAST(sum(CASE WHEN first_ok > 1 THEN first_ok - 1 ELSE 0 END) AS BIGINT) AS retries,
        CAST(count(*) FILTER (WHERE first_ok > 1) AS BIGINT) AS recovered,
        CAST(count(*) FILTER (WHERE first_ok IS NULL) AS BIGINT) AS failed,
-       round(coalesce(count(*) FILTER (WHERE first_ok > 1) * 100.0 / nullif(sum(CASE WHEN first_ok > 1 THEN first_ok - 1 ELSE 0 END), 0), 0), 6) AS recovery_rate
+       round(coalesce(count(*) FILTER (WHERE first_ok > 1) * 100.0 / nullif(sum(CASE WHEN first_ok > 1 THEN first_ok - 1 ELSE 0 END), 0), 0), 6) AS recovery_rate,
+       CAST((SELECT count(*) FROM labels WHERE quality = 1) AS BIGINT) AS skipped,
+       CAST((SELECT count(*) FROM days WHERE outages > 0) AS BIGINT) AS outage_batches,
+       (SELECT round(coalesce(count(*) FILTER (WHERE outages > 0 AND first_ok > 1) * 100.0 / nullif(count(*) FILTER (WHERE outages > 0), 0), 0), 6)
+        FROM days) AS outage_recovery_rate
 FROM per
 """)
 def q_fetch_summary(spark, sf):
@@ -534,7 +541,8 @@ def q_fetch_summary(spark, sf):
     e = table(spark, sf, "events")
     per = retry_rollup(e.select("user_id", "ts", "event_id", (F.col("event_type") != "error").alias("ok")),
                        "user_id", ["ts", "event_id"])
-    return fetch_summary(per, e)
+    skipped = table(spark, sf, "labels").where(F.col("quality") == 1)
+    return fetch_summary(per, e, skipped, q_outage_rollup(spark, sf))
 
 
 @register("outage_rollup", sql="""
