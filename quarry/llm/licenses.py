@@ -3,17 +3,31 @@
 A text is normalised (case, punctuation, copyright lines, equivalent
 spellings, white space), hashed with SHA-256 and looked up by a hash join in
 a table of known digests, which is made by the same normalisation from the
-known texts.  Whole documents and, since documents quote notices, each of
-their lines are looked up as entire texts.  The known table is a parameter of
-bounded size (``MAX_KNOWN`` rows), so it may be broadcast.
-
-Defined results: a null text is an empty one and has no license; a text of
+known texts.  These are the notices of ``KNOWN`` and the whole licenses in
+``license_texts``, read on the driver.  Whole documents and, since documents
+quote notices, each of their lines are looked up as entire texts.  A document
+may hold a license of several paragraphs, wrapped in any way, among other text:
+a known text is found as well where its paragraphs stand one after the other.
+The known table is a parameter of bounded size (``MAX_KNOWN`` texts), so it may
+be broadcast.
+
+
+A line that begins with "copyright" or "(c)" may also be the wrapped middle of
+a sentence or an item of a list.  ``normalised`` drops it nevertheless, so
+whole texts and paragraphs are looked up in a second form as well, which drops
+copyright notices only and does not depend on how a text is wrapped.
+
+Defined results: a paragraph ends at a line without letters and digits, and
+paragraphs that normalise to nothing do not count; a null text is an empty one and has no license; a text of
 copyright lines alone normalises to nothing and has none; rows that share a
 doc_id get a row each, with the licenses of all of them.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,16 +53,34 @@ KNOWN = {
             "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
 }
 
+TEXTS = Path(__file__).with_name("license_texts")  # <license id>[.variant].txt
+
+# Lines that stand above a whole license, besides copyright lines.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License", "BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "Modified BSD License", "BSD License"],
+}
+RESERVED = "All rights reserved."
+
 # Equivalent spellings, applied in this order to lower-case text.
 SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"),
              ("merchantibility", "merchantability"), ("per cent", "percent"), ("copyright owner", "copyright holder"),
              ("https://", "http://"), ("&", " and ")]
 
+# A notice, on lower-case text: with a year, a sign or a placeholder, or a paragraph of one line.
+NOTICE = (r"(?m)^[^a-z0-9\n]*(?:(?:copyright|\(c\)|©)[^a-z0-9\n]*(?:c\)[^a-z0-9\n]*)?(?:\d{4}|year|yyyy)|copyright[^a-z0-9\n]*(?:\(c\)|©))[^\n]*$"
+          r"|(?<=\A|\n\n)[ \t]*copyright[^\n]*(?=\n\n|\n?\z)")
+PARAGRAPH_END = r"\n[^\p{L}\p{N}\n]*(?=\n)"
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$"
 
 
 def normalised(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
+    return _plain(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " "))
+
+
+def _plain(out: Column) -> Column:
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
@@ -58,13 +90,67 @@ def digest(text: Column) -> Column:
     return let(normalised(text), lambda clean: F.when(clean != "", F.sha2(clean, 256)))
 
 
+def paragraphs(text: Column) -> Column:
+    """Paragraphs in the second form, without those that are empty in it."""
+    lines = F.regexp_replace(F.regexp_replace(F.lower(text), r"\r\n?", "\n"), NOTICE, " ")
+    return F.filter(F.transform(F.split(lines, PARAGRAPH_END, -1), _plain), lambda p: p != "")
+
+
+def digests(parts: Column) -> Column:
+    return F.transform(parts, lambda p: F.sha2(p, 256))
+
+
+def joined_digest(parts: Column) -> Column:
+    return F.sha2(F.array_join(parts, " "), 256)
+
+
+def whole_texts() -> dict[str, list[str]]:
+    """The licenses of ``license_texts`` as they are usually given: with and
+    without a title, what follows the terms, or the numbers of a short list,
+    and with its items as paragraphs or not."""
+    out: dict[str, list[str]] = {}
+    for path in sorted(TEXTS.glob("*.txt")):
+        name = path.name.removesuffix(".txt").removesuffix(".regents")
+        text = path.read_text("utf-8")
+        forms = [text]
+        if "END OF TERMS AND CONDITIONS" in text:
+            terms, _ = text.split("END OF TERMS AND CONDITIONS", 1)
+            forms += [terms, terms + "END OF TERMS AND CONDITIONS"]
+        if name.startswith("BSD"):
+            body = text[text.index("Redistribution"):]
+            close = re.sub(r"\n+(\d\. )", r"\n\1", body)
+            apart = re.sub(r"\n+(\d\. )", r"\n\n\1", body)
+            forms = [re.sub(r"(?m)^\d\. ", mark, form) for form in (close, apart, apart.replace("\n\n1. ", "\n1. ")) for mark in (r"\g<0>", "* ")]
+        heads = ["", *TITLES.get(name, [])]
+        heads += [f"{head}\n\n{RESERVED}".strip() for head in heads] if name in TITLES else []
+        out.setdefault(name, []).extend(f"{head}\n\n{form}" for head in heads for form in forms)
+    return out
+
+
 def known_table(spark: SparkSession, known: dict | None = None) -> DataFrame:
-    """license_id and digest of every known text."""
-    rows = [(k, t) for k, texts in (known or KNOWN).items() for t in texts]
+    """license_id and digest of every known text; digests of its paragraphs
+    and of these joined."""
+    if known is None:
+        known = {k: [*KNOWN.get(k, []), *whole.get(k, [])] for whole in [whole_texts()] for k in {**KNOWN, **whole}}
+    rows = [(k, t) for k, texts in known.items() for t in texts]
     if len(rows) > MAX_KNOWN:
         raise ValueError(f"more than {MAX_KNOWN} known texts")
+    parts = paragraphs(F.col("text"))
     return (spark.createDataFrame(rows, "license_id string, text string")
-            .select("license_id", digest(F.col("text")).alias("digest")).distinct())
+            .select("license_id", digest(F.col("text")).alias("digest"), digests(parts).alias("paragraphs"), joined_digest(parts).alias("joined"))
+            .distinct())
+
+
+def _quoted(base: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id and license_id of known texts whose paragraphs stand one after
+    the other in a document."""
+    parts = known.select("license_id", F.xxhash64("license_id", "paragraphs").alias("known_id"), F.size("paragraphs").alias("n"),
+                         F.posexplode("paragraphs").alias("k", "digest"))
+    rows = (base.withColumn("row", F.monotonically_increasing_id())  # rows may share a doc_id
+            .select("doc_id", "row", F.posexplode(digests(paragraphs(F.col("t")))).alias("at", "digest")))
+    return (rows.join(F.broadcast(parts), "digest")
+            .groupBy("doc_id", "row", "license_id", "known_id", "n", (F.col("at") - F.col("k")).alias("start"))
+            .count().where("count = n").select("doc_id", "license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -72,13 +158,17 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     n_notices (lines that are a known text), one row per document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col("doc_id"), text.alias("t"))
-    rows = base.select("doc_id", digest(F.col("t")).alias("text_digest"),
-                       F.transform(F.split("t", "\n", -1), digest).alias("lines"))
-    found = (rows.select("doc_id", F.explode("lines").alias("digest")).where(F.col("digest").isNotNull())
-             .join(F.broadcast(known), "digest").groupBy("doc_id")
-             .agg(F.count(F.lit(1)).alias("n_notices"), F.collect_set("license_id").alias("ids")))
-    whole = F.broadcast(known.select(F.col("digest").alias("text_digest"), F.col("license_id").alias("whole_license")))
-    out = (docs.select("doc_id", digest(text).alias("text_digest")).join(whole, "text_digest", "left").alias("a")
+    texts = known.select("license_id", "digest").distinct()
+    lines = base.select("doc_id", F.explode(F.transform(F.split("t", "\n", -1), digest)).alias("digest"))
+    found = (lines.where(F.col("digest").isNotNull()).join(F.broadcast(texts), "digest")
+             .select("doc_id", "license_id", F.lit(1).alias("notice"))
+             .union(_quoted(base, known).withColumn("notice", F.lit(0))).groupBy("doc_id")
+             .agg(F.sum("notice").alias("n_notices"), F.collect_set("license_id").alias("ids")))
+    whole = F.broadcast(texts.select(F.col("digest").alias("text_digest"), F.col("license_id").alias("by_text")))
+    joined = F.broadcast(known.select("joined", F.col("license_id").alias("by_joined")).distinct())
+    out = (docs.select("doc_id", digest(text).alias("text_digest"), joined_digest(paragraphs(text)).alias("joined"))
+           .join(whole, "text_digest", "left").join(joined, "joined", "left")
+           .select("doc_id", "text_digest", F.coalesce("by_text", "by_joined").alias("whole_license")).alias("a")
            .join(found.withColumnRenamed("doc_id", "f_id").alias("f"), F.col("a.doc_id").eqNullSafe(F.col("f_id")), "left"))
     ids = F.sort_array(F.array_union(F.coalesce("ids", F.array().cast("array<string>")),
                                      F.when(F.col("whole_license").isNotNull(), F.array("whole_license"))

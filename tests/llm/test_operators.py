@@ -330,6 +330,34 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty, licenses.known_table(spark)).count() == 0
 
 
+def test_whole_licenses(spark):
+    """Texts as packages ship them, wrapped their own way, and quoted among other text."""
+    import importlib.metadata
+    from pathlib import Path
+
+    import pyspark
+
+    shipped = Path(pyspark.__file__).parent / "licenses"
+    mit, isc = ((shipped / f"LICENSE-{x}.txt").read_text("utf-8") for x in ("respond", "d3.min.js"))
+    apache = next(f for f in importlib.metadata.files("requests") if f.name == "LICENSE").read_text("utf-8")
+    bsd = next(f for f in importlib.metadata.files("zstandard") if f.name == "LICENSE").read_text("utf-8")
+    common = {k: Path(f"/usr/share/common-licenses/{k}") for k in ("GPL-3", "MPL-2.0")}
+    # copies of license_texts, so wrapped anew; list items keep their lines
+    anew = {k: re.sub(r"(?<=\S)\n(?=[a-z])", " ", p.read_text("utf-8")) for k, p in common.items() if p.exists()}
+    quoted = "About this\n\n" + "".join(f" * {x}\r\n" for x in mit.splitlines()) + " *\r\n * int main()"
+    cut = mit.split("THE SOFTWARE IS PROVIDED")[0]
+    rows = [(1, mit, "MIT", "MIT"), (2, isc, "ISC", "ISC"), (3, apache, "Apache-2.0", "Apache-2.0"), (4, bsd, "BSD-3-Clause", "BSD-3-Clause"),
+            (5, quoted, None, "MIT"), (6, f"{isc}\n\n{mit}\n\nand more", None, "ISC,MIT"), (7, "MIT License\n\n" + mit, "MIT", "MIT"),
+            (8, "a\n\n" + cut + "b\n\n", None, ""), (9, cut + "b", None, ""), (9, mit.split("conditions:")[1], None, ""),
+            *((20 + i, t, k.replace("GPL-3", "GPL-3.0"), k.replace("GPL-3", "GPL-3.0")) for i, (k, t) in enumerate(anew.items()))]
+    got = {(r["doc_id"], r["whole_license"], r["licenses"]) for r in licenses.scan(
+        spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), licenses.known_table(spark)).collect()}
+    assert got == {(r[0], *r[2:]) for r in rows}
+    for column in ("digest", "joined"):
+        known = licenses.known_table(spark).select("license_id", column).distinct()
+        assert known.count() == known.select(column).distinct().count()
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (102, 101)], "src long, dst long")
     got = {r["node"]: r["label"] for r in components.components(edges).collect()}
