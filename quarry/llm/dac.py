@@ -90,13 +90,13 @@ class DirectCodes:
         return out
 
 
-def write(docs: DataFrame, target: str, path: str | None = None) -> None:
+def write(docs: DataFrame, target: str, path: str | None = None, added: bool = False) -> None:
     """Write the files: part, seg, base (ids of the same part before it),
     n_ids, doc_ids and ends (documents of the segment), codes."""
     path = path or vocabulary.path(vocabulary.BYTE_BPE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(path), TaskContext.get().partitionId()
+        encode, part = encoder(path, added), TaskContext.get().partitionId()
         held, ids, state = [], [], {"n": 0, "seg": 0, "base": 0}
 
         def flush():
@@ -158,8 +158,8 @@ def read(spark: SparkSession, target: str) -> DataFrame:
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, added: bool = False) -> DataFrame:
     """Write the files below the shared folder and read them back."""
     target = shared_path(docs.sparkSession, "tokens")
-    write(docs, target, path)
+    write(docs, target, path, added)
     return read(docs.sparkSession, target)

@@ -102,15 +102,15 @@ def _open(tree: CapacityTree, held: dict, space: int, first: int, n: int) -> Non
     tree.add(space, n)
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, added: bool = False) -> DataFrame:
     """Documents as pieces of at most ``capacity`` tokens, the end token
-    included; ``part`` and ``rank`` number the pieces of a length within a
+    included; ``added`` as in ``encoder``; ``part`` and ``rank`` number the pieces of a length within a
     task, in reading order."""
     path = path or vocabulary.path(vocabulary.BYTE_BPE)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen = encoder(path), TaskContext.get().partitionId(), {}
+        encode, part, seen = encoder(path, added), TaskContext.get().partitionId(), {}
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 few = batch.slice(at, 1000)
@@ -140,9 +140,9 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, added: bool = False) -> DataFrame:
     """Every piece with its ``sequence_id`` and ``offset``."""
-    cut = store(pieces(docs, path, capacity, with_ids), "pieces")
+    cut = store(pieces(docs, path, capacity, with_ids, added), "pieces")
     held = store(cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
     totals = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     runs = plan(totals, capacity)

@@ -142,6 +142,29 @@ def test_token_files(docs, empty):
     assert dac.round_trip(empty).count() == 0
 
 
+def test_added_tokens(spark, tmp_path):
+    """The registered queries give the library's ids as it is loaded."""
+    from tokenizers import Tokenizer
+
+    from quarry.llm import queries
+
+    end = "<|endoftext|>"
+    texts = [*fixture_texts(), f"a {end} b", end * 3, f"  {end}  x\n{end}\n\n'tis", f"it{end}'s <|endoftext", f"\x01 {end}", "word " * 3000 + end + " tail"]
+    tokenizer = Tokenizer.from_file(vocabulary.path(vocabulary.BYTE_BPE))
+    own = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [0], "<u4") for t in texts]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    at = 0
+    rows = sorted(queries.op10_token_output(spark, str(tmp_path)).collect(), key=lambda r: r["doc_id"])
+    for r, ids in zip(rows, own, strict=True):
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    got = Counter()
+    for r in queries.op3_best_fit_packing(spark, str(tmp_path)).collect():
+        assert r["ids_crc32"] == zlib.crc32(own[r["doc_id"]][r["start"]:r["start"] + r["length"]].tobytes())
+        got[r["doc_id"]] += r["length"]
+    assert got == {k: len(ids) for k, ids in enumerate(own)}
+
+
 def test_direct_codes():
     rng = np.random.default_rng(0)
     for top in (1, 200, 50_000, 1 << 31):
