@@ -11,7 +11,9 @@ labels are known (bounded, with a fixed seed) and its weights, some 40 KB, are
 sent with the tasks.  Labelling covers every block of every page.
 
 Defined results: null and empty pages have the empty text; comments, scripts
-and styles have no text; text that no tag surrounds is a block as well; element
+and styles have no text, nor what an iframe holds in its place; images,
+drawings, formulas and the like stand in the line, and their own text counts;
+text that no tag surrounds is a block as well; element
 depth is unlimited; repeated rows get a row each; other columns are ignored,
 whatever their names.
 """
@@ -38,10 +40,13 @@ PATH, LEAF, WORDS = 96, 32, 16
 FEATURES = PATH + LEAF + WORDS + 3
 
 # Elements of the HTML standard by how they take part in text flow.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
+#: Elements in the line that say nothing of the text in them: they do not count in the path.
+TRANSPARENT = frozenset("audio canvas iframe map math noscript object picture svg template textarea video".split())
+INLINE = TRANSPARENT | frozenset("area embed img input link meta param source track".split()) | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea".split())
+SKIPPED = frozenset("script style iframe noembed noframes".split())  # to the end tag
+VERBATIM = frozenset("textarea xmp".split())  # text to the end tag, without tags in it
 CLOSED_BY = {
     "p": frozenset("p div ul ol li table section article aside nav header footer main form h1 h2 h3 h4 h5 h6 pre "
                    "blockquote dl fieldset hr address figure".split()),
@@ -49,10 +54,15 @@ CLOSED_BY = {
     "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]),
     "option": frozenset(["option", "optgroup"]), "head": frozenset(["body"]),
 }
+FOREIGN = ("svg", "math")
+EMBEDS_HTML = ("foreignobject", "annotation-xml")
+# Elements that end an svg or math left open.
+BREAKS_OUT = CLOSED_BY["p"] | frozenset("body center dd dt head html li menu tbody td th thead tr".split())
 BARRIERS = frozenset("ul ol table td th div section article aside main body form blockquote button".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_OPEN_VALUE = re.compile(r"""=\s*[^\s"'=]+\Z""")  # an unquoted value takes a slash at the end
 _PART = re.compile(r"[a-z]+")
 
 
@@ -111,7 +121,16 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         if not name:  # a comment or declaration
             continue
         closing = bool(m[1] or m[4])
-        if name not in INLINE:
+        foreign = any(depth.get(x) for x in FOREIGN) and not any(depth.get(x) for x in EMBEDS_HTML)
+        if foreign and name in BREAKS_OUT:
+            if not closing:
+                for x in FOREIGN:
+                    if depth.get(x):
+                        pop_to(x)
+            foreign = False
+        if foreign and name not in INLINE:
+            take(" ")
+        elif name not in INLINE:
             if name == "br":
                 take("\n")
                 continue
@@ -120,12 +139,25 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             if depth.get(name):
                 pop_to(name)
             continue
-        if name in RAW:
+        attributes = m[3] or m[6] or ""
+        through = foreign or name in TRANSPARENT
+        if (through or name in SKIPPED or name in VERBATIM) and attributes.endswith("/") and not _OPEN_VALUE.search(attributes):
+            continue
+        if name in SKIPPED or name in VERBATIM:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if name in VERBATIM:
+                take(page[at:end.start() if end else len(page)].replace("<", "&lt;"))
+                if name not in INLINE:
+                    flush()
+            if end or name in ("script", "style") or name in VERBATIM:
+                at = end.end() if end else len(page)
             continue
         if name in VOID:
             continue
+        if foreign:
+            stack.append((name, *(stack[-1][1:] if stack else ("", 0))))
+            depth[name] = depth.get(name, 0) + 1
+            continue
         for k in range(len(stack) - 1, -1, -1):
             if name in CLOSED_BY.get(stack[k][0], ()):
                 pop_to(stack[k][0])
@@ -133,7 +165,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             if stack[k][0] in BARRIERS:
                 break
         block, path = stack[-1][1:] if stack else ("", 0)
-        stack.append((name, block if name in INLINE else name, path | _bits(name, m[3] or m[6] or "")))
+        stack.append((name, block if name in INLINE else name, path if through else path | _bits(name, attributes)))
         depth[name] = depth.get(name, 0) + 1
     flush()
     return out

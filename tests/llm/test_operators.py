@@ -191,6 +191,30 @@ def test_page_labeller_held_out(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_page_drops_nothing_else():
+    """Hand-made pages with embedded elements, which the generator does not draw."""
+    texts = lambda page: [b[0] for b in html.blocks(page)]
+    after = "<article><p>one</p><p>two</p></article>"
+    for tag in ("<svg/>", '<svg viewBox="0 0 1 1"/>', "<svg hidden />", "<math/>", '<object data="x"/>', '<script src="x"/>', "<iframe src=x>", "<svg>", "<svg><path d=x>",
+                "<math><mi>", "<object data=x>", "<noscript>", "<template>", "<img src=/a/>", "<video src=x>", "<p><svg><g></p>"):
+        assert texts(tag + after) == ["one", "two"], tag
+        assert texts(tag + after + "<svg><path/></svg><p>three</p>") == ["one", "two", "three"], tag
+    for tag in ("img", "input", "embed", "svg/", "object data=x></object", "iframe>gone</iframe", "svg><path d=x /></svg", "picture><source><img></picture"):
+        assert texts(f"<p>a <{tag}> b</p><p>c</p>") == ["a b", "c"], tag
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>") == ["so x = 1 holds"]
+    assert texts("<p>a <svg><title>t</title><style>s</style><text>u</text></svg> b</p>") == ["a t u b"]
+    assert texts("<p>a <object>b</object> <noscript>c</noscript></p>") == ["a b c"]
+    assert texts("<noscript><p>a</p><p>b</p></noscript>") == ["a", "b"]
+    assert texts("<svg><foreignObject><p>a</p><p>b</p></foreignObject></svg>c") == ["a", "b", "c"]
+    assert texts("<p>x</p><textarea>1 < 2 <p>y</textarea><p>z</p>") == ["x", "1 < 2 <p>y", "z"]
+    assert texts("a<script>x</script><style>y</style><!-- z -->") == ["a"]
+    model = html.train()
+    plain = "<html><body><nav><ul><li><a href=x>home</a></li></ul></nav><article><h1>Some head</h1><p>Words of the text that stay here.</p>{}<p>More words of the text.</p></article></body></html>"
+    want = html.main_text(model, [plain.format("")])[0]
+    got = html.main_text(model, [plain.format(x) for x in ("<svg/>", "<svg>", "<object data=x>", "<p><img></p>", "<noscript><p>Also this one here.</p></noscript>")])
+    assert got == [want] * 4 + [want.replace("\nMore", "\nAlso this one here.\nMore")]
+
+
 def test_page_labeller_on_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     from html import unescape
