@@ -43,7 +43,8 @@ LENGTH = 400
 U = np.uint64
 FLUSH = 1 << 22  # sampled windows held by a task before it passes them on
 UNIT = 4 << 20  # bytes of text in a unit of step 2
-FILTER_BITS = 1 << 23  # of the filter that spares moving texts without repeats
+# Bits of the filter that spares moving texts without repeats; least, most, and for each wanted text.
+FILTER_BITS, MOST_BITS, BITS_A_TEXT = 1 << 23, 1 << 27, 16
 
 
 def difference_cover(r: int) -> tuple[int, np.ndarray]:
@@ -190,35 +191,41 @@ def _candidates(group: pa.Table) -> pa.Table:
                      "sha": pa.array([x.tobytes() for x in docs["sha"]], pa.binary()), "runs": pa.array(runs, pa.binary())})
 
 
-def _key(sha: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return mix(sha ^ mix(ids.view(U))) % U(FILTER_BITS)
+def _key_of(sha: list[bytes], ids: np.ndarray, size: int) -> np.ndarray:
+    first = np.array([int.from_bytes(x[:8], "little") for x in sha], U)
+    return mix(first ^ mix(ids.view(U))) % U(size)
 
 
-def _key_of(sha: list[bytes], ids: np.ndarray) -> np.ndarray:
-    return _key(np.array([int.from_bytes(x[:8], "little") for x in sha], U), ids)
+def _filter_size(n: int) -> int:
+    """Bits for n wanted texts: a power of two, so that at most one in
+    BITS_A_TEXT is set up to MOST_BITS."""
+    return min(max(FILTER_BITS, 1 << (n * BITS_A_TEXT - 1).bit_length()), MOST_BITS) if n else FILTER_BITS
 
 
 def _filter(wanted: DataFrame) -> np.ndarray:
-    """A bit for each key of (sha, doc_id): FILTER_BITS of them, whatever the
-    corpus, so the driver receives a bounded table.  False positives are
-    dropped by the join that follows."""
+    """A bit for each key of (sha, doc_id): MOST_BITS of them at most, whatever
+    the corpus, so the driver receives a bounded table.  Other rows that pass
+    are dropped by the join that follows."""
+    size = _filter_size(wanted.count())
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = _key_of(batch.column("sha").to_pylist(), ids_of(batch.column("doc_id"))).astype(np.int64)
+            key = _key_of(batch.column("sha").to_pylist(), ids_of(batch.column("doc_id")), size).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key >> 6), pa.array(key & 63)], ["word", "bit"])
 
     words = (wanted.select("sha", "doc_id").mapInArrow(keys, "word long, bit long")
              .groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("bits")).toPandas())
-    out = np.zeros(FILTER_BITS >> 6, np.int64)
+    out = np.zeros(size >> 6, np.int64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     return out.view(U)
 
 
-def _texts(bits: np.ndarray, packs: int):
-    """Texts that pass the filter, with the pack that their name falls into."""
+def _texts(bits: np.ndarray):
+    """Texts that pass the filter, each once a task."""
+    size = len(bits) << 6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             ids = ids_of(batch.column("doc_id"))
@@ -226,40 +233,46 @@ def _texts(bits: np.ndarray, packs: int):
             sha = [hashlib.sha256(data[offsets[k]:offsets[k + 1]]).digest() for k in long]
             if not sha:
                 continue
-            key = _key_of(sha, ids[long])
-            some = np.flatnonzero(bits[(key >> U(6)).astype(np.int64)] >> (key & U(63)) & U(1))
+            key = _key_of(sha, ids[long], size)
+            some = []
+            for k in np.flatnonzero(bits[(key >> U(6)).astype(np.int64)] >> (key & U(63)) & U(1)):
+                if sha[k] not in seen:
+                    seen.add(sha[k])
+                    some.append(k)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_pack(sha[k], packs) for k in some], pa.int32()), pa.array([sha[k] for k in some], pa.binary()),
-                 pa.array([data[offsets[r]:offsets[r + 1]].tobytes() for r in long[some]], pa.binary())], ["pack", "sha", "text"])
+                [pa.array([sha[k] for k in some], pa.binary()),
+                 pa.array([data[offsets[r]:offsets[r + 1]].tobytes() for r in long[some]], pa.binary())], ["sha", "text"])
 
     return run
 
 
-def _pack(sha: bytes, packs: int) -> int:
-    return int.from_bytes(sha[8:16], "little") % packs
+def _chosen(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """sha, text and runs of every wanted text, one row each however many
+    copies there are and however many of them pass the filter."""
+    texts = base.mapInArrow(_texts(_filter(wanted)), "sha binary, text binary").dropDuplicates(["sha"])
+    return texts.join(wanted.select("sha", "runs"), "sha").select("sha", "text", "runs")
 
 
-def _units(key, wanted: pa.Table, texts: pa.Table) -> pa.Table:
-    """Texts of one pack that have candidates, several in a row."""
-    runs = dict(zip(wanted.column("sha").to_pylist(), wanted.column("runs").to_pylist()))
-    out, held, size = [], [], 0
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with candidates, several in a row."""
+    task = TaskContext.get().partitionId()
+    many = pa.list_(pa.binary())
+    held, size, n = [], 0, 0
 
-    def close():
-        out.append((f"{key[0].as_py()}-{len(out)}", [h[0] for h in held], [h[1] for h in held], [h[2] for h in held]))
-        held.clear()
+    def unit():
+        row = (f"{task}-{n}", [h[0] for h in held], [h[1] for h in held], [h[2] for h in held])
+        return _table(["unit", "shas", "texts", "runs"], [pa.string(), many, many, many], [row]).combine_chunks().to_batches()[0]
 
-    for sha, text in zip(texts.column("sha"), texts.column("text")):
-        own = runs.pop(sha.as_py(), None)  # each text once
-        if own is not None:
-            held.append((sha.as_py(), text.as_py(), own))
+    for batch in batches:
+        for own in zip(*(batch.column(c) for c in ("sha", "text", "runs"))):
+            held.append(tuple(x.as_py() for x in own))
             size += len(held[-1][1])
             if size >= UNIT:
-                close()
-                size = 0
+                yield unit()
+                held.clear()
+                size, n = 0, n + 1
     if held:
-        close()
-    many = pa.list_(pa.binary())
-    return _table(["unit", "shas", "texts", "runs"], [pa.string(), many, many, many], out)
+        yield unit()
 
 
 def _positions(texts: list[bytes], runs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -348,10 +361,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     # one row of each text that has candidates
     wanted = store(rows.where("runs IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.first("runs").alias("runs")), "wanted")
-    packs = buckets
-    texts = base.mapInArrow(_texts(_filter(wanted), packs), "pack int, sha binary, text binary")
-    keyed = wanted.mapInArrow(_with_pack(packs), "pack int, sha binary, runs binary")
-    units = store(keyed.groupBy("pack").cogroup(texts.groupBy("pack")).applyInArrow(
+    units = store(_chosen(base, wanted).mapInArrow(
         _units, "unit string, shas array<binary>, texts array<binary>, runs array<binary>"), "units")
     ranges = bucket_count(units, 1 << 20)
     replies = (units.mapInArrow(_prefix_names(ranges), "bucket int, unit string, names binary")
@@ -371,12 +381,3 @@ def dedup(docs: DataFrame) -> DataFrame:
         F.coalesce("c.n_spans", F.lit(0)).cast("long").alias("n_spans"),
         F.coalesce("c.kept_sha256", F.lower(F.hex("sha"))).alias("kept_sha256"),
         F.coalesce("c.spans", F.array().cast("array<long>")).alias("spans"))
-
-
-def _with_pack(packs: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pack = [_pack(x, packs) for x in batch.column("sha").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(pack, pa.int32()), batch.column("sha"), batch.column("runs")], ["pack", "sha", "runs"])
-
-    return run

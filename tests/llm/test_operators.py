@@ -253,6 +253,27 @@ def test_substrings(docs, empty):
     assert substrings.dedup(empty).count() == 0
 
 
+def test_copies_move_once(spark):
+    """A wanted text is chosen once, whatever passes the filter."""
+    import pyarrow as pa
+
+    texts = ["copied " * 100, "other " * 100, "third " * 100]
+    shas = [hashlib.sha256(t.encode()).digest() for t in texts]
+    rows = [(7, texts[0])] * 300 + [(k, texts[1]) for k in range(300)] + [(k, texts[2]) for k in range(300)]
+    base = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    wanted = spark.createDataFrame([(shas[0], 7, b"a"), (shas[1], 0, b"b")], "sha binary, doc_id long, runs binary")
+    got = [(bytes(r["sha"]), bytes(r["text"]).decode(), bytes(r["runs"])) for r in substrings._chosen(base, wanted).collect()]
+    assert sorted(got) == sorted([(shas[0], texts[0], b"a"), (shas[1], texts[1], b"b")])
+    full = np.full(16, 2**64 - 1, np.uint64)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([k for k, _ in rows], pa.int64()), "text": [t for _, t in rows]})
+    passed = [x for out in substrings._texts(full)(iter([batch, batch])) for x in out.column("sha").to_pylist()]
+    assert sorted(passed) == sorted(shas)
+    assert substrings._filter_size(0) == substrings._filter_size(1000) == 1 << 23
+    for n in (1 << 19, 1_000_000, 6_000_000):
+        assert n * 16 <= substrings._filter_size(n) < n * 32 + 1
+    assert substrings._filter_size(10**9) == substrings.MOST_BITS
+
+
 def components_by_force(rows):
     sets = []
     for _, t in rows:
