@@ -7,6 +7,7 @@ operators need: tags, attributes, text, void elements, lenient closing.
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -72,14 +73,21 @@ class _Builder(HTMLParser):
     def handle_data(self, data):
         self.cur.children.append(data)
 
+    def parse_marked_section(self, i, report=1):
+        """One of an unknown kind is a comment up to the next ">"."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
+
+_LONG_REFERENCE = re.compile(r"&#([0-9]{1000,})")  # int() refuses still longer ones
+
 
 def parse(html: str | None) -> Node:
     b = _Builder()
-    try:
-        b.feed(html or "")
-        b.close()
-    except Exception:  # noqa: BLE001 -- lenient: keep what was parsed
-        pass
+    b.feed(_LONG_REFERENCE.sub(lambda m: "&#" + (m[1].lstrip("0")[:8] or "0"), html or ""))
+    b.close()
     return b.root
 
 

@@ -200,3 +200,15 @@ def test_global_index_matches_order(spark):
     df = spark.range(0, 1000).select(((F.col("id") * 7919) % 1000).alias("k"))
     rows = with_global_index(df, ["k"], "i").collect()
     assert all(r["k"] == r["i"] for r in rows)
+
+
+def test_unknown_declarations_do_not_end_a_page():
+    for mark in ("<![foo bar]>", "<![foo>", "<![>", "<![ >", "<![1]>", "<![endif]-->", "<![CDATA[x]]>", "<!foo>", "<!>", "</ x>"):
+        assert [H.text_of(n) for n in H.iter_nodes(H.parse(f"<p>a</p>{mark}<p>b</p>")) if n.tag == "p"] == ["a", "b"], mark
+        page = f"<h1>t</h1><p>a <a href='/x'>x</a></p>{mark}<section><p>b</p></section><a href='/y'>y</a>"
+        assert [n.attrs["href"] for n in H.iter_nodes(H.parse(page)) if n.tag == "a"] == ["/x", "/y"], mark
+        assert H.html_to_markdown(page).startswith("# t\n\na [x](/x)") and "\n\nb\n\n[y](/y)" in H.html_to_markdown(page), mark
+        assert "<p>b</p>" in H.strip_noise(page), mark
+    assert H.text_of(H.parse("<p>a<![foo")) == "a<![foo"
+    long = "0" * 5000
+    assert H.text_of(H.parse(f"<p>a&#{long}98;</p><p>c&#9{long};</p><p>d</p>")) == "abc\ufffdd"
