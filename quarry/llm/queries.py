@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, dac, exact, html, jaccard, licenses, packing, quality, secrets, substrings
+from quarry.llm import (bpe, dac, exact, filter_audit, html, jaccard, licenses, packing, prefix_trie, quality, secrets,
+                        substrings, vector_packing)
 from quarry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +55,18 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.round_trip(table(spark, sf_dir, "documents"), added=True)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -61,7 +74,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_quality_rules, op2_byte_bpe, op3_best_fit_packing, op4_html_extraction, op5_suffix_array_dedup,
-    op6_ngram_jaccard, op7_exact_dedup, op8_secret_scan, op9_license_scan, op10_token_output, pipeline)}
+    op6_ngram_jaccard, op7_exact_dedup, op8_secret_scan, op9_license_scan, op10_token_output, op11_filter_audit,
+    op12_vector_packing, op13_prefix_trie, pipeline)}
 
 #: The other queries have no SQL form and are tested against brute force,
 #: round trips or held-out accuracy.
@@ -70,4 +84,6 @@ ORACLES: dict[str, str] = {
     "op6_ngram_jaccard": jaccard.OP6_SQL,
     "op7_exact_dedup": exact.OP7_SQL,
     "op9_license_scan": licenses.OP9_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
