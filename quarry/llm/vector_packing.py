@@ -160,9 +160,8 @@ def pack(docs: DataFrame, path: str | None = None, limits: Limits = Limits(), po
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 few = batch.slice(at, 256)
-                texts = [t or "" for t in few.column(1).to_pylist()]
-                for doc_id, ids in zip(few.column(0).to_pylist(), encode(texts)):
-                    ids += END
+                for doc_id, text in zip(few.column(0).to_pylist(), few.column(1).to_pylist()):
+                    ids = encode(text or "") + END
                     n, start = len(ids) // 4, 0
                     item = (doc_id, ids, n)
                     while n - start >= cap:  # full by itself
@@ -252,7 +251,7 @@ def conversation_examples(conversations: DataFrame, path: str | None = None, rol
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_tokens.encoder(path)
         for batch in batches:
-            n = [len(ids) // 4 + 1 for ids in encode([t or "" for t in batch.column("text").to_pylist()])]
+            n = [len(encode(t or "")) // 4 + 1 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("bears"), pa.array(n, pa.int64())],
                                              ["id", "bears", "n"])
 
