@@ -18,6 +18,7 @@ from quarry.operators.html_jobs import html_to_markdown
 from quarry.operators.paragraph_chunker import ChunkSettings, paragraph_chunks
 from quarry.session import shared_table
 from quarry.sources import io
+from quarry.sources.chunk_store import ChunkStore
 
 
 def prepare_documents(decisions: DataFrame, existing: DataFrame, start: str, end: str) -> DataFrame:
@@ -43,7 +44,7 @@ def prepare_documents(decisions: DataFrame, existing: DataFrame, start: str, end
     return rows.withColumn("outcome", F.coalesce("outcome", F.when(F.col("markdown") == "", "failed: conversion empty")))
 
 
-def ingest(decisions: DataFrame, existing: DataFrame, attachments: DataFrame, start: str, end: str,
+def ingest(decisions: DataFrame, existing: DataFrame | None, attachments: DataFrame, start: str, end: str,
            embed_fn: Callable[[list[str]], list], *, model: str, store_path: str, export_path: str,
            settings: ChunkSettings = ChunkSettings(1000, 500, 1050, 100, 250)) -> DataFrame:
     """Run the job; one row per decision of the window: NativeId, batch_day,
@@ -53,7 +54,12 @@ def ingest(decisions: DataFrame, existing: DataFrame, attachments: DataFrame, st
     ``attachments``: decision_native_id, attachment_native_id, FileURI,
     PublicityClass, PersonalData, text.  Those that pass the gate go with their
     decision if that is chunked.  Chunks without an embedding are not stored;
-    ``failed_chunks`` counts them."""
+    ``failed_chunks`` counts them.  ``existing`` None: what the store at
+    ``store_path`` holds is indexed already, so a second run adds to the first."""
+    store = ChunkStore(decisions.sparkSession, store_path)
+    if existing is None:
+        existing = (store.read().select(F.col("decision_native_id").alias("NativeId")) if store.exists()
+                    else decisions.select("NativeId").limit(0))
     prepared = shared_table(prepare_documents(decisions, existing, start, end), "prepared")
     ready = prepared.where(F.col("outcome").isNull())
     main = ready.select("NativeId", F.col("NativeId").alias("decision_native_id"), F.lit(False).alias("is_attachment"),
@@ -70,7 +76,7 @@ def ingest(decisions: DataFrame, existing: DataFrame, attachments: DataFrame, st
                                     keep=("NativeId", *about, "chunk_index", "text", "token_count")), "embedded")
     embedded = F.col("embedding").isNotNull()
     good = rows.where(embedded)
-    io.upsert_chunks(store_path, good.drop("error", "model", "tokens_used"), "chunk_id")
+    store.upsert(good.drop("error", "model", "tokens_used"))
     io.write_embeddings(good.withColumnRenamed("NativeId", "native_id"), export_path, model, "batch_day")
     att = F.col("is_attachment")
     counts = rows.groupBy(F.col("decision_native_id").alias("NativeId")).agg(

@@ -13,6 +13,7 @@ from quarry.plans.registry import register
 from quarry.plans.relational_queries import STORE_SQL, _store
 from quarry.session import shared_table
 from quarry.sources import io
+from quarry.sources.chunk_store import ChunkStore
 from quarry.sources.decisions import DECISIONS_SQL, decisions_from_documents
 from quarry.sources.tables import table
 
@@ -229,9 +230,9 @@ def q_upsert_chunks(spark, sf):
         F.concat(F.lit("extra-"), F.col("vec_id").cast("string")).alias("chunk_id"),
         F.concat(F.lit("NEW-"), F.col("vec_id").cast("string")).alias("native_id"), "label")
     path = io.new_scratch(spark, "chunk-store")
-    base.write.mode("overwrite").parquet(path)
-    new_path = io.upsert_chunks(path, changed.unionByName(added), "chunk_id")
-    return spark.read.parquet(new_path).select("chunk_id", "native_id", "label")
+    io.upsert_chunks(path, base, "chunk_id")
+    io.upsert_chunks(path, changed.unionByName(added), "chunk_id")
+    return ChunkStore(spark, path).read().select("chunk_id", "native_id", "label")
 
 
 URGENT_IDS = "SELECT 'ORD-' || CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderpriority = '1-URGENT'"

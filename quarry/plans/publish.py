@@ -7,22 +7,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.sources.io import partition_folder
 
 
 def full_refresh_publish(entries: DataFrame, path: str, collection: str, prefix: str = "") -> DataFrame:
     """Replace collection ``collection`` by all entries: duplicate contents
     are skipped (first id wins), optional name prefix, written as the
-    partition collection=<name> (other collections untouched).  Returns the
-    publish summary: entries written and their mean token count."""
+    partition collection=<name> (other collections untouched); without entries
+    the collection is left empty.  Returns the publish summary, one row:
+    entries written and their mean token count."""
     keyed = entries.withColumn("_h", F.sha2("content", 256))
     dedup = keyed.groupBy("_h").agg(F.min("doc_id").alias("doc_id"),
                                     F.min_by("content", F.col("doc_id")).alias("content"))
     out = dedup.select(F.concat(F.lit(prefix), F.col("doc_id").cast("string")).alias("name"), "content",
-                       T.token_count("content").alias("tokens"), F.lit(collection).alias("collection"))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(path)
-    back = entries.sparkSession.read.schema(out.schema).parquet(path).where(F.col("collection") == collection)
-    return back.groupBy("collection").agg(F.count(F.lit(1)).alias("entries"),
-                                          F.round(F.coalesce(F.avg("tokens"), F.lit(0.0)), 6).alias("mean_tokens"))
+                       T.token_count("content").alias("tokens"))
+    folder = partition_folder(entries.sparkSession, path, collection=collection)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(folder)
+    back = entries.sparkSession.read.schema(out.schema).parquet(folder)
+    return back.agg(F.count(F.lit(1)).alias("entries"),
+                    F.round(F.coalesce(F.avg("tokens"), F.lit(0.0)), 6).alias("mean_tokens")) \
+        .select(F.lit(collection).alias("collection"), "entries", "mean_tokens")
 
 
 def import_from_config(spark: SparkSession, config: dict, sources: dict) -> DataFrame:
@@ -51,8 +55,7 @@ def publish_all(spark: SparkSession, configs: list[dict], sources: dict, path: s
                 if entries.isEmpty():
                     raise ValueError("the source yields no entry")
             else:
-                summary = full_refresh_publish(entries, path, row[1]).first()
-                row[2] = summary["entries"] if summary else 0
+                row[2] = full_refresh_publish(entries, path, row[1]).first()["entries"]
         except Exception as e:  # noqa: BLE001 -- reported in the config's row
             row[3] = f"{type(e).__name__}: {e}"
         done.append(tuple(row))

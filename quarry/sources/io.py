@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import quality as Q
-from quarry.operators.relational import latest_wins, upsert_latest
+from quarry.operators.relational import latest_wins
 from quarry.session import scratch_path, shared_table
+from quarry.sources.chunk_store import ChunkStore
 
 ARCHIVE_SCHEMA = "native_id string, fetched_at timestamp, data string"
 EMBEDDING_EXPORT_COLUMNS = ("chunk_id", "native_id", "embedding", "embedding_model", "embedding_dimensions",
@@ -160,18 +161,40 @@ def write_valid_documents(df: DataFrame, path: str, rejects_path: str | None = N
     return df.sparkSession.read.schema(good.schema).parquet(path)
 
 
-def write_raw_archive(df: DataFrame, path: str) -> None:
+def partition_folder(spark: SparkSession, path: str, **values: str) -> str:
+    """The folder of a partition, names escaped as Spark does."""
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    return "/".join([path.rstrip("/"), *(f"{k}={escape(str(v))}" for k, v in values.items())])
+
+
+def empty_windows(df: DataFrame, path: str, columns: tuple[str, ...], windows: list[tuple]) -> None:
+    """Remove the folders of those ``windows`` that have no row in ``df``: a
+    write by partitions leaves them as they were."""
+    spark = df.sparkSession
+    listed = spark.createDataFrame([tuple(map(str, w)) for w in windows], ", ".join(f"{c} string" for c in columns))
+    held = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).distinct()
+    for row in listed.join(held, list(columns), "left_anti").distinct().collect():  # the caller's list at most
+        folder = spark._jvm.org.apache.hadoop.fs.Path(partition_folder(spark, path, **row.asDict()))
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def write_raw_archive(df: DataFrame, path: str, windows: list[tuple] | None = None) -> None:
     """One gzip NDJSON set per (batch_start, batch_end) window; re-running a
-    window replaces it (dynamic partition overwrite), others stay."""
+    window replaces it (dynamic partition overwrite), others stay.  ``windows``
+    names the windows that were run, so that one without rows becomes empty."""
+    if windows:
+        empty_windows(df, path, ("batch_start", "batch_end"), windows)
     rows = df.select("native_id", "fetched_at", "data", "batch_start", "batch_end")
     by_window(rows, "batch_start", "batch_end").write \
         .mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy("batch_start", "batch_end").option("compression", "gzip").json(path)
 
 
-def write_embeddings(df: DataFrame, path: str, model: str, window_col: str = "window") -> DataFrame:
+def write_embeddings(df: DataFrame, path: str, model: str, window_col: str = "window", windows: list[str] | None = None) -> DataFrame:
     """Embedding export with the fixed column order, per date window,
-    dynamic partition overwrite."""
+    dynamic partition overwrite; ``windows`` as in ``write_raw_archive``."""
+    if windows:
+        empty_windows(df, path, (window_col,), [(w,) for w in windows])
     out = df.select("chunk_id", "native_id", F.col("embedding").cast("array<float>").alias("embedding"),
                     F.lit(model).alias("embedding_model"), F.size("embedding").alias("embedding_dimensions"),
                     F.current_timestamp().alias("created_at"), window_col)
@@ -180,24 +203,12 @@ def write_embeddings(df: DataFrame, path: str, model: str, window_col: str = "wi
     return df.sparkSession.read.schema(out.schema).parquet(path)
 
 
-def upsert_chunks(store_path: str, changes: DataFrame, key: str = "chunk_id", order_col: str | None = None) -> str:
-    """Insert or replace rows by key; of several changes to one key the one
-    with the greatest ``order_col`` wins, and without that column they are an
-    error.  Without a table format the new state
-    is written to a new versioned folder next to the old one (a crash in the
-    middle leaves the old version intact); returns the new path."""
-    spark = changes.sparkSession
-    if order_col:
-        changes = latest_wins(changes, [key], [F.col(order_col).desc()])
-    elif changes.groupBy(key).count().where("count > 1").limit(1).count():
-        raise ValueError(f"several changes to one {key}: name the column that orders them")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(store_path)
-    exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    base = spark.read.parquet(store_path) if exists else None  # a store that cannot be read is an error
-    merged = changes if base is None else upsert_latest(base, changes, key)
-    new_path = f"{store_path.rstrip('/')}.v{uuid.uuid4().hex[:8]}"
-    merged.write.mode("overwrite").parquet(new_path)
-    return new_path
+def upsert_chunks(store_path: str, changes: DataFrame, key: str = "chunk_id", order_col: str | None = None,
+                  buckets: int = 16) -> dict[str, int]:
+    """Insert or replace rows by key in the store at ``store_path``, which is
+    made if there is none; the next call and every reader find it there (see
+    ``chunk_store``).  Returns version, inserted, replaced, removed, stored."""
+    return ChunkStore(changes.sparkSession, store_path, key, buckets).upsert(changes, order_col)
 
 
 def fan_out_write(df: DataFrame, paths: list[str]) -> DataFrame:

@@ -8,11 +8,14 @@ stopped and an executor loss replays only the unfinished micro-batch.
 
 from __future__ import annotations
 
+import contextlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators.relational import latest_wins
+from quarry.sources.run_table import RunTable
 
 
 def _read(spark: SparkSession, source: str, schema) -> DataFrame:
@@ -74,37 +77,72 @@ def stream_daily_counts(spark: SparkSession, source: str, schema, out: str, chec
         F.sum("events").alias("events"), F.sum("value_sum").alias("value_sum"))
 
 
+#: Texts that carry a row through a Python function without loss.
+ROW_FORMAT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextlib.contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stream_dedup(spark: SparkSession, source: str, schema, out: str, checkpoint: str, keys: list[str],
                  ts_col: str = "ts") -> DataFrame:
     """The first row of each key, whenever it comes again: a micro-batch adds
-    the keys that no earlier batch has stored, its earliest row of each."""
-    s = _event_time(_read(spark, source, schema), ts_col)
-
-    def sink(batch: DataFrame, batch_id: int):
-        fresh = latest_wins(batch, keys, [F.col(ts_col).asc()])
-        if batch_id:  # only what earlier batches wrote, so a replay decides alike
-            stored = batch.sparkSession.read.parquet(out).where(F.col("batch_id") < batch_id).select(*keys)
-            fresh = fresh.join(stored, keys, "left_anti").select(*batch.columns)
-        fresh.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    the keys that no earlier batch has seen, its earliest row of each (a null
+    time is the earliest, equal times go by the row's text).
 
-    _run(s.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    return spark.read.parquet(out).drop("batch_id")
+    Which keys were seen is keyed state in RocksDB, dealt out by the hash of
+    the key: a batch looks up its own keys and writes what changed, so its cost
+    does not grow with the keys of all batches before.  A null key is a key."""
+    s = _event_time(_read(spark, source, schema), ts_col)
+    never = -(1 << 63)
+    packed = s.select(*keys, F.coalesce(F.unix_micros(ts_col), F.lit(never)).alias("_at"),
+                      F.to_json(F.struct(*[F.col(f"`{c}`") for c in s.columns]), ROW_FORMAT).alias("_row"))
+
+    def first(_key, frames, state):
+        if state.exists:
+            return
+        best = min((min(zip(f["_at"], f["_row"])) for f in frames), default=None)
+        if best is not None:
+            state.update((True,))
+            yield pd.DataFrame({"_row": [best[1]]})
+
+    fresh = packed.groupBy(*keys).applyInPandasWithState(first, "_row string", "seen boolean", "append", "NoTimeout")
+    rows = fresh.select(F.from_json("_row", s.schema, ROW_FORMAT).alias("_r")).select("_r.*")
+    with _settings(spark, STATE_STORE):
+        _run(rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    return spark.read.schema(s.schema).parquet(out)
 
 
 def stream_ingest(spark: SparkSession, source: str, schema, table_path: str, checkpoint: str,
-                  key: str = "native_id", order_col: str = "fetched_at") -> DataFrame:
-    """New raw rows -> latest-wins upsert, resumable.  Each micro-batch is
-    reduced to one row per key and written under its batch id (a replayed
-    batch overwrites its own folder); readers take the newest row per key
-    across batches.  No table is read and overwritten in the same step."""
-    s = spark.readStream.schema(schema).json(source)
+                  key: str = "native_id", order_col: str = "fetched_at", max_files: int | None = None) -> DataFrame:
+    """New raw rows -> latest-wins upsert, resumable.  Each micro-batch adds a
+    run to the levelled table at ``table_path`` (a replayed one adds nothing),
+    and full levels are merged, so what a reader opens does not grow with the
+    number of batches.  The newest row wins, in whichever batch it came."""
+    reader = spark.readStream.schema(schema)
+    s = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).json(source)
+    runs = RunTable(spark, table_path, [key], order_col)
 
     def sink(batch: DataFrame, batch_id: int):
-        latest_wins(batch, [key], [F.col(order_col).desc()]).withColumn("_batch", F.lit(batch_id)) \
-            .write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")  # kept in the checkpoint
+        if runs.add(batch, batch_id, query or checkpoint):
+            runs.compact()
 
     _run(s.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
-    t = spark.read.parquet(table_path)
-    # the newest row wins, in whichever run it came; the batch decides ties
-    return latest_wins(t, [key], [F.col(order_col).desc(), F.col("batch").desc()]).drop("_batch", "batch")
+    return runs.read()

@@ -12,6 +12,7 @@ from quarry.operators.relational import attachment_metadata, delete_attachments,
 from quarry.operators.search_filters import metadata_filter
 from quarry.plans.ingest import ingest
 from quarry.sources import io
+from quarry.sources.chunk_store import ChunkStore
 from quarry.sources.decisions import DECISION_SCHEMA
 
 SETTINGS = ChunkSettings(60, 30, 80, 10, 20)
@@ -54,7 +55,20 @@ def test_ingest_outcomes_chunks_and_export(spark, tmp_path):
     assert (got["plain"]["attachments"], got["plain"]["attachment_chunks"]) == (1, 1)
     assert (got["html"]["chunks"], got["html"]["attachments"]) == (1, 0)
     assert got["poisoned"]["failed_chunks"] == 1
+    stored = {r["chunk_id"]: r for r in ChunkStore(spark, store).read().collect()}
     rows = spark.read.parquet(export).collect()
+    assert {r["chunk_id"] for r in rows} == set(stored)
+    plain = sorted((r["chunk_index"], r["text"]) for r in stored.values() if r["NativeId"] == "plain")
+    assert len(plain) == got["plain"]["chunks"] and all(stored[c]["embedding"][0] == len(stored[c]["text"]) for c in stored)
+    assert {r["decision_native_id"] for r in stored.values()} == {"plain", "html", "last"}
+    # a second run skips what the store holds and adds to it
+    more = decisions.union(spark.createDataFrame([_decision("later", "some other words")], DECISIONS))
+    again = ingest(more, None, attachments, "2024-01-01", "2024-01-10", _embedder, model="m",
+                   store_path=store, export_path=export + "2", settings=SETTINGS)
+    second = {r["NativeId"]: r["outcome"] for r in again.collect()}
+    assert [second[k] for k in ("plain", "html", "last", "later", "poisoned")] == ["skipped"] * 3 + ["successful", "failed: embedding"]
+    after = {r["chunk_id"]: r for r in ChunkStore(spark, store).read().collect()}
+    assert {k: after[k] for k in stored} == stored and {after[k]["NativeId"] for k in set(after) - set(stored)} == {"known", "known_att_1", "later"}
     assert len(rows) == sum(r["chunks"] + r["attachment_chunks"] for r in got.values())
     assert len({r["chunk_id"] for r in rows}) == len(rows) and {str(r["batch_day"]) for r in rows} == {"2024-01-02", "2024-01-09"}
     stats = {r["batch_day"]: r for r in ingest_batch_stats(out).collect()}
@@ -156,3 +170,28 @@ def test_publish_all_isolates_failures(spark, tmp_path):
     assert got["web"] == (0, "OSError: gone") and got["ftp"][1].startswith("ValueError")
     checked = {r["type"]: r["error"] for r in publish_all(spark, configs, sources, str(tmp_path / "v"), verify_only=True).collect()}
     assert checked["csv_excel"] is None and "no entry" in checked["events_api"] and not (tmp_path / "v").exists()
+
+
+def test_publishing_nothing_leaves_nothing(spark, tmp_path):
+    from quarry.plans.publish import full_refresh_publish
+    entries = spark.createDataFrame([("a", "x y"), ("b", "z")], "doc_id string, content string")
+    path = str(tmp_path / "k")
+    for name in ("one two/three", "other"):
+        assert tuple(full_refresh_publish(entries, path, name).first()) == (name, 2, 1.5)
+    assert tuple(full_refresh_publish(entries.limit(0), path, "one two/three").first()) == ("one two/three", 0, 0.0)
+    left = spark.read.schema("name string, content string, tokens long, collection string").parquet(path)
+    assert {r["collection"] for r in left.collect()} == {"other"} and left.count() == 2
+
+
+def test_a_window_run_again_without_rows_becomes_empty(spark, tmp_path):
+    rows = [("a", "2024-01-01", "{}", "s1", "e1"), ("b", "2024-01-02", "{}", "s 2:0", "e2")]
+    df = spark.createDataFrame(rows, "native_id string, fetched_at string, data string, batch_start string, batch_end string")
+    path = str(tmp_path / "raw")
+    io.write_raw_archive(df, path)
+    io.write_raw_archive(df.where("native_id = 'a'"), path, windows=[("s1", "e1"), ("s 2:0", "e2"), ("s3", "e3")])
+    assert [r["native_id"] for r in io.read_raw_archive(spark, path).collect()] == ["a"]
+    vectors = spark.createDataFrame([("c1", "a", [1.0], "w1"), ("c2", "a", [1.0], "w2")],
+                                    "chunk_id string, native_id string, embedding array<double>, window string")
+    path = str(tmp_path / "emb")
+    io.write_embeddings(vectors, path, "m")
+    assert [r["chunk_id"] for r in io.write_embeddings(vectors.limit(0), path, "m", windows=["w1"]).collect()] == ["c2"]

@@ -11,6 +11,7 @@ from quarry.functions import html as H
 from quarry.operators.graph import crawl_frontier
 from quarry.operators.paragraph_chunker import ChunkSettings, pack, sentence_chunks
 from quarry.sources import io
+from quarry.sources.chunk_store import ChunkStore
 from quarry.streaming import jobs
 
 FILES = 200
@@ -66,10 +67,12 @@ def test_ingest_keeps_the_newest(spark, tmp_path):
 def test_upsert(spark, tmp_path):
     base = spark.createDataFrame([("c1", 1), ("c2", 2)], "chunk_id string, v int")
     twice = spark.createDataFrame([("c1", 5), ("c1", 7), ("c3", 3)], "chunk_id string, v int")
-    path = io.upsert_chunks(str(tmp_path / "none"), base)
+    path = str(tmp_path / "none")
+    io.upsert_chunks(path, base)
     with pytest.raises(ValueError):
         io.upsert_chunks(path, twice)
-    after = spark.read.parquet(io.upsert_chunks(path, twice, order_col="v"))
+    assert io.upsert_chunks(path, twice, order_col="v")["replaced"] == 1
+    after = ChunkStore(spark, path).read()
     assert sorted(tuple(r) for r in after.select("chunk_id", "v").collect()) == [("c1", 7), ("c2", 2), ("c3", 3)]
     (tmp_path / "broken").mkdir()
     (tmp_path / "broken" / "part-0.parquet").write_text("not parquet")
