@@ -101,3 +101,25 @@ def test_html_depth_and_structure():
     assert H.html_to_markdown("<p>one<p>two") == "one\n\ntwo"
     assert H.html_to_markdown("<ul><li>a<ul><li>b</ul><li>c</ul>") == "- a\n  - b\n- c"
     assert H.html_to_markdown('<div>one <b>two</b> <a href="/x">three</a></div>') == "one **two** [three](/x)"
+
+
+def test_html_functions_are_linear_in_the_page():
+    import time
+    pages = {"lists": "<ul><li>a" * 22_000, "inline": "<b>x " * 40_000, "ends": "<i>" * 30_000 + "<p></p></x>" * 10_000,
+             "blocks in inline": "<b><i>" * 15_000 + "<p>x" * 15_000, "tables": "<table><tr><td>a" * 12_000, "tags": "<a " * 70_000,
+             "less than": "x < y <z " * 22_000, "divs": "<div>" * 40_000}
+    for name, page in pages.items():
+        t0 = time.process_time()
+        H.html_to_markdown(page), H.strip_noise(page)
+        assert time.process_time() - t0 < 6, name  # the quadratic forms took minutes
+
+
+def test_html_marks_and_implied_ends():
+    md = H.html_to_markdown
+    assert md("<p> a <b> b <i> c </i> </b> d<em> </em>e</p>") == "a **b *c*** d e"
+    assert md("<b><b> x</b> y </b>") == "****x** y**" and md("<p><b></b><a href='/u'> <b>k</b> </a></p>") == "[**k**](/u)"
+    assert md("<ul><li>a<div>b<ol><li>c</ol></div><li><p>d<p>e<li>f</ul>") == "- a b\n  1. c\n- d e\n- f"
+    assert md("<ul>loose<li>a</ul>") == "loose\n- a"
+    assert md("<table><tr><td>a<table><tr><td>b</table><td>c</table>") == "| a | c |\n|---|---|\n| b |"
+    assert md("<p>1 < 2</p> 3 <4") == "1 < 2\n\n3 <4"
+    assert H.strip_noise("<script>if (a<b) x</script><script>a<b") == "<script>if (a<b) x</script><script>a<b</script>"
