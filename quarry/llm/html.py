@@ -24,7 +24,7 @@ import functools
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 
 from quarry.llm.common import slices
 
-TRAIN_PAGES = 480
+TRAIN_PAGES = 600
 EPOCHS = 12
 HIDDEN = 16
 PATH, LEAF, WORDS = 96, 32, 16
@@ -60,7 +60,14 @@ EMBEDS_HTML = ("foreignobject", "annotation-xml")
 BREAKS_OUT = CLOSED_BY["p"] | frozenset("body center dd dt head html li menu tbody td th thead tr".split())
 BARRIERS = frozenset("ul ol table td th div section article aside main body form blockquote button".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+CLOSERS = frozenset().union(*CLOSED_BY.values())
+SECTIONS = (("<!--", "-->"), ("<![CDATA[", "]]>"))
+
+_HEAD = re.compile(r"</?[a-zA-Z]")
+# Tags, with no way back into what has been read: quotes may hide a ">", or not.
+_QUOTED_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_PLAIN_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""")
+_LONG_REFERENCE = re.compile(r"&#([0-9]{1000,})")  # int() refuses still longer ones
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _OPEN_VALUE = re.compile(r"""=\s*[^\s"'=]+\Z""")  # an unquoted value takes a slash at the end
 _PART = re.compile(r"[a-z]+")
@@ -81,11 +88,55 @@ def _bits(name: str, attributes: str) -> int:
     return out
 
 
+def _tags(page: str, skip: Callable[[str, str, int], int | None]) -> Iterator[tuple[str, re.Match | None]]:
+    """(text before, tag) for every tag, and the text after the last with None.
+
+    Reads forward only.  ``skip(name, attributes, end)`` says where to go on
+    after a start tag, if not at its end.  A tag whose quotes are never closed
+    ends at its first ">", and so do all tags after it."""
+    text = at = 0  # where the text since the last tag starts, and where to look on
+    quotes = True
+    while (at := page.find("<", at)) >= 0:
+        section = next((s for s in SECTIONS if page.startswith(s[0], at)), None)
+        if section:
+            end = page.find(section[1], at + len(section[0]))
+            yield page[text:at], None
+            text = at = len(page) if end < 0 else end + len(section[1])
+            continue
+        if page.startswith(("<!", "<?"), at):
+            end = page.find(">", at)
+            if end < 0:  # no tag can end any more
+                break
+            yield page[text:at], None
+            text = at = end + 1
+            continue
+        if not _HEAD.match(page, at):
+            at += 1
+            continue
+        m = _QUOTED_TAG.match(page, at) if quotes else None
+        if m is None:
+            quotes = False
+            m = _PLAIN_TAG.match(page, at)
+            if m is None:
+                break
+        yield page[text:at], m
+        to = None if m[1] else skip(m[2].lower(), m[3], m.end())
+        text = at = m.end() if to is None else to
+    rest = page[text:]
+    for start, _ in SECTIONS:  # those have no end
+        rest = rest.split(start, 1)[0]
+    yield rest, None
+
+
 def blocks(page: str) -> list[tuple[str, str, int]]:
-    """(text, block-level tag, path bits) of each leaf block, in page order."""
+    """(text, block-level tag, path bits) of each leaf block, in page order, in
+    time linear in the page."""
+    page = _LONG_REFERENCE.sub(lambda m: "&#" + (m[1].lstrip("0")[:8] or "0"), page)
     stack: list[tuple[str, str, int]] = []  # element, nearest block-level element, path
+    stops: list[int] = []  # places in it of elements that another may close, or that keep it from looking further
     depth: dict[str, int] = {}
-    out, held, at, owner = [], [], 0, None
+    endless: set[str] = set()  # elements without an end tag in the rest of the page
+    out, held, owner = [], [], None
 
     def flush():
         nonlocal owner
@@ -106,22 +157,39 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
     def pop_to(name):
         while stack:
             top = stack.pop()[0]
+            if stops and stops[-1] == len(stack):
+                stops.pop()
             depth[top] -= 1
             if top == name:
                 return
 
-    while True:
-        m = _TAG.search(page, at)
+    def is_foreign():
+        return any(depth.get(x) for x in FOREIGN) and not any(depth.get(x) for x in EMBEDS_HTML)
+
+    def closed_itself(name, attributes):
+        return attributes.endswith("/") and not _OPEN_VALUE.search(attributes[-200:])
+
+    def skip(name, attributes, at):
+        """Past the content of elements that have no blocks in it."""
+        if name not in SKIPPED and name not in VERBATIM or closed_itself(name, attributes):
+            return None
+        end = None if name in endless else re.compile(rf"</{re.escape(name)}\s*+>", re.I).search(page, at)
+        if end is None:
+            endless.add(name)
+        if name in VERBATIM:
+            take(page[at:end.start() if end else len(page)].replace("<", "&lt;"))
+            if name not in INLINE:
+                flush()
+        if end or name in ("script", "style") or name in VERBATIM:
+            return end.end() if end else len(page)
+        return None
+
+    for text, m in _tags(page, skip):
+        take(text)
         if m is None:
-            take(page[at:])
-            break
-        take(page[at:m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:  # a comment or declaration
             continue
-        closing = bool(m[1] or m[4])
-        foreign = any(depth.get(x) for x in FOREIGN) and not any(depth.get(x) for x in EMBEDS_HTML)
+        name, attributes, closing = m[2].lower(), m[3], bool(m[1])
+        foreign = is_foreign()
         if foreign and name in BREAKS_OUT:
             if not closing:
                 for x in FOREIGN:
@@ -139,32 +207,25 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             if depth.get(name):
                 pop_to(name)
             continue
-        attributes = m[3] or m[6] or ""
         through = foreign or name in TRANSPARENT
-        if (through or name in SKIPPED or name in VERBATIM) and attributes.endswith("/") and not _OPEN_VALUE.search(attributes):
-            continue
-        if name in SKIPPED or name in VERBATIM:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            if name in VERBATIM:
-                take(page[at:end.start() if end else len(page)].replace("<", "&lt;"))
-                if name not in INLINE:
-                    flush()
-            if end or name in ("script", "style") or name in VERBATIM:
-                at = end.end() if end else len(page)
-            continue
-        if name in VOID:
+        if name in SKIPPED or name in VERBATIM or name in VOID or through and closed_itself(name, attributes):
             continue
         if foreign:
             stack.append((name, *(stack[-1][1:] if stack else ("", 0))))
             depth[name] = depth.get(name, 0) + 1
             continue
-        for k in range(len(stack) - 1, -1, -1):
-            if name in CLOSED_BY.get(stack[k][0], ()):
-                pop_to(stack[k][0])
-                break
-            if stack[k][0] in BARRIERS:
-                break
+        if name in CLOSERS:
+            k = len(stops) - 1  # up to a barrier each kind of element is open once at most
+            while k >= 0:
+                element = stack[stops[k]][0]
+                if name in CLOSED_BY.get(element, ()):
+                    pop_to(element)
+                elif element in BARRIERS:
+                    break
+                k -= 1
         block, path = stack[-1][1:] if stack else ("", 0)
+        if name in CLOSED_BY or name in BARRIERS:
+            stops.append(len(stack))
         stack.append((name, block if name in INLINE else name, path if through else path | _bits(name, attributes)))
         depth[name] = depth.get(name, 0) + 1
     flush()
@@ -284,6 +345,9 @@ def example(rng: np.random.Generator) -> tuple[str, list[bool]]:
 
     def links(tag, label, n):
         items = [words(1, 3) for _ in range(n)]
+        if tag == "nav" and rng.random() < 0.3:  # links in the line
+            add("<nav>" + pick(" ", " | ").join(f"<a>{w}</a>" for w in items[:int(rng.integers(1, n + 1))]) + "</nav>", label)
+            return
         add(f"<{tag}><ul>" + "".join(f'<li><a href="/{i}">{w}</a></li>' for i, w in enumerate(items)) + f"</{tag.split()[0]}>", *[label] * n)
 
     def plain(tag, label, a=2, b=30):
@@ -310,6 +374,31 @@ def example(rng: np.random.Generator) -> tuple[str, list[bool]]:
         else:
             plain(pick('div class="share social"', 'div class="newsletter"', 'div class="popup"'), False, 1, 8)
 
+    def rare():
+        """What stands in fewer articles, and is text of theirs all the same."""
+        kind, n = rng.integers(0, 12), int(rng.integers(1, 4))
+        if kind == 0:
+            add("<table>" + pick("", "<thead>") + "<tr>" + "".join(f"<th>{words(1, 3).capitalize()}</th>" for _ in range(n)) + "</tr>"
+                + "".join("<tr>" + "".join(f"<td>{words(1, 3)}</td>" for _ in range(n)) + "</tr>" for _ in range(n)) + "</table>", *[True] * (n + n * n))
+        elif kind == 1:
+            add(f"<table><caption>{sentence(1, 9)}</caption><tr><th>{words(1, 3)}<td>{words(1, 4)}</table>", True, True, True)
+        elif kind == 2:
+            add(f'<figure><img src="/a.png"><figcaption>{sentence(2, 14)}</figcaption></figure>', True)
+        elif kind in (3, 10, 11):
+            plain(pick("div", "div", "div", "section", "center"), True, 3, 50)
+        elif kind == 4:
+            add("<dl>" + "".join(f"<dt>{words(1, 3)}</dt><dd>{sentence(2, 14)}</dd>" for _ in range(n)) + "</dl>", *[True] * 2 * n)
+        elif kind == 5:
+            plain(pick("h3", "h4", "h5", "h6"), True, 1, 7)
+        elif kind == 6:
+            add("<ol>" + "".join(f"<li>{sentence(1, 14)}</li>" for _ in range(n)) + "</ol>", *[True] * n)
+        elif kind == 7:
+            add(f"<section><h2>{words(1, 6)}</h2><p>{sentence(4, 40)}</p></section>", True, True)
+        elif kind == 8:
+            add(f"<details><summary>{words(1, 6)}</summary><p>{sentence(4, 30)}</p></details>", True, True)
+        else:
+            add(f"<div><div>{sentence(4, 40)}</div><div>{sentence(4, 40)}</div></div>", True, True)
+
     add(f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{words(2, 9)}</title><style>p{{margin:0}}</style><script>var t=\"</p>\";</script></head><body>", False)
     if rng.random() < 0.8:
         links("nav", False, int(rng.integers(2, 8)))
@@ -319,10 +408,10 @@ def example(rng: np.random.Generator) -> tuple[str, list[bool]]:
         boiler()
     if rng.random() < 0.6:
         plain('div class="ad"', False)
-    outer = pick("article", "article", "article", "main", 'div class="content"', 'div class="article body"', 'div id="content"', 'div class="post entry"', 'main id="main"')
+    outer = pick("article", "article", "article", "main", "main", "main", 'div class="content"', 'div class="article body"', 'div id="content"', 'div class="post entry"', 'main id="main"')
     out.append(f"<{outer}>")
     if rng.random() < 0.85:
-        add(f"<h1>{words(1, 12)}</h1>", True)
+        add(pick(f"<h1>{words(1, 12)}</h1>", f"<h1>{words(1, 12)}</h1>", f"<header><h1>{words(1, 12)}</h1></header>"), True)
     for k in range(int(rng.integers(1, 4)) if rng.random() < 0.4 else int(rng.integers(1, 26))):
         kind = rng.random()
         text = sentence(1, 5) if rng.random() < 0.3 else sentence(4, 60)
@@ -344,6 +433,8 @@ def example(rng: np.random.Generator) -> tuple[str, list[bool]]:
             plain(pick('div class="ad"', "aside", 'div class="related"', 'div class="share social"', 'div class="notice"'), False)
         else:
             add(f"<pre>{text}</pre>", True)
+        if rng.random() < 0.2:
+            rare()
     out.append(f"</{outer.split()[0]}>")
     for _ in range(rng.integers(0, 3)):
         boiler()
@@ -352,6 +443,12 @@ def example(rng: np.random.Generator) -> tuple[str, list[bool]]:
     return "".join(out) + ("</body></html>" if rng.random() < 0.8 else ""), labels
 
 
+@functools.cache
+def trained() -> Labeller:
+    """The model of the registered query, fitted once in a driver's life."""
+    return train()
+
+
 def train(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = 7) -> Labeller:
     """Adam on generated pages, batches of like length."""
     rng = np.random.default_rng(seed)
@@ -411,7 +508,7 @@ def main_text(model: Labeller, pages: list[str | None]) -> list[str]:
 
 def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    weights = (model or train()).w
+    weights = (model or trained()).w
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -175,7 +175,7 @@ def test_direct_codes():
 
 
 def test_page_labeller_held_out(spark):
-    model = html.train()
+    model = html.trained()
     rng, pages, blocks, right = np.random.default_rng(1234), 0, 0, 0
     for _ in range(80):
         page, labels = html.example(rng)
@@ -208,13 +208,52 @@ def test_page_drops_nothing_else():
     assert texts("<svg><foreignObject><p>a</p><p>b</p></foreignObject></svg>c") == ["a", "b", "c"]
     assert texts("<p>x</p><textarea>1 < 2 <p>y</textarea><p>z</p>") == ["x", "1 < 2 <p>y", "z"]
     assert texts("a<script>x</script><style>y</style><!-- z -->") == ["a"]
-    model = html.train()
+    model = html.trained()
     plain = "<html><body><nav><ul><li><a href=x>home</a></li></ul></nav><article><h1>Some head</h1><p>Words of the text that stay here.</p>{}<p>More words of the text.</p></article></body></html>"
     want = html.main_text(model, [plain.format("")])[0]
     got = html.main_text(model, [plain.format(x) for x in ("<svg/>", "<svg>", "<object data=x>", "<p><img></p>", "<noscript><p>Also this one here.</p></noscript>")])
     assert got == [want] * 4 + [want.replace("\nMore", "\nAlso this one here.\nMore")]
 
 
+ARTICLE_PARTS = {
+    "th": ("<table><tr><th>Name</th><th>Length</th></tr><tr><td>Otter</td><td>1 m</td></tr></table>", ["Name", "Length", "Otter", "1 m"]),
+    "caption": ("<table><caption>Animals by length</caption><tr><td>Otter</td><td>1 m</td></tr></table>", ["Animals by length", "Otter", "1 m"]),
+    "figcaption": ('<figure><img src="o.png"><figcaption>An otter in the river</figcaption></figure>', ["An otter in the river"]),
+    "div": ("<div>This paragraph stands in a plain division of the article.</div>", ["This paragraph stands in a plain division of the article."]),
+    "dl": ("<dl><dt>Otter</dt><dd>A small animal that swims.</dd></dl>", ["Otter", "A small animal that swims."]),
+    "ol": ("<ol><li>First do this.</li><li>Then do that.</li></ol>", ["First do this.", "Then do that."]),
+    "h3": ("<h3>Smaller head</h3>", ["Smaller head"]),
+    "section": ("<section><h2>Part</h2><p>Words of this part.</p></section>", ["Part", "Words of this part."]),
+    "details": ("<details><summary>More</summary><p>What was hidden at first.</p></details>", ["More", "What was hidden at first."]),
+    "pre": ("<pre>x = 1\ny = 2</pre>", ["x = 1 y = 2"]),
+    "blockquote": ("<blockquote>Somebody said this once.</blockquote>", ["Somebody said this once."]),
+}
+
+
+@pytest.mark.parametrize("part", ARTICLE_PARTS)
+def test_page_labeller_keeps_every_part_of_an_article(part):
+    """Hand-made pages; the pages of training are drawn by ``example``."""
+    markup, texts = ARTICLE_PARTS[part]
+    model = html.trained()
+    for outer in ("article", "main", 'div class="content"'):
+        page = ("<html><head><title>Otters</title></head><body><header>River News</header><nav><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></nav>"
+                f"<{outer}><h1>Otters are back</h1><p>They were seen near the old mill on Monday.</p><p>Nobody knows where they came from.</p>{markup}"
+                f"<p>The town wants to protect them.</p></{outer.split()[0]}><aside>Read next: bears</aside><div id=comments><div class=comment><p>So nice!</p></div></div>"
+                "<footer>&copy; River News</footer></body></html>")
+        assert html.main_text(model, [page])[0].split("\n") == [
+            "Otters are back", "They were seen near the old mill on Monday.", "Nobody knows where they came from.", *texts, "The town wants to protect them."], outer
+
+
+def test_blocks_are_found_in_linear_time():
+    import time
+    for page in ("<a " * 350_000, "x < y <z " * 110_000, "<b>" * 150_000 + "<p></p>" * 50_000, '<a ">" ' * 140_000, "<iframe>" * 110_000,
+                 "<li><p>x" * 100_000, "<td><p>x<tr>" * 60_000, "<svg>" * 150_000 + "<p>" * 9, "<!-- " * 200_000):
+        t0 = time.process_time()
+        html.blocks(page)
+        assert time.process_time() - t0 < 12, page[:12]  # about 1 MB each
+    assert [b[0] for b in html.blocks("&#" + "1" * 6000 + "; ok")][0].endswith("ok")
+
+
 def test_page_labeller_on_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     from html import unescape
