@@ -176,6 +176,41 @@ def paginate(df: DataFrame, order_cols: list[str], page: int, page_size: int) ->
     return df.orderBy(*order_cols).offset((page - 1) * page_size).limit(page_size)
 
 
+class PageIndex:
+    """A stored total order of ``df`` from which any page is read alone.
+
+    Rows are range-partitioned by the order and written once, a folder per
+    range; the directory holds the rows of each range.  A page opens the ranges
+    that it lies in, so the last page costs as much as the first.  Rows of equal
+    keys are side by side in any order, fixed when the index is made."""
+
+    def __init__(self, df: DataFrame, order_cols: list[str], num_partitions: int | None = None):
+        spark = df.sparkSession
+        n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        s = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+        s = s.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+        self.rows = shared_table(s, "pages", "_part")
+        sizes = self.rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first")).orderBy("_part").collect()
+        self.ranges, self.total = [], 0  # of each: folder, rows before it, rows, its first place
+        for r in sizes:
+            self.ranges.append((r["_part"], self.total, r["n"], r["first"]))
+            self.total += r["n"]
+
+    def pages(self, page_size: int) -> int:
+        return max(-(-self.total // page_size), 1)
+
+    def page(self, page: int, page_size: int) -> DataFrame:
+        """Page ``page`` (1-based), in order; one that does not exist is empty."""
+        low, high = (page - 1) * page_size, page * page_size
+        held = [r for r in self.ranges if r[1] < high and r[1] + r[2] > low]
+        mine = F.lit(False)
+        for part, before, _, first in held:  # the places of the page in this range
+            at = F.col("_at") - first + before
+            mine = mine | ((F.col("_part") == part) & (at >= low) & (at < high))
+        rows = self.rows.where(F.col("_part").isin([r[0] for r in held])).where(mine)
+        return rows.orderBy("_part", "_at").drop("_part", "_at")
+
+
 def latest_wins(df: DataFrame, key: list[str], order_cols: list[Column]) -> DataFrame:
     w = Window.partitionBy(*key).orderBy(*order_cols)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

@@ -13,16 +13,20 @@ WindowGroupLimit); corpus rows stay where they are and no pair table exists.
 
 from __future__ import annotations
 
+import functools
+import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators.relational import with_global_index
-from quarry.session import shared_table
+from quarry.session import scratch_path, shared_table
+from quarry.sources.manifest import Manifests
 
 SCORE_DECIMALS = 6
 DEFAULT_MAX_BLOCK_BYTES = 64 * 1024 * 1024
@@ -168,45 +172,63 @@ def score_pairs(corpus: DataFrame, queries: DataFrame, min_score: float, *, qid:
 
 
 class CellIndex:
-    """Approximate top-k: unit vectors in cells around spherical k-means centres.
+    """Approximate top-k: unit vectors in cells around spherical k-means centres,
+    stored so that later searches, in other sessions too, fit nothing.
 
-    The centres (``n_cells``, by default the square root of the row count, at
-    most 4,096) are fitted on about ``sample_rows`` rows, those whose id has a
-    hash below that share.  Every row is then assigned to its nearest centre
-    and the table is written sorted by cell, cells of any size cut into
-    several files.  A query looks into its nearest cells only, and the scan
-    skips the row groups of the others.
+    ``build`` fits the centres (``n_cells``, by default the square root of the
+    row count, at most 4,096) on about ``sample_rows`` rows, those whose id has
+    a hash below that share, assigns every row to its nearest centre and writes
+    the rows sorted by cell.  ``add`` assigns further rows to the same centres
+    and touches no stored file.  A query looks into its nearest cells only, and
+    the scan skips the row groups of the others.
 
     How many cells: the fewest with which ``recall`` of the exact k nearest
     sample rows are found for 256 queries of the block; and always enough to
-    hold k rows.
-    """
-
-    def __init__(self, corpus: DataFrame, *, cid: str = "chunk_id", vec: str = "embedding",
-                 keep: tuple[str, ...] = (), n_cells: int | None = None, sample_rows: int = 20_000, seed: int = 7):
-        self.cid, self.vec, self.keep = cid, vec, list(keep)
+    hold k rows.  Of these the cells go that cannot hold one of the k best: a
+    cell knows the widest angle between its centre and a row, so by the triangle
+    inequality it bounds the scores in it from both sides.  With ``recall`` 1
+    only that bound decides, and the search is exact."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        """The index stored at ``path``."""
+        self.path, self.manifests = path, Manifests(spark, path)
+        m = self.manifest = self.manifests.load()
+        if m is None:
+            raise FileNotFoundError(f"no index at {path}")
+        self.cid, self.vec, self.keep = m["cid"], m["vec"], m["keep"]
+        fitted = spark.read.parquet(self.manifests.folder(m["fitted"])).toPandas()
+        stacked = {kind: np.array(rows["v"].tolist(), dtype=float).reshape(len(rows), -1)
+                   for kind, rows in fitted.sort_values("n").groupby("kind")}
+        self.centres = stacked.get("centre", np.zeros((0, 0)))
+        self.sample = stacked.get("sample", np.zeros((0, 0)))
+        self.sizes, self.nearest = np.array(m["sizes"], np.int64), np.array(m["nearest"], float)
+        schema = T.StructType.fromJson(json.loads(m["schema"]))
+        parts = [spark.read.schema(schema).parquet(self.manifests.folder(c)) for c in m["commits"]]
+        self.rows = functools.reduce(DataFrame.unionByName, parts)
+
+    @classmethod
+    def build(cls, corpus: DataFrame, path: str, *, cid: str = "chunk_id", vec: str = "embedding", keep: tuple[str, ...] = (),
+              n_cells: int | None = None, sample_rows: int = 20_000, seed: int = 7) -> "CellIndex":
+        spark, manifests = corpus.sparkSession, Manifests(corpus.sparkSession, path)
+        manifests.check_free()
         n = corpus.count()
-        sample = _id_share(corpus.select(cid, vec), cid, sample_rows, n).toPandas()
-        _, self.sample = _unit_rows(sample[vec])
-        if not len(self.sample):
-            _, self.sample = _unit_rows(corpus.where(F.col(vec).isNotNull()).select(vec).limit(sample_rows).toPandas()[vec])
+        _, sample = _unit_rows(_id_share(corpus.select(cid, vec), cid, sample_rows, n).toPandas()[vec])
+        if not len(sample):
+            _, sample = _unit_rows(corpus.where(F.col(vec).isNotNull()).select(vec).limit(sample_rows).toPandas()[vec])
         wanted = n_cells or min(4096, max(1, round(n ** 0.5)))
-        self.centres = _centres(self.sample, min(wanted, len(self.sample)), seed)
-        centres = self.centres
-        schema = T.StructType([corpus.schema[cid], corpus.schema[vec], *[corpus.schema[c] for c in self.keep],
-                               T.StructField("_cell", T.IntegerType())])
-
-        def assign(batches):
-            for pdf in batches:
-                ok, unit = _unit_rows(pdf[vec], centres.shape[1])
-                if ok.any():
-                    yield pdf[ok].assign(_cell=(unit @ centres.T).argmax(axis=1).astype(np.int32))
-
-        rows = corpus.select(cid, vec, *self.keep).mapInPandas(assign, schema)
-        self.rows = shared_table(rows.repartitionByRange("_cell", cid).sortWithinPartitions("_cell"), "cells")
-        self.sizes = np.zeros(len(centres), dtype=np.int64)
-        for r in self.rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per cell
-            self.sizes[r["_cell"]] = r["n"]
+        centres = _centres(sample, min(wanted, len(sample)), seed)
+        fitted = manifests.new_folder()
+        rows = [("centre", k, v.tolist()) for k, v in enumerate(centres)] + [("sample", k, v.tolist()) for k, v in enumerate(sample)]
+        spark.createDataFrame(rows, "kind string, n int, v array<double>").write.parquet(manifests.folder(fitted))
+        base = {"version": 0, "cid": cid, "vec": vec, "keep": list(keep), "fitted": fitted, "commits": [],
+                "sizes": [0] * len(centres), "nearest": [1.0] * len(centres)}
+        _add_to_cells(manifests, base, corpus, centres)
+        return cls(spark, path)
+
+    def add(self, rows: DataFrame) -> "CellIndex":
+        """The index with further rows; the caller sees to it that their ids are new."""
+        _add_to_cells(self.manifests, self.manifest, rows, self.centres)
+        return CellIndex(rows.sparkSession, self.path)
 
     def _probes(self, unit: np.ndarray, k: int, recall: float) -> int:
         """The fewest nearest cells with which the sample's recall is reached."""
@@ -217,25 +239,57 @@ class CellIndex:
         needed = np.sort(np.take_along_axis(place, cell[top], axis=1).ravel()) + 1
         return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) if len(needed) else 1
 
+    def cells(self, unit: np.ndarray, k: int, recall: float) -> np.ndarray:
+        """Which cells each query looks into."""
+        if not len(unit):
+            return np.zeros((0, len(self.centres)), dtype=bool)
+        near = unit @ self.centres.T
+        order = np.argsort(-near, axis=1)
+        before = np.cumsum(self.sizes[order], axis=1) - self.sizes[order]
+        probes = len(self.centres) if recall >= 1 else self._probes(unit, k, recall)
+        cells = np.zeros(order.shape, dtype=bool)
+        np.put_along_axis(cells, order, (np.arange(order.shape[1])[None, :] < probes) | (before < k), axis=1)
+        angle, radius = np.arccos(np.clip(near, -1, 1)), np.arccos(np.clip(self.nearest, -1, 1))
+        best, worst = np.cos(np.maximum(angle - radius, 0)), np.cos(np.minimum(angle + radius, np.pi))
+        falling = np.argsort(-worst, axis=1)
+        held = np.cumsum(self.sizes[falling], axis=1)
+        kth = np.argmax(held >= k, axis=1)  # from so many cells k rows score at least this
+        least = np.take_along_axis(np.take_along_axis(worst, falling, axis=1), kth[:, None], axis=1)
+        least = np.where(held[:, -1:] >= k, least, -1.0)
+        return cells & (best >= least - 10.0 ** -SCORE_DECIMALS) & (self.sizes > 0)
+
     def search(self, queries: DataFrame, k: int = 10, *, qid: str = "qid", query_vec: str | None = None,
                recall: float = 0.95, max_block_bytes: int = DEFAULT_MAX_BLOCK_BYTES) -> DataFrame:
         """Output as ``knn_search``; k rows per query if the index has as many."""
-        def wanted(unit: np.ndarray) -> np.ndarray:
-            if not len(unit):
-                return np.zeros((0, len(self.centres)), dtype=bool)
-            order = np.argsort(-(unit @ self.centres.T), axis=1)
-            probes = self._probes(unit, k, recall)
-            before = np.cumsum(self.sizes[order], axis=1) - self.sizes[order]
-            take = (np.arange(order.shape[1])[None, :] < probes) | (before < k)
-            cells = np.zeros(order.shape, dtype=bool)
-            np.put_along_axis(cells, order, take, axis=1)
-            return cells
-
-        if not len(self.centres):
-            wanted = None
+        wanted = (lambda unit: self.cells(unit, k, recall)) if len(self.centres) else None
         return _ranked(self.rows, queries, k, qid, self.cid, self.vec, query_vec, self.keep, max_block_bytes, wanted)
 
 
+def _add_to_cells(manifests: Manifests, base: dict, rows: DataFrame, centres: np.ndarray) -> None:
+    """Write ``rows`` with the cell of their nearest centre and their cosine to
+    it, sorted by cell, and commit them with the sizes and widths of cells."""
+    cid, vec = base["cid"], base["vec"]
+    schema = T.StructType([rows.schema[cid], rows.schema[vec], *[rows.schema[c] for c in base["keep"]],
+                           T.StructField("_cell", T.IntegerType()), T.StructField("_near", T.DoubleType())])
+
+    def assign(batches):
+        for pdf in batches:
+            ok, unit = _unit_rows(pdf[vec], centres.shape[1])
+            if ok.any():
+                near = unit @ centres.T
+                yield pdf[ok].assign(_cell=near.argmax(axis=1).astype(np.int32), _near=near.max(axis=1))
+
+    commit = manifests.new_folder()
+    placed = rows.select(cid, vec, *base["keep"]).mapInPandas(assign, schema)
+    placed.repartitionByRange("_cell", cid).sortWithinPartitions("_cell").write.parquet(manifests.folder(commit))
+    sizes, nearest = list(base["sizes"]), list(base["nearest"])
+    stored = rows.sparkSession.read.schema(schema).parquet(manifests.folder(commit))
+    for r in stored.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.min("_near").alias("near")).collect():  # one row per cell
+        sizes[r["_cell"]] += r["n"]
+        nearest[r["_cell"]] = min(nearest[r["_cell"]], r["near"])
+    manifests.commit(base["version"], base | {"commits": base["commits"] + [commit], "sizes": sizes, "nearest": nearest, "schema": schema.json()})
+
+
 def _id_share(df: DataFrame, cid: str, rows: int, n: int) -> DataFrame:
     """About ``rows`` of ``n`` rows, by the hash of the id (never more than twice)."""
     if n <= rows:
@@ -257,6 +311,11 @@ def _centres(unit: np.ndarray, n_cells: int, seed: int, rounds: int = 10) -> np.
 
 
 def approx_knn(corpus: DataFrame, queries: DataFrame, k: int, *, qid: str = "qid", cid: str = "chunk_id",
-               vec: str = "embedding", recall: float = 0.95, n_cells: int | None = None) -> DataFrame:
-    """Approximate top-k by a ``CellIndex`` built for this one search."""
-    return CellIndex(corpus, cid=cid, vec=vec, n_cells=n_cells).search(queries, k, qid=qid, recall=recall)
+               vec: str = "embedding", recall: float = 0.95, n_cells: int | None = None, path: str | None = None) -> DataFrame:
+    """Approximate top-k by the ``CellIndex`` at ``path``, which is built there
+    from ``corpus`` if there is none; without ``path`` for this one search."""
+    spark = corpus.sparkSession
+    path = path or scratch_path(spark, f"cells-{uuid.uuid4().hex[:12]}")
+    stored = Manifests(spark, path).load() is not None
+    index = CellIndex(spark, path) if stored else CellIndex.build(corpus, path, cid=cid, vec=vec, n_cells=n_cells)
+    return index.search(queries, k, qid=qid, recall=recall)

@@ -105,16 +105,23 @@ def q_rag_prompts(spark, sf):
     return msgs.select("item_id", "system_content", "user_content")
 
 
-# Node ids are below 100, so no shortest path has 100 steps: the bound ends the SQL recursion, not the search.
 @register("crawl_frontier", sql="""
-WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 100 AS src, l_partkey % 100 AS dst FROM lineitem),
-r(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 100)
-SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY node
+WITH RECURSIVE l AS (SELECT DISTINCT 'S' || l_suppkey AS s, 'P' || l_partkey AS p, l_linenumber AS n FROM lineitem),
+e AS (SELECT s AS src, p AS dst FROM l WHERE n = 1 UNION SELECT p, s FROM l WHERE n = 2),
+r(node, depth) USING KEY (node) AS (
+  SELECT 'S1', CAST(0 AS BIGINT) UNION
+  SELECT e.dst, min(r.depth) + 1 FROM r JOIN e ON e.src = r.node
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.r AS seen WHERE seen.node = e.dst) GROUP BY e.dst)
+SELECT node, depth FROM r
 """)
 def q_crawl_frontier(spark, sf):
+    """All supplier and part keys: a supplier leads to the parts of its first
+    lines, a part to the suppliers of second lines."""
     li = table(spark, sf, "lineitem")
-    edges = li.select((F.col("l_suppkey") % 100).alias("src"), (F.col("l_partkey") % 100).alias("dst")).distinct()
-    start = spark.range(1).select(F.lit(1).cast("long").alias("node"))
+    s, p = (F.concat(F.lit(c), F.col(k).cast("string")) for c, k in (("S", "l_suppkey"), ("P", "l_partkey")))
+    edges = li.where("l_linenumber = 1").select(s.alias("src"), p.alias("dst")) \
+        .unionByName(li.where("l_linenumber = 2").select(p.alias("src"), s.alias("dst")))
+    start = spark.range(1).select(F.lit("S1").alias("node"))
     return crawl_frontier(edges, start, "src", "dst")
 
 

@@ -659,11 +659,9 @@ t AS (SELECT count(*) AS total FROM documents)
 SELECT doc_id, source, CAST(total AS BIGINT) AS total, CAST(greatest(ceil(total / 50.0), 1) AS BIGINT) AS pages FROM p, t
 """)
 def q_paginate(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source")
-    total = d.count()
-    pages = max(-(-total // 50), 1)
-    return R.paginate(d, ["doc_id"], 3, 50).select("doc_id", "source", F.lit(total).cast("long").alias("total"),
-                                                    F.lit(pages).cast("long").alias("pages"))
+    index = R.PageIndex(table(spark, sf, "documents").select("doc_id", "source"), ["doc_id"])
+    return index.page(3, 50).select("doc_id", "source", F.lit(index.total).cast("long").alias("total"),
+                                    F.lit(index.pages(50)).cast("long").alias("pages"))
 
 
 @register("paginate_filtered", sql=f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -70,3 +71,14 @@ def shared_table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def table_fingerprint(df: DataFrame) -> str:
+    """A name for the files that ``df`` reads, by path, length and time."""
+    spark = df.sparkSession
+    states = []
+    for name in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        states.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(states).encode()).hexdigest()[:16]
