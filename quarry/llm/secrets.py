@@ -6,9 +6,10 @@ ordinary identifiers, are trained from labelled samples by counting character
 pairs; a long token that no pattern covers is a secret when its
 log-likelihood ratio exceeds a margin.
 
-Training is bounded: ``TRAIN_RANDOM`` random strings made from hashes of a
-running number, and the words of about ``TRAIN_DOCUMENTS`` documents (those
-whose id has a hash below that share of its range) as ordinary identifiers.
+Training is bounded: ``TRAIN_RANDOM`` hashes of a running number in six
+alphabets as random strings, and as ordinary identifiers the words of about
+``TRAIN_DOCUMENTS`` documents (those whose id has a hash below that share of
+its range) and of Spark's settings.
 The model is a table of 80 x 80 scores.  Scanning covers every whole text.
 
 Defined results: a null text is an empty one without spans; equal rows get
@@ -76,26 +77,47 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(empty)
 
 
+def _forms(w: Column) -> Column:
+    """Ordinary tokens made of the words of a text: alone, joined in the ways
+    of identifiers and paths, with digits, in upper case; numbers and ruled
+    lines in their places."""
+    def form(x, i):
+        few = lambda n: F.slice(w, i + 1, n)
+        digits = F.abs(F.xxhash64(x)).cast("string")
+        day = F.concat_ws("-", F.concat(F.lit("20"), F.substring(digits, 1, 2)), F.lpad((i % 12 + 1).cast("string"), 2, "0"),
+                          F.lpad((i % 28 + 1).cast("string"), 2, "0"))
+        made = [F.concat_ws("_", few(3)), F.concat_ws("-", few(2)), F.concat(x, (i % 100).cast("string")), F.concat_ws("/", few(3)),
+                F.concat_ws("", F.transform(few(3), F.initcap)), F.upper(F.concat_ws("_", few(3))), F.concat_ws("-", day, x),
+                F.concat_ws("_", F.concat_ws("_", few(2)), F.substring(digits, 1, 4)),
+                F.concat_ws("/", x, F.concat(F.lit("v"), (i % 10).cast("string")), F.concat_ws("", F.transform(few(2), F.initcap))),
+                F.substring(digits, 1, 16), F.repeat(F.get(F.array(*[F.lit(c) for c in "-=_+/"]), F.floor(i / 14).cast("int") % 5), 16)]
+        out = x
+        for k, value in enumerate(made):
+            out = F.when(i % 14 == k, value).otherwise(out)
+        return out
+
+    return F.transform(w, form)
+
+
 def samples(docs: DataFrame) -> DataFrame:
-    """Labelled strings (token, random): hashes in several alphabets, and the
-    words of a bounded number of documents, alone and joined as identifiers."""
+    """Labelled strings (token, random): hashes in several alphabets; and as
+    ordinary ones the words of a bounded number of documents, outside what the
+    fixed patterns find, those of Spark's own settings and their descriptions
+    (some 2,000 lines, for a corpus in other languages)."""
     spark = docs.sparkSession
     digest = F.sha2(F.col("id").cast("string").cast("binary"), 256)
     b64 = F.base64(F.unhex(digest))
     noise = spark.range(TRAIN_RANDOM).select(F.explode(F.array(
-        F.substring(b64, 1, 40), F.substring(digest, 1, 40), F.substring(F.upper(F.regexp_replace(b64, "[+/=]", "")), 1, 30),
+        F.substring(b64, 1, 40), F.translate(b64, "+/", "-_"), F.substring(digest, 1, 40), F.upper(F.substring(digest, 1, 40)),
+        F.substring(F.regexp_replace(b64, "[+/=]", ""), 1, 30), F.substring(F.upper(F.regexp_replace(b64, "[+/=]", "")), 1, 30),
     )).alias("token"), F.lit(True).alias("random"))
     share = min(1.0, TRAIN_DOCUMENTS / max(1, docs.count()))
-    few = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).where("text IS NOT NULL").select("text")
+    few = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).where("text IS NOT NULL") \
+        .select(F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " ").alias("text"))
+    settings = spark.sql("SET -v").select(F.concat_ws(" ", "key", "meaning").alias("text"))
     words = F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9])[A-Za-z]{2,}(?![A-Za-z0-9])"), F.lit(0))
-    plain = (few.select(F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: i).alias("i"), words.alias("w"))
-             .where(F.size("w") > 0)
-             .select(F.explode(F.transform("w", lambda x, i: F.when(i % 8 == 0, F.concat_ws("_", F.slice("w", i + 1, 3)))
-                                           .when(i % 8 == 1, F.concat_ws("-", F.slice("w", i + 1, 2)))
-                                           .when(i % 8 == 2, F.concat(x, (i % 100).cast("string")))
-                                           .when(i % 8 == 3, F.concat_ws("/", F.slice("w", i + 1, 3)))
-                                           .when(i % 8 == 4, F.concat_ws("", F.transform(F.slice("w", i + 1, 3), F.initcap)))
-                                           .otherwise(x))).alias("token"), F.lit(False).alias("random")))
+    plain = few.unionByName(settings).select(words.alias("w")).where(F.size("w") > 0) \
+        .select(F.explode(_forms(F.col("w"))).alias("token"), F.lit(False).alias("random"))
     return noise.unionByName(plain)
 
 

@@ -1,10 +1,12 @@
 """The text-preparation operators against brute force, on small fixtures that
 hold nulls, empty and long texts, ties, repeated rows and clashing names."""
 
+import base64
 import bisect
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -425,6 +427,45 @@ def test_secrets(spark):
     assert all((r["s"] > secrets.MARGIN) == bool(r["y"]) for r in scored)
 
 
+def held_out_tokens():
+    """Secrets that no fixed pattern finds, and ordinary long tokens of words
+    that the samples do not hold as such."""
+    rng, alnum = random.Random(41), string.ascii_letters + string.digits
+    pick = lambda a, n: "".join(rng.choices(a, k=n))
+    few = range(150)
+    found = {
+        "mixed case": [pick(alnum, rng.randint(20, 40)) for _ in few],
+        "base64": [base64.b64encode(rng.randbytes(rng.randint(15, 33))).decode() for _ in few],
+        "url-safe": [base64.urlsafe_b64encode(rng.randbytes(32)).decode().rstrip("=") for _ in few],
+        "upper case": [pick(string.ascii_uppercase + string.digits, 24) for _ in few],
+        "lower case": [pick("ghijklmnopqrstuvwxyz" + string.digits, 32) for _ in few],
+        "upper hex": [rng.randbytes(20).hex().upper() for _ in few],
+        "with prefix": ["sk_live_" + pick(alnum, 28) for _ in few]}
+    vocab = ("account archive balance buffer channel client column commit customer delivery document engine factory forecast garden harbour "
+             "identifier journal kitchen ledger market neighbour observer package quarter railway schedule temperature umbrella village weather yesterday").split()
+    w = lambda n: [rng.choice(vocab) for _ in range(n)]
+    plain = {
+        "snake": ["_".join(w(4)) for _ in few], "kebab": ["-".join(w(4)) for _ in few], "path": ["/".join(w(4)) for _ in few],
+        "camel": ["".join(x.capitalize() for x in w(4)) for _ in few], "numbered": ["_".join(w(3)) + str(rng.randint(0, 9999)) for _ in few],
+        "constants": ["_".join(w(4)).upper() for _ in few], "numbers": [pick(string.digits, 22) for _ in few],
+        "dated": [f"20{rng.randint(10, 29)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}-" + "-".join(w(2)) for _ in few],
+        "ruled": [c * n for c in "-=_+/" for n in range(20, 80, 2)]}
+    return found, plain
+
+
+def test_markov_models_held_out(spark):
+    found, plain = held_out_tokens()
+    rows = [(k, f"see {t} now") for k, t in enumerate(t for ts in [*found.values(), *plain.values()] for t in ts)]
+    model = secrets.fitted(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    spans, at = [r["spans"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).orderBy("doc_id").collect()], 0
+    share = {}
+    for name, tokens in [*found.items(), *plain.items()]:
+        share[name] = sum("markov" in s for s in spans[at:at + len(tokens)]) / len(tokens)
+        at += len(tokens)
+    assert all(share[name] >= 0.95 for name in found), share
+    assert all(share[name] <= 0.08 for name in plain) and sum(share[name] for name in plain) <= 0.02 * len(plain), share
+
+
 def test_licenses(spark, empty):
     mit = licenses.KNOWN["MIT"][2]
     rows = [(1, mit.upper()), (2, "Copyright (c) 2020 A B\n" + mit.replace("sublicense", "sub-license")), (3, "text\nlicensed under CC  BY-NC 4.0\nmore"),
