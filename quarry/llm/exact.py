@@ -161,7 +161,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, columns as they are.  Rows with the
     same doc_id stay if one of them does."""
     stay = groups(docs).where("kept").select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
+    return docs.alias("d").join(stay.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.__stay")), "left_semi")
 
 
 OP7_SQL = r"""

@@ -413,7 +413,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component: that with the smallest id, columns as
     they are.  Rows with the same doc_id stay or go together."""
     stay = join(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
+    return docs.alias("d").join(stay.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.__stay")), "left_semi")
 
 
 OP6_SQL = r"""

@@ -146,8 +146,8 @@ def ratio(token: Column, model: list[float]) -> Column:
         lambda s, i: s + F.coalesce(F.get(scores, F.get(c, i - 1) * WIDTH + F.get(c, i)), F.lit(0.0))))
 
 
-def spans(docs: DataFrame, model: list[float]) -> DataFrame:
-    """The columns of ``docs`` and ``__spans``: array of (s, k, e), sorted; k
+def spans(docs: DataFrame, model: list[float], column: str = "__spans") -> DataFrame:
+    """The columns of ``docs`` and ``column``: array of (s, k, e), sorted; k
     indexes KINDS."""
     text = F.coalesce(F.col("text"), F.lit(""))
 
@@ -162,7 +162,7 @@ def spans(docs: DataFrame, model: list[float]) -> DataFrame:
                        & ~F.exists(fixed, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
         return F.sort_array(F.concat(fixed, kind(odd, 3)))
 
-    return docs.select("*", let(base, with_markov).alias("__spans"))
+    return docs.select("*", let(base, with_markov).alias(column))
 
 
 def _written(found: Column) -> Column:
@@ -184,7 +184,10 @@ def redact(docs: DataFrame, model: list[float], mark: str = "[SECRET]") -> DataF
     """``docs`` with every span in ``text`` replaced by ``mark``; overlapping
     spans become one mark.  Texts without spans are left alone; ``n_chars``,
     if there is one, follows the text."""
-    found = spans(docs, model)
+    column = "__spans"
+    while column in [c.lower() for c in docs.columns]:
+        column += "_"
+    found, own = spans(docs, model, column), F.col(column)
 
     def rebuilt(s):
         end = F.lit(0).cast("long")
@@ -199,10 +202,10 @@ def redact(docs: DataFrame, model: list[float], mark: str = "[SECRET]") -> DataF
         return let(F.aggregate(s, state, step), lambda a: F.concat(
             F.array_join(a["out"], ""), F.col("text").substr((a["end"] + 1).cast("int"), F.length("text"))))
 
-    clean = F.when(F.size("__spans") > 0, rebuilt(F.col("__spans"))).otherwise(F.col("text"))
+    clean = F.when(F.size(own) > 0, rebuilt(own)).otherwise(F.col("text"))
     out = found.withColumn("text", clean)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.size(own) > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
                              .otherwise(F.col("n_chars")))
     return out.select(*[f"`{c}`" for c in docs.columns])
 
