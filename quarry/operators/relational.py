@@ -216,6 +216,15 @@ def latest_wins(df: DataFrame, key: list[str], order_cols: list[Column]) -> Data
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def trim_finished_runs(runs: DataFrame, group: list[str], order_cols: list[Column], keep: int, finished: Column) -> DataFrame:
+    """The newest ``keep`` finished runs of each group; runs that are not
+    finished (``finished`` false or null) all stay and take no place."""
+    done = F.coalesce(finished, F.lit(False))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order_cols))
+    newest = runs.where(done).withColumn("_rn", rank).where(F.col("_rn") <= keep).drop("_rn")
+    return newest.unionByName(runs.where(~done))
+
+
 def distinct_by_min(df: DataFrame, key_col: str, id_col: str) -> DataFrame:
     """One row per key, the one with the smallest id (partial aggregation
     with min_by; groups are never sorted or collected)."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import retrieval
 from quarry.operators.graph import crawl_frontier
-from quarry.operators.relational import PageIndex
+from quarry.operators.relational import PageIndex, trim_finished_runs
 
 
 def _vectors(spark, n, seed, spread=0.05):
@@ -79,3 +79,11 @@ def test_crawl_moves_the_frontier_only(spark):
         seen |= {d: depth for d in now}
     assert got == seen
     assert crawl_frontier(edges, start.limit(0), buckets=4).collect() == []
+
+
+def test_trimming_leaves_unfinished_runs(spark):
+    rows = [("a", k, "done") for k in range(5)] + [("a", 9, "running"), ("a", 0, None), ("b", 1, "done"), (None, 1, "done"), (None, 2, "done")]
+    df = spark.createDataFrame(rows, "job string, at int, state string")
+    got = trim_finished_runs(df, ["job"], [F.col("at").desc()], 1, F.col("state") == "done").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([("a", 4, "done"), ("a", 9, "running"), ("a", 0, None), ("b", 1, "done"), (None, 2, "done")], key=repr)
+    assert trim_finished_runs(df.limit(0), ["job"], [F.col("at").desc()], 1, F.col("state") == "done").count() == 0
