@@ -9,10 +9,9 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import functions as F
 
-from quarry.functions import text as T
-from quarry.functions import vectors as V
 from quarry.operators import retrieval
 from quarry.operators.embedding import embed_texts
+from quarry.operators.evaluation import cosine_scores, judge_answers, overlap_judge, turn_pairs
 from quarry.operators.graph import crawl_frontier
 from quarry.plans import search, search_queries  # noqa: F401 (hash_embed oracle is reused)
 from quarry.plans.registry import ORACLES, register
@@ -53,29 +52,29 @@ def q_embed_texts(spark, sf):
 
 
 @register("eval_scores", sql=f"""
-WITH a AS (SELECT conv_id, max(CASE WHEN turn = 1 THEN text END) AS model_answer,
-                  max(CASE WHEN turn = 3 THEN text END) AS generated FROM conversations GROUP BY conv_id),
-t AS (SELECT conv_id, 'm' AS side, unnest({tokens_sql('model_answer')}) AS tok FROM a WHERE generated IS NOT NULL
-      UNION ALL SELECT conv_id, 'g', unnest({tokens_sql('generated')}) FROM a WHERE generated IS NOT NULL),
-b AS (SELECT conv_id, side, {bucket_sql('tok')} AS b, count(*) AS c FROM t GROUP BY ALL),
-n AS (SELECT conv_id, side, sqrt(sum(c * c)) AS n FROM b GROUP BY ALL),
-d AS (SELECT m.conv_id, sum(m.c * g.c) AS dp FROM b m JOIN b g ON m.conv_id = g.conv_id AND m.b = g.b AND m.side = 'm' AND g.side = 'g'
-      GROUP BY m.conv_id),
-s AS (SELECT a.conv_id, round(coalesce(d.dp, 0) / (nm.n * ng.n), 6) AS cosine
-      FROM a JOIN n nm ON nm.conv_id = a.conv_id AND nm.side = 'm' JOIN n ng ON ng.conv_id = a.conv_id AND ng.side = 'g'
-      LEFT JOIN d ON d.conv_id = a.conv_id)
-SELECT a.conv_id, s.cosine, CASE WHEN a.generated IS NULL THEN 'no generated answer' END AS error
-FROM a LEFT JOIN s USING (conv_id)
+WITH a AS (SELECT conv_id, turn, min(text) AS expected FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+g AS (SELECT conv_id, turn - 2 AS turn, min(text) AS generated FROM conversations GROUP BY ALL),
+p AS (SELECT a.conv_id, a.turn, expected, generated, {tokens_sql('expected')} AS et, {tokens_sql('generated')} AS gt
+      FROM a LEFT JOIN g ON a.conv_id = g.conv_id AND a.turn = g.turn),
+t AS (SELECT conv_id, turn, 'm' AS side, unnest(et) AS tok FROM p WHERE generated IS NOT NULL
+      UNION ALL SELECT conv_id, turn, 'g', unnest(gt) FROM p WHERE generated IS NOT NULL),
+b AS (SELECT conv_id, turn, side, {bucket_sql('tok')} AS b, count(*) AS c FROM t GROUP BY ALL),
+n AS (SELECT conv_id, turn, side, sqrt(sum(c * c)) AS n FROM b GROUP BY ALL),
+d AS (SELECT conv_id, turn, sum(m.c * o.c) AS dp FROM (FROM b WHERE side = 'm') m JOIN (FROM b WHERE side = 'g') o
+      USING (conv_id, turn, b) GROUP BY ALL),
+s AS (SELECT conv_id, turn, round(coalesce(d.dp, 0) / (nm.n * ng.n), 6) AS cosine
+      FROM (FROM n WHERE side = 'm') nm JOIN (FROM n WHERE side = 'g') ng USING (conv_id, turn) LEFT JOIN d USING (conv_id, turn)),
+j AS (SELECT conv_id, turn, len(list_intersect(et, gt)) AS shared, len(list_distinct(list_concat(et, gt))) AS every
+      FROM p WHERE generated IS NOT NULL)
+SELECT p.conv_id, p.turn, s.cosine, CAST(CASE WHEN every > 0 THEN 10 * shared // every ELSE 0 * shared END AS DOUBLE) AS judge_score,
+       shared || ' of ' || every || ' words shared' AS feedback,
+       CASE WHEN p.generated IS NULL THEN 'no generated answer' END AS error
+FROM p LEFT JOIN s USING (conv_id, turn) LEFT JOIN j USING (conv_id, turn)
 """)
 def q_eval_scores(spark, sf):
-    c = table(spark, sf, "conversations")
-    a = c.groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("model_answer"),
-                                 F.max(F.when(F.col("turn") == 3, F.col("text"))).alias("generated"))
-    m = V.with_hash_embedding(a.select("conv_id", "generated", T.tokens("model_answer").alias("_t")), "_t", 64, "vm")
-    g = V.with_hash_embedding(m.select("conv_id", "vm", "generated", T.tokens("generated").alias("_t")), "_t", 64, "vg")
-    score = F.when(F.col("generated").isNotNull(), F.round(V.dot("vm", "vg"), 6))
-    return g.select("conv_id", score.alias("cosine"),
-                    F.when(F.col("generated").isNull(), F.lit("no generated answer")).alias("error"))
+    """Every answer against the text two turns on: cosine and the offline judge."""
+    pairs = turn_pairs(table(spark, sf, "conversations"))
+    return judge_answers(cosine_scores(pairs), overlap_judge).drop("expected", "generated")
 
 
 def _prompt_sql() -> str:
