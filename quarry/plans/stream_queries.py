@@ -58,6 +58,28 @@ def q_stream_daily_counts(spark, sf):
                       F.round("value_sum", 6).alias("value_sum"))
 
 
+LATE_DELAY = "36 hours"
+
+
+@register("stream_late_counts", sql=f"""
+WITH drops AS (SELECT *, event_id % 3 AS drop_no FROM events),
+m AS (SELECT n.drop_no, max(e.ts) - INTERVAL {LATE_DELAY} AS least FROM (SELECT DISTINCT drop_no FROM drops) n
+      JOIN drops e ON e.drop_no < n.drop_no GROUP BY ALL)
+SELECT date_trunc('day', ts) AS window_start, CAST(count(*) AS BIGINT) AS events,
+       CAST(count(*) FILTER (WHERE ts < least) AS BIGINT) AS late_events
+FROM drops LEFT JOIN m USING (drop_no) GROUP BY 1
+""")
+def q_stream_late_counts(spark, sf):
+    """The events land in three drops, each of which spans the whole time, and
+    the job runs after each: what is older than its predecessors allow is late."""
+    events = table(spark, sf, "events")
+    base = io.new_scratch(spark, "stream-late")
+    for n in range(3):
+        events.where(F.col("event_id") % 3 == n).write.parquet(f"{base}/landing/drop{n}")
+        counts = jobs.stream_daily_counts(spark, base + "/landing/*", events.schema, base + "/out", base + "/ckpt", delay=LATE_DELAY)
+    return counts.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "events", "late_events")
+
+
 @register("stream_dedup", sql="""
 SELECT DISTINCT user_id, event_type FROM events
 """)

@@ -60,21 +60,52 @@ def stream_embargo(spark: SparkSession, source: str, schema, out: str, checkpoin
 
 
 def stream_daily_counts(spark: SparkSession, source: str, schema, out: str, checkpoint: str,
-                        ts_col: str = "ts", size: str = "1 day") -> DataFrame:
-    """Tumbling event-time windows.  Each micro-batch writes its own partial
+                        ts_col: str = "ts", size: str = "1 day", delay: str = "0 seconds") -> DataFrame:
+    """Tumbling event-time windows: window_start, events, value_sum, and how
+    many of the events were late.  Each micro-batch writes its own partial
     counts under its batch id (a replay overwrites them), and a window is the
-    sum of its parts.  So no state is held, no row is too late, and neither
-    the number nor the order of files changes the result."""
+    sum of its parts.  So no state is held, no row is lost for being late, and
+    neither the number nor the order of files changes events and value_sum.
+
+    A row is late if it is older, by more than ``delay``, than the newest row
+    of all earlier batches.  That mark is kept per batch beside its counts, so
+    a batch reads the mark of the one before, however many there were; it comes
+    from what the batch has stored, which a task that runs twice cannot change.
+    Rows without a time are counted in a window that starts at null, never late.
+    ``batch_report`` has the counts per batch."""
     s = _event_time(_read(spark, source, schema), ts_col)
 
     def sink(batch: DataFrame, batch_id: int):
-        batch.groupBy(F.window(ts_col, size).alias("w")).agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value_sum")) \
-            .select(F.col("w.start").alias("window_start"), "events", "value_sum") \
-            .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        session = batch.sparkSession
+        before = session.read.parquet(_mark(out, batch_id - 1)).first()["newest"] if batch_id else None
+        least = F.lit(before) - F.expr(f"INTERVAL {delay}") if before is not None else F.lit(None).cast("timestamp")
+        part = f"{out}/batch_id={batch_id}"
+        undated = F.col(ts_col).isNull()
+        batch.groupBy(F.window(F.coalesce(ts_col, F.timestamp_seconds(F.lit(0))), size).alias("w"), undated.alias("undated")) \
+            .agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value_sum"),
+                 F.count_if(F.coalesce(F.col(ts_col) < least, F.lit(False))).alias("late_events"), F.max(ts_col).alias("newest")) \
+            .select(F.when(~F.col("undated"), F.col("w.start")).alias("window_start"), "events", "value_sum", "late_events", "newest") \
+            .write.mode("overwrite").parquet(part)
+        newest = session.read.parquet(part).agg(F.max("newest").alias("newest"))
+        newest.select(F.greatest("newest", F.lit(before).cast("timestamp")).alias("newest")) \
+            .write.mode("overwrite").parquet(_mark(out, batch_id))
 
     _run(s.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     return spark.read.parquet(out).groupBy("window_start").agg(
-        F.sum("events").alias("events"), F.sum("value_sum").alias("value_sum"))
+        F.sum("events").alias("events"), F.sum("value_sum").alias("value_sum"), F.sum("late_events").alias("late_events"))
+
+
+def _mark(out: str, batch_id: int) -> str:
+    """Where the newest event time up to a batch is kept (a hidden folder, no part of the counts)."""
+    return f"{out}/_marks/{batch_id}"
+
+
+def batch_report(spark: SparkSession, out: str) -> DataFrame:
+    """Per micro-batch of ``stream_daily_counts``: batch_id, windows it touched,
+    events, late_events, and its newest event time."""
+    return spark.read.parquet(out).groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("windows"), F.sum("events").alias("events"), F.sum("late_events").alias("late_events"),
+        F.max("newest").alias("newest"))
 
 
 #: Texts that carry a row through a Python function without loss.
