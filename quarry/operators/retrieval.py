@@ -1,4 +1,4 @@
-"""Vector retrieval: exact and approximate cosine top-k, score pairs, per-group top-k.
+"""Vector retrieval: exact and approximate cosine top-k, per-group top-k.
 
 The query side is cut into blocks of at most ``max_block_bytes``.  One block
 at a time is broadcast; every corpus partition scores its rows against it
@@ -111,24 +111,31 @@ def _hits(corpus: DataFrame, queries: DataFrame, qid: str, cid: str, vec: str, q
           carry: list[str], max_block_bytes: int, pick: Callable, cut: Callable,
           wanted: Callable | None = None) -> DataFrame:
     """Scored rows of all queries; ``cut`` shrinks what a block stores."""
-    spark = corpus.sparkSession
     schema = T.StructType([T.StructField("_qid", queries.schema[qid].dataType),
                            T.StructField("_cid", corpus.schema[cid].dataType),
                            T.StructField("_score", T.DoubleType()),
                            *[T.StructField(c, corpus.schema[c].dataType) for c in carry]])
+    return in_blocks(corpus, queries, qid, cid, vec, query_vec, carry, max_block_bytes,
+                     lambda rows, block: _score(rows, block, qid, cid, vec, carry, schema, pick, wanted), cut, wanted is not None)
+
+
+def in_blocks(corpus: DataFrame, queries: DataFrame, qid: str, cid: str, vec: str, query_vec: str | None,
+              carry: list[str], max_block_bytes: int, score: Callable, cut: Callable, stored: bool = False) -> DataFrame:
+    """What ``score(corpus, block of queries)`` finds for all blocks; it returns
+    the rows and the broadcast to destroy.  ``stored``: the corpus is a table."""
     queries = queries.select(F.col(qid), F.col(query_vec or vec).alias(vec))
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(vec)), F.lit(0)).alias("d")).first()
     per_block = max(1, max_block_bytes // (max(size["d"], 1) * 8 + 64))
     if size["n"] <= per_block:
-        return _score(corpus, queries.toPandas(), qid, cid, vec, carry, schema, pick, wanted)[0]
+        return score(corpus, queries.toPandas())[0]
     numbered = shared_table(with_global_index(queries, [qid], "_at").withColumn(
         "_block", F.floor(F.col("_at") / per_block).cast("long")).drop("_at"), "query-blocks", "_block")
-    if wanted is None:  # scanned once per block: what computed the corpus runs once
+    if not stored:  # scanned once per block: what computed the corpus runs once
         corpus = shared_table(corpus.select(cid, vec, *carry), "corpus")
     found = None
     for b in range(-(-size["n"] // per_block)):
         block = numbered.where(F.col("_block") == b).drop("_block").toPandas()  # per_block rows at most
-        hits, shared = _score(corpus, block, qid, cid, vec, carry, schema, pick, wanted)
+        hits, shared = score(corpus, block)
         part = shared_table(cut(hits), "block-hits")
         shared.destroy()
         found = part if found is None else found.unionByName(part)
@@ -158,19 +165,6 @@ def knn_search(corpus: DataFrame, queries: DataFrame, k: int = 10, *, qid: str =
     return _ranked(corpus, queries, k, qid, cid, vec, query_vec, list(carry or []), max_block_bytes)
 
 
-def score_pairs(corpus: DataFrame, queries: DataFrame, min_score: float, *, qid: str = "qid",
-                cid: str = "chunk_id", vec: str = "embedding", query_vec: str | None = None,
-                carry: list[str] | None = None,
-                max_block_bytes: int = DEFAULT_MAX_BLOCK_BYTES) -> DataFrame:
-    """Every (query, corpus row) pair whose cosine is >= ``min_score``: as
-    ``knn_search`` with a threshold in place of a rank, so nothing is shuffled."""
-    carry = list(carry or [])
-    found = _hits(corpus, queries, qid, cid, vec, query_vec, carry, max_block_bytes,
-                  lambda s: np.nonzero(s >= min_score), lambda h: h)
-    return found.select(F.col("_qid").alias(qid), F.col("_cid").alias(cid), *carry,
-                        F.round("_score", SCORE_DECIMALS).alias("score"))
-
-
 class CellIndex:
     """Approximate top-k: unit vectors in cells around spherical k-means centres,
     stored so that later searches, in other sessions too, fit nothing.
@@ -239,6 +233,12 @@ class CellIndex:
         needed = np.sort(np.take_along_axis(place, cell[top], axis=1).ravel()) + 1
         return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) if len(needed) else 1
 
+    def bounds(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Highest and lowest score that a row of each cell can have, by the
+        cosines of the queries to the centres."""
+        angle, radius = np.arccos(np.clip(near, -1, 1)), np.arccos(np.clip(self.nearest, -1, 1))
+        return np.cos(np.maximum(angle - radius, 0)), np.cos(np.minimum(angle + radius, np.pi))
+
     def cells(self, unit: np.ndarray, k: int, recall: float) -> np.ndarray:
         """Which cells each query looks into."""
         if not len(unit):
@@ -249,8 +249,7 @@ class CellIndex:
         probes = len(self.centres) if recall >= 1 else self._probes(unit, k, recall)
         cells = np.zeros(order.shape, dtype=bool)
         np.put_along_axis(cells, order, (np.arange(order.shape[1])[None, :] < probes) | (before < k), axis=1)
-        angle, radius = np.arccos(np.clip(near, -1, 1)), np.arccos(np.clip(self.nearest, -1, 1))
-        best, worst = np.cos(np.maximum(angle - radius, 0)), np.cos(np.minimum(angle + radius, np.pi))
+        best, worst = self.bounds(near)
         falling = np.argsort(-worst, axis=1)
         held = np.cumsum(self.sizes[falling], axis=1)
         kth = np.argmax(held >= k, axis=1)  # from so many cells k rows score at least this

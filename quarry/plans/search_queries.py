@@ -27,7 +27,7 @@ def top_k_per_group(spark, sf_dir):
 from pyspark.sql import functions as F  # noqa: E402
 
 from quarry.functions import text as T  # noqa: E402
-from quarry.operators import retrieval  # noqa: E402
+from quarry.operators import retrieval, threshold  # noqa: E402
 from quarry.plans.sql_fragments import bucket_sql, tokens_sql  # noqa: E402
 from quarry.sources.decisions import DECISIONS_SQL, decisions_from_documents  # noqa: E402
 
@@ -105,10 +105,26 @@ SELECT item_id, vec_id, label, score FROM r WHERE score >= 0.25
 def q_score_pairs(spark, sf):
     emb = table(spark, sf, "embeddings")
     q = search.query_vectors(table(spark, sf, "benchmark"))
-    return retrieval.score_pairs(emb, q, 0.25, qid="item_id", cid="vec_id", vec="embedding", carry=["label"]) \
+    return threshold.score_pairs(emb, q, 0.25, qid="item_id", cid="vec_id", vec="embedding", carry=["label"]) \
         .select("item_id", "vec_id", "label", "score")
 
 
+@register("score_pair_counts", sql=_EMB_SCORES_SQL + """,
+c AS (SELECT item_id, count(*) AS pairs FROM r WHERE score >= 0.25 GROUP BY item_id),
+b AS (SELECT item_id, list(vec_id ORDER BY score DESC, vec_id) AS best FROM (
+        SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, vec_id) AS rank FROM r WHERE score >= 0.25)
+      WHERE rank <= 5 GROUP BY item_id)
+SELECT item_id, CAST(coalesce(pairs, 0) AS BIGINT) AS pairs, coalesce(best, []) AS best_vec_ids
+FROM benchmark LEFT JOIN c USING (item_id) LEFT JOIN b USING (item_id)
+""")
+def q_score_pair_counts(spark, sf):
+    """The same pairs, counted per query beside the five best of each."""
+    emb = table(spark, sf, "embeddings")
+    q = search.query_vectors(table(spark, sf, "benchmark"))
+    found = threshold.pair_counts(emb, q, 0.25, 5, qid="item_id", cid="vec_id")
+    return found.select("item_id", "pairs", F.transform("best", lambda b: b["vec_id"]).alias("best_vec_ids"))
+
+
 @register("approx_knn")
 def q_approx_knn(spark, sf):
     """Cells probed until the sample's recall is 0.95 (recall against the exact search is tested).

@@ -164,14 +164,14 @@ def test_approx_knn_recall(spark, sf):
 
 
 def test_knn_many_blocks_equal_one(spark):
-    from quarry.operators import retrieval
+    from quarry.operators import retrieval, threshold
     from quarry.plans import search
     emb = spark.read.parquet(f"{SF}/embeddings.parquet")
     q = search.query_vectors(spark.read.parquet(f"{SF}/benchmark.parquet"))
     names = {"qid": "item_id", "cid": "vec_id"}
     small = (64 * 8 + 64) * 15  # 15 queries a block
     for run in (lambda **o: retrieval.knn_search(emb, q, 3, **names, **o),
-                lambda **o: retrieval.score_pairs(emb, q, 0.2, **names, **o)):
+                lambda **o: threshold.score_pairs(emb, q, 0.2, **names, **o)):
         assert sorted(map(tuple, run().collect())) == sorted(map(tuple, run(max_block_bytes=small).collect()))
 
 
