@@ -103,3 +103,15 @@ def attachment_ok(file_uri, publicity, personal, size_bytes=None,
     if size_bytes is not None:
         ok = ok & (_c(size_bytes).isNull() | (_c(size_bytes) <= max_bytes))
     return F.coalesce(ok, F.lit(False))
+
+
+def content_outcome(known, content, markdown, chunks, embedded) -> Column:
+    """Outcome of a requested document, the first that holds: indexed already,
+    not there, without content, empty after conversion, without chunks, without
+    the embedding of any chunk; else 'success'.  Counts that are null are 0."""
+    number = lambda x: F.coalesce(_c(x), F.lit(0))
+    return (F.when(F.coalesce(_c(known), F.lit(False)), "skipped")
+            .when(_c(content).isNull(), "failed: missing").when(_c(content) == "", "failed: no content")
+            .when(F.coalesce(T.py_strip(_c(markdown)), F.lit("")) == "", "failed: conversion empty")
+            .when(number(chunks) == 0, "failed: no chunks").when(number(embedded) == 0, "failed: embedding")
+            .otherwise("success"))

@@ -64,6 +64,42 @@ def attachment_metadata(decisions: DataFrame, collection: str = "decisions") ->
         _nz("Type").alias("attachment_type"), _nz("FileURI").alias("attachment_url"))
 
 
+def document_detail(decisions: DataFrame, attachments: str = "Attachments") -> DataFrame:
+    """Detail view of a decision: title or 'Untitled', content or '', date,
+    organization and metadata structs (null where the decision has none), and
+    its attachments in order, projected in the row (null array: null)."""
+    def have(name: str) -> Column:
+        return F.col(name) if name in decisions.columns else F.lit(None).cast("string")
+
+    att = decisions.schema[attachments].dataType.elementType.names
+    fields = {"native_id": "NativeId", "title": "Title", "file_uri": "FileURI", "publicity_class": "PublicityClass",
+              "type": "Type", "language": "Language"}
+    shown = F.transform(attachments, lambda a: F.struct(*[
+        (a[src] if src in att else F.lit(None).cast("string")).alias(name) for name, src in fields.items()]))
+    name, org_id = have("OrganizationName"), have("OrganizationID")
+    return decisions.select(
+        have("NativeId").alias("native_id"), F.coalesce(F.nullif(have("Title"), F.lit("")), F.lit("Untitled")).alias("title"),
+        _nz(have("Content")).alias("content"), have("DateDecision").alias("decision_date"),
+        F.when(name.isNotNull() | org_id.isNotNull(), F.struct(org_id.alias("id"), name.alias("name"))).alias("organization"),
+        have("ClassificationTitle").alias("classification"), shown.alias("attachments"),
+        F.struct(have("CaseID").alias("diary_number"), have("Section").alias("section")).alias("metadata"))
+
+
+#: Columns of a chunk that are stored beside its metadata.
+CHUNK_FIELDS = ("native_id", "chunk_index", "token_count", "chunk_position", "start_index")
+
+
+def chunk_index_rows(chunks: DataFrame, collection: Column, metadata: list[str], vector: str = "embedding") -> DataFrame:
+    """The stored row of a chunk: collection, id, text, vector, a ``metadata``
+    struct of its chunk fields and the named columns, and ``indexed_at``.
+    Missing texts are stored as '', as their index fields are."""
+    named = [c for c in (*CHUNK_FIELDS, *metadata) if c in chunks.columns]
+    texts = {f.name for f in chunks.schema.fields if f.dataType.simpleString() == "string"}
+    fields = [(_nz(f"`{c}`") if c in texts else F.col(f"`{c}`")).alias(c) for c in dict.fromkeys(named)]
+    return chunks.select(collection.alias("collection"), F.col("chunk_id").alias("id"), _nz("text").alias("text"),
+                         F.col(vector).alias("vector"), F.struct(*fields).alias("metadata"), F.current_timestamp().alias("indexed_at"))
+
+
 # ---------------------------------------------------------------- membership
 def document_exists(ids: DataFrame, store: DataFrame, id_col: str = "id",
                     own: str = "native_id", parent: str = "decision_native_id") -> DataFrame:

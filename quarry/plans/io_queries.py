@@ -104,6 +104,32 @@ def q_list_document_ids(spark, sf):
     return io.list_document_ids(listing).select("o_custkey", "NativeId", "Title")
 
 
+@register("listing_totals", sql="""
+SELECT o_custkey, CAST(count(*) FILTER (WHERE o_orderkey % 7 <> 0) AS BIGINT) AS returned, CAST(count(*) AS BIGINT) AS total,
+       count(*) FILTER (WHERE o_orderkey % 7 <> 0) >= count(*) AS complete
+FROM orders GROUP BY o_custkey
+""")
+def q_listing_totals(spark, sf):
+    """Listing pages of a customer and a month; the source left every seventh order out of its lists."""
+    o = table(spark, sf, "orders")
+    entry = F.struct(F.concat(F.lit("ORD-"), F.col("o_orderkey").cast("string")).alias("NativeId"))
+    pages = o.groupBy("o_custkey", F.trunc("o_orderdate", "month").alias("month")).agg(
+        F.collect_list(F.when(F.col("o_orderkey") % 7 != 0, entry)).alias("decisions"), F.count(F.lit(1)).alias("count"))
+    return io.listing_totals(pages, ["o_custkey"])
+
+
+@register("tabular_entries_unique", sql="""
+WITH e AS (SELECT replace(c_mktsegment, ' ', '_') AS name, 'Untitled' || chr(10) || chr(10) || chr(10) || chr(10) || 'c_name: ' || c_name AS content
+           FROM customer),
+n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY encode(content)) AS rn FROM e)
+SELECT content, CASE WHEN rn = 1 THEN name ELSE name || '_' || rn END AS file_name FROM n
+""")
+def q_tabular_entries_unique(spark, sf):
+    """Entries named by one of five segments, each name made to occur once."""
+    return io.tabular_entries(table(spark, sf, "customer"), ["c_name"], None, "c_mktsegment", unique=True) \
+        .select("content", "file_name")
+
+
 @register("tabular_entries", sql="""
 SELECT replace(translate(c_name, '/\\:', '___'), ' ', '_') AS file_name,
        c_name || chr(10) || chr(10) || chr(10) || chr(10) || 'c_mktsegment: ' || c_mktsegment || ' '

@@ -11,7 +11,7 @@ from quarry.functions import text as T
 from quarry.operators import quality as Q
 from quarry.operators import relational as R
 from quarry.plans.registry import register
-from quarry.plans.sql_fragments import tokens_sql
+from quarry.plans.sql_fragments import CHUNK_TOKENS_CTE, tokens_sql
 from quarry.sources.decisions import DECISIONS_SQL, decisions_from_documents
 from quarry.sources.tables import table
 
@@ -149,6 +149,48 @@ def q_document_summary(spark, sf):
                     F.col("ClassificationTitle").alias("classification"))
 
 
+@register("document_detail", sql=f"""
+WITH {ATTACHMENTS_SQL},
+a AS (SELECT decision_native_id, count(*) AS attachments, count(*) FILTER (WHERE PublicityClass IS NULL) AS unclassed,
+             string_agg(coalesce(NativeId, '-') || '|' || Title || '|' || coalesce(FileURI, '-') || '|' || Type, ';' ORDER BY position) AS listed
+      FROM atts GROUP BY 1)
+SELECT 'ORD-' || CAST(o_orderkey AS VARCHAR) AS native_id, coalesce(nullif(o_orderpriority, ''), 'Untitled') AS title,
+       strftime(o_orderdate, '%Y-%m-%d') AS decision_date, o_orderstatus AS organization_name,
+       coalesce(attachments, 0) AS attachments, coalesce(unclassed, 0) AS unclassed, listed
+FROM orders LEFT JOIN a ON decision_native_id = 'ORD-' || CAST(o_orderkey AS VARCHAR)
+""")
+def q_document_detail(spark, sf):
+    """The detail views; their attachment arrays as texts, for comparing."""
+    d = R.document_detail(_order_decisions(spark, sf))
+    att = F.col("attachments")
+    listed = F.array_join(F.transform(att, lambda a: F.concat_ws(
+        "|", F.coalesce(a["native_id"], F.lit("-")), a["title"], F.coalesce(a["file_uri"], F.lit("-")), a["type"])), ";")
+    return d.select("native_id", "title", "decision_date", F.col("organization.name").alias("organization_name"),
+                    F.coalesce(F.size(F.coalesce(att, F.array().cast(d.schema["attachments"].dataType))), F.lit(0)).cast("long").alias("attachments"),
+                    F.coalesce(F.size(F.filter(att, lambda a: a["publicity_class"].isNull())), F.lit(0)).cast("long").alias("unclassed"),
+                    listed.alias("listed"))
+
+
+@register("chunk_index_metadata", sql=f"""
+WITH {DECISIONS_SQL}, {CHUNK_TOKENS_CTE.strip()}
+SELECT OrganizationName AS collection, doc_id || '_chunk_' || idx AS id, array_to_string(ctok, ' ') AS text,
+       CAST(len(ctok) AS BIGINT) AS token_count, CAST(idx AS BIGINT) AS chunk_index, coalesce(NativeId, '') AS native_id,
+       coalesce(CaseID, '') AS case_id, coalesce(Section, '') AS section
+FROM w JOIN decisions USING (doc_id)
+""")
+def q_chunk_index_metadata(spark, sf):
+    """Stored rows of all document chunks, their metadata struct laid out."""
+    from quarry.operators.chunking import fixed_token_chunks
+    d = _decisions(spark, sf).where(F.coalesce(F.col("Content"), F.lit("")) != "").withColumn("native_id", F.col("NativeId"))
+    chunks = fixed_token_chunks(d, "Content", "doc_id", keep=("native_id", "CaseID", "Section", "OrganizationName"))
+    rows = R.chunk_index_rows(chunks.withColumn("embedding", F.lit(None).cast("array<double>")), F.col("OrganizationName"),
+                              ["CaseID", "Section"])
+    m = F.col("metadata")
+    return rows.select("collection", "id", "text", m["token_count"].alias("token_count"),
+                       m["chunk_index"].cast("long").alias("chunk_index"), m["native_id"].alias("native_id"),
+                       m["CaseID"].alias("case_id"), m["Section"].alias("section"))
+
+
 @register("chunk_index_rows", sql="""
 SELECT 'label_' || CAST(label AS VARCHAR) AS collection, 'vec-' || CAST(vec_id AS VARCHAR) AS id,
        embedding AS vector, 'DOC-' || CAST(vec_id // 10 AS VARCHAR) AS native_id, CAST(vec_id % 10 AS BIGINT) AS chunk_index,
@@ -301,6 +343,32 @@ def q_content_gate(spark, sf):
     return j.select("doc_id", outcome.alias("outcome"))
 
 
+@register("embedding_gate", sql=f"""
+WITH req AS (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels),
+j AS (SELECT r.doc_id, d.text, l.quality, e.n FROM req r LEFT JOIN documents d USING (doc_id) LEFT JOIN labels l USING (doc_id)
+      LEFT JOIN (SELECT vec_id AS doc_id, count(embedding) AS n FROM embeddings GROUP BY 1) e USING (doc_id))
+SELECT doc_id, CASE
+  WHEN quality = 1 THEN 'skipped'
+  WHEN text IS NULL THEN 'failed: missing'
+  WHEN text = '' THEN 'failed: no content'
+  WHEN regexp_replace(text, '^[\\s]+|[\\s]+$', '', 'g') = '' THEN 'failed: conversion empty'
+  WHEN len({tokens_sql('text')}) = 0 THEN 'failed: no chunks'
+  WHEN coalesce(n, 0) = 0 THEN 'failed: embedding'
+  ELSE 'success' END AS outcome
+FROM j
+""")
+def q_embedding_gate(spark, sf):
+    """The content gate to its end.  What each document needs is computed in its
+    own row first, so that only ids and flags are joined, no texts."""
+    own = table(spark, sf, "documents", spread=True).select(
+        "doc_id", F.when(F.length("text") > 0, F.lit("x")).when(F.col("text").isNotNull(), F.lit("")).alias("content"),
+        F.when(T.py_strip("text") != "", F.lit("x")).alias("markdown"), T.token_count("text").alias("chunks"))
+    known = table(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("known"))
+    vectors = table(spark, sf, "embeddings").groupBy(F.col("vec_id").alias("doc_id")).agg(F.count("embedding").alias("embedded"))
+    j = own.join(known, "doc_id", "full").join(vectors, "doc_id", "left")
+    return j.select("doc_id", Q.content_outcome("known", "content", "markdown", "chunks", "embedded").alias("outcome"))
+
+
 MD_LITERALS_SQL = ("SELECT * FROM (VALUES (-1, ''), (-2, '   '), (-3, '<HTML><body>x</body>'), (-4, 'ok text'), "
                    "(-5, 'soft' || chr(173) || 'hyphen'), (-6, 'zero' || chr(8203) || 'width'), "
                    "(-7, 'tab' || chr(9) || 'and' || chr(10) || 'newline ok'), (-8, 'bell' || chr(7)), "

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quarry.functions import dates as D
 from quarry.functions import text as T
 from quarry.functions import vectors as V
+from quarry.operators.counting import with_token_count
 from quarry.plans.registry import register
 from quarry.plans.sql_fragments import tokens_sql
 from quarry.sources.decisions import DECISIONS_SQL, decisions_from_documents
@@ -69,6 +72,15 @@ def q_token_count(spark, sf):
     return table(spark, sf, "documents", spread=True).select("doc_id", T.token_count("text").alias("token_count"))
 
 
+@register("token_count_pattern", sql="""
+SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9\\x00-\\x20]')) AS BIGINT) AS token_count FROM documents
+""")
+def q_token_count_pattern(spark, sf):
+    """Words and single marks, by a pattern as the counter."""
+    docs = table(spark, sf, "documents", spread=True)
+    return with_token_count(docs, "text", re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9\x00-\x20]")).select("doc_id", "token_count")
+
+
 @register("token_usage_estimate", sql=f"""
 SELECT source, CAST(count(*) AS BIGINT) AS n_texts,
        CAST(sum(floor(len({tokens_sql('text')}) * 1.3::DOUBLE)) AS BIGINT) AS tokens_used,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import quality as Q
-from quarry.operators.relational import latest_wins
+from quarry.operators.relational import latest_wins, with_global_index
 from quarry.session import scratch_path, shared_table
 from quarry.sources.chunk_store import ChunkStore
 
@@ -56,11 +56,46 @@ def list_document_ids(listing: DataFrame, col: str = "decisions") -> DataFrame:
     return listing.select("*", F.inline(col)).drop(col)
 
 
+def listing_totals(listing: DataFrame, by: list[str], col: str = "decisions", total: str = "count") -> DataFrame:
+    """Listings held against the totals their source reports: per ``by`` the
+    ids returned, the total, and whether the listing is complete.  Counted in
+    the row of each page and summed, so no id is moved; an absent list has none."""
+    pages = listing.select(*by, F.greatest(F.size(F.coalesce(col, F.array().cast(listing.schema[col].dataType))), F.lit(0)).cast("long").alias("_n"),
+                           F.coalesce(F.col(total), F.lit(0)).cast("long").alias("_total"))
+    sums = pages.groupBy(*by).agg(F.sum("_n").alias("returned"), F.sum("_total").alias("total"))
+    return sums.withColumn("complete", F.col("returned") >= F.col("total"))
+
+
+def unique_names(entries: DataFrame, name: str = "file_name", content: str = "content") -> DataFrame:
+    """Entries under names of their own: one that is not the first of its name,
+    in order of contents, gets ``_2``, ``_3``, ... as a suffix; where that is
+    the plain name of another entry, its place in the table is added.
+
+    A name that a third of all rows bear is numbered over all tasks: places
+    in one stored range order less the first place of the name."""
+    placed = shared_table(with_global_index(entries, [name, content], "_at"), "named")
+    first = placed.groupBy(F.col(name).alias("_name")).agg(F.min("_at").alias("_first"))
+    at = F.col("_at") - F.col("_first")
+    numbered = placed.join(first, F.col(name).eqNullSafe(F.col("_name")), "left")
+    suffixed = numbered.withColumn("_new", F.when(at == 0, F.col(name)).otherwise(F.concat_ws("_", name, (at + 1).cast("string")))) \
+        .withColumn("_later", at > 0)
+    taken = first.select(F.col("_name").alias("_taken"))
+    return suffixed.join(taken, F.col("_later") & (F.col("_new") == F.col("_taken")), "left") \
+        .withColumn(name, F.when(F.col("_taken").isNull(), F.col("_new")).otherwise(F.concat_ws("_", "_new", F.lit("n"), F.col("_at").cast("string")))) \
+        .select(*entries.columns)
+
+
 def tabular_entries(df: DataFrame, content_fields: list[str], title_field: str | None,
                     file_name_field: str | None, filter_field: str | None = None, filter_value=None,
-                    id_col: str | None = None, legacy_nan: bool = False) -> DataFrame:
+                    id_col: str | None = None, legacy_nan: bool = False, unique: bool = False) -> DataFrame:
     """CSV rows -> entries: title + blank line + '\\n\\nfield: value' blocks
-    joined by ' '; null -> '-'; file name from a column or unknown_entry_{n}."""
+    joined by ' '; null -> '-'; file name from a column or unknown_entry_{n}.
+
+    n is ``id_col`` + 1; without one, the 1-based place in the order of all
+    columns, before the filter.  ``unique`` tells equal names apart."""
+    named = file_name_field in df.columns
+    if not named and not id_col:
+        df = with_global_index(df, df.columns, "_row")
     if filter_field and filter_value is not None:
         df = df.where(F.col(filter_field) == F.lit(filter_value))
     title = F.col(title_field).cast("string") if title_field in df.columns else F.lit("Untitled")
@@ -69,13 +104,14 @@ def tabular_entries(df: DataFrame, content_fields: list[str], title_field: str |
     content = F.concat(F.coalesce(title, F.lit("-")), F.lit("\n\n"), F.concat_ws(" ", *blocks))
     if legacy_nan:
         content = F.replace(content, F.lit("nan"), F.lit("-"))
-    if file_name_field in df.columns:
+    if named:
         fname = F.col(file_name_field).cast("string")
     else:
-        fname = F.concat(F.lit("unknown_entry_"), (F.col(id_col) + 1).cast("string"))
+        fname = F.concat(F.lit("unknown_entry_"), (F.col(id_col or "_row") + 1).cast("string"))
     keep = [id_col] if id_col else []
-    return df.select(*keep, content.alias("content"),
-                     F.regexp_replace(T.safe_name(fname), r"\s", "_").alias("file_name"))
+    out = df.select(*keep, content.alias("content"),
+                    F.regexp_replace(T.safe_name(fname), r"\s", "_").alias("file_name"))
+    return unique_names(out) if unique else out
 
 
 # --- fixed value: the fields of an event feed that entries use
