@@ -153,7 +153,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, wit
 
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = held.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = (cut.join(bases, ["length", "part"])
+    # bases grow with tasks x lengths: pieces (without texts) and bases are shuffled, nothing is broadcast
+    ranked = (cut.join(bases.hint("merge"), ["length", "part"])
               .select(*[c for c in cut.columns if c not in ("rank", "part")], (F.col("base") + F.col("rank")).alias("rank")))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
