@@ -11,7 +11,6 @@ a known text is found as well where its paragraphs stand one after the other.
 The known table is a parameter of bounded size (``MAX_KNOWN`` texts), so it may
 be broadcast.
 
-
 A line that begins with "copyright" or "(c)" may also be the wrapped middle of
 a sentence or an item of a list.  ``normalised`` drops it nevertheless, so
 whole texts and paragraphs are looked up in a second form as well, which drops
@@ -31,6 +30,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.common import store
 from quarry.llm.quality import let
 
 MAX_KNOWN = 10_000
@@ -141,32 +141,55 @@ def known_table(spark: SparkSession, known: dict | None = None) -> DataFrame:
             .distinct())
 
 
-def _quoted(base: DataFrame, known: DataFrame) -> DataFrame:
+def _items(text: Column) -> Column:
+    """One row-local expression: the digests of the whole text, with that of
+    its joined paragraphs, of its lines and of its paragraphs."""
+    def item(kind: str, at: Column, value: Column, joined: Column = F.lit(None).cast("string")) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("at"), value.alias("digest"), joined.alias("joined"))
+
+    # no rule of the first form reaches over a line's end, so the lines give the text
+    lines = F.filter(F.transform(F.split(text, "\n", -1), normalised), lambda line: line != "")
+    return let(F.struct(lines.alias("lines"), paragraphs(text).alias("parts")), lambda x: F.concat(
+        F.array(item("text", F.lit(0), F.when(F.size(x["lines"]) > 0, joined_digest(x["lines"])), joined_digest(x["parts"]))),
+        F.transform(x["lines"], lambda line: item("line", F.lit(0), F.sha2(line, 256))),
+        F.transform(x["parts"], lambda part, at: item("paragraph", at, F.sha2(part, 256)))))
+
+
+def _looked_up(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """The one pass over the texts: rows of a text with its digests, and of
+    the lines and paragraphs that a known text has, stored."""
+    marks = (known.select(F.lit("line").alias("kind"), "digest")
+             .union(known.select(F.lit("paragraph"), F.explode("paragraphs"))).distinct())
+    items = (docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("t"), F.monotonically_increasing_id().alias("row"))  # rows may share a doc_id
+             .select("doc_id", "row", F.inline(_items(F.col("t")))))
+    hits = items.join(F.broadcast(marks.withColumn("known", F.lit(True))), ["kind", "digest"], "left")
+    return store(hits.where("known OR kind = 'text'").drop("known"), "licenses")
+
+
+def _quoted(parts: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id and license_id of known texts whose paragraphs stand one after
     the other in a document."""
-    parts = known.select("license_id", F.xxhash64("license_id", "paragraphs").alias("known_id"), F.size("paragraphs").alias("n"),
+    known = known.select("license_id", F.xxhash64("license_id", "paragraphs").alias("known_id"), F.size("paragraphs").alias("n"),
                          F.posexplode("paragraphs").alias("k", "digest"))
-    rows = (base.withColumn("row", F.monotonically_increasing_id())  # rows may share a doc_id
-            .select("doc_id", "row", F.posexplode(digests(paragraphs(F.col("t")))).alias("at", "digest")))
-    return (rows.join(F.broadcast(parts), "digest")
+    return (parts.join(F.broadcast(known), "digest")
             .groupBy("doc_id", "row", "license_id", "known_id", "n", (F.col("at") - F.col("k")).alias("start"))
             .count().where("count = n").select("doc_id", "license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, text_digest, whole_license, licenses (sorted, comma-joined) and
-    n_notices (lines that are a known text), one row per document."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.col("doc_id"), text.alias("t"))
+    n_notices (lines that are a known text), one row per document.
+
+    The texts are read and normalised once; all joins read the stored digests."""
+    items = _looked_up(docs, known)
     texts = known.select("license_id", "digest").distinct()
-    lines = base.select("doc_id", F.explode(F.transform(F.split("t", "\n", -1), digest)).alias("digest"))
-    found = (lines.where(F.col("digest").isNotNull()).join(F.broadcast(texts), "digest")
+    found = (items.where("kind = 'line'").join(F.broadcast(texts), "digest")
              .select("doc_id", "license_id", F.lit(1).alias("notice"))
-             .union(_quoted(base, known).withColumn("notice", F.lit(0))).groupBy("doc_id")
+             .union(_quoted(items.where("kind = 'paragraph'"), known).withColumn("notice", F.lit(0))).groupBy("doc_id")
              .agg(F.sum("notice").alias("n_notices"), F.collect_set("license_id").alias("ids")))
     whole = F.broadcast(texts.select(F.col("digest").alias("text_digest"), F.col("license_id").alias("by_text")))
     joined = F.broadcast(known.select("joined", F.col("license_id").alias("by_joined")).distinct())
-    out = (docs.select("doc_id", digest(text).alias("text_digest"), joined_digest(paragraphs(text)).alias("joined"))
+    out = (items.where("kind = 'text'").select("doc_id", F.col("digest").alias("text_digest"), "joined")
            .join(whole, "text_digest", "left").join(joined, "joined", "left")
            .select("doc_id", "text_digest", F.coalesce("by_text", "by_joined").alias("whole_license")).alias("a")
            .join(found.withColumnRenamed("doc_id", "f_id").alias("f"), F.col("a.doc_id").eqNullSafe(F.col("f_id")), "left"))
