@@ -69,7 +69,9 @@ def listing_totals(listing: DataFrame, by: list[str], col: str = "decisions", to
 def unique_names(entries: DataFrame, name: str = "file_name", content: str = "content") -> DataFrame:
     """Entries under names of their own: one that is not the first of its name,
     in order of contents, gets ``_2``, ``_3``, ... as a suffix; where that is
-    the plain name of another entry, its place in the table is added.
+    the plain name of another entry, its place in the table is added after a run
+    of the letter n that is longer than all such runs in the plain names, so no
+    plain or numbered name can meet it.
 
     A name that a third of all rows bear is numbered over all tasks: places
     in one stored range order less the first place of the name."""
@@ -79,9 +81,11 @@ def unique_names(entries: DataFrame, name: str = "file_name", content: str = "co
     numbered = placed.join(first, F.col(name).eqNullSafe(F.col("_name")), "left")
     suffixed = numbered.withColumn("_new", F.when(at == 0, F.col(name)).otherwise(F.concat_ws("_", name, (at + 1).cast("string")))) \
         .withColumn("_later", at > 0)
+    runs = F.transform(F.regexp_extract_all(F.col("_name"), F.lit("(n+)")), F.length)
+    mark = "n" * (1 + (first.agg(F.max(F.array_max(runs))).first()[0] or 0))
     taken = first.select(F.col("_name").alias("_taken"))
     return suffixed.join(taken, F.col("_later") & (F.col("_new") == F.col("_taken")), "left") \
-        .withColumn(name, F.when(F.col("_taken").isNull(), F.col("_new")).otherwise(F.concat_ws("_", "_new", F.lit("n"), F.col("_at").cast("string")))) \
+        .withColumn(name, F.when(F.col("_taken").isNull(), F.col("_new")).otherwise(F.concat_ws("_", "_new", F.lit(mark), F.col("_at").cast("string")))) \
         .select(*entries.columns)
 
 

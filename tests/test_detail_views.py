@@ -63,6 +63,16 @@ def test_unique_names(spark):
     assert io.unique_names(entries.limit(0)).count() == 0
 
 
+def test_unique_names_meet_no_name_made_to_look_like_them(spark):
+    rows = [("hot", str(i)) for i in range(4)] + [("hot_2", "x"), ("hot_3", "y"), ("hot_2_nn", "a"), ("", "e"), ("", "f"), ("_2", "g")]
+    rows += [(f"hot_{k}_{n}_{at}", "z") for k in (2, 3) for n in ("n", "nn", "nnn") for at in range(40)]
+    rows += [("hot_2_nnn", str(i)) for i in range(40)]
+    entries = spark.createDataFrame(rows, "file_name string, content string").repartition(5)
+    got = [r["file_name"] for r in io.unique_names(entries).collect()]
+    assert len(set(got)) == len(got) == len(rows)
+    assert {name for name, _ in rows} <= set(got)
+
+
 def test_entries_without_a_name_column_are_numbered(spark):
     rows = spark.createDataFrame([("b", 2), ("a", 1), ("c", None), ("c", None)], "t string, v int").repartition(3)
     got = io.tabular_entries(rows, ["v", "absent"], "t", None).collect()
