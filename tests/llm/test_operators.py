@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import bpe, components, dac, exact, html, jaccard, licenses, packing, quality, secrets, substrings, vocabulary
 
@@ -478,6 +479,20 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty, licenses.known_table(spark)).count() == 0
 
 
+def test_lines_of_a_text_give_its_digest(spark):
+    """Line by line and as a whole, a text normalises to the same; columns of
+    any name may stand beside it, and repeated rows keep a row each."""
+    ends = ["\n", "\r\n", "\r", "\x85", "\x0b", "\u2028", "\n\n", "\n \n"]
+    lines = ["Copyright (c) 2020 X", "per", "cent & per cent", "ΑΣ", "σ licence", "(c) all of it", "© z", "", "#", "https://a.b/c"]
+    texts = [None, "", "\n", "©", *(end.join(lines[i:] + lines[:i]) + end for end in ends for i in range(len(lines)))]
+    rows = [(i, t, "line", "d", 7, "known") for i, t in enumerate(texts)] + [(2, "\n", "text", "d", 7, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string, digest string, row int, joined string")
+    known = licenses.known_table(spark)
+    got = [(r["doc_id"], r["text_digest"]) for r in licenses.scan(docs, known).collect()]
+    want = [tuple(r) for r in docs.select("doc_id", licenses.digest(F.coalesce("text", F.lit("")))).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len({d for _, d in want}) > 10
+
+
 def test_whole_licenses(spark):
     """Texts as packages ship them, wrapped their own way, and quoted among other text."""
     import importlib.metadata
