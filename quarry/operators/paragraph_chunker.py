@@ -3,8 +3,8 @@
 A text is cut at three depths: paragraphs, the sentences of a paragraph that
 is too large, and windows of tokens of a sentence that is.  At the first two
 depths one rule decides from token counts alone which units share a chunk;
-texts are joined afterwards.  Every document is independent (Arrow batches,
-no shuffle), and a text of any length is cut by the same rules.  The header
+texts are joined afterwards.  Every document is independent (parts of Arrow
+batches, no shuffle), and a text of any length is cut by the same rules.  The header
 comes as a column (functions.text.metadata_header).
 
 Tokens are whitespace words unless ``count`` says otherwise.
@@ -16,10 +16,12 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quarry.operators.batches import new_columns, parts
+
 
 def count_tokens(text: str) -> int:
     return len(text.split()) if text else 0
@@ -121,25 +123,28 @@ def paragraph_chunks(df: DataFrame, text_col: str, id_col: str, settings: ChunkS
     """One output row per chunk: keep..., id, chunk_index, chunk_id, text
     (header + blank line + chunk when a header is given), token_count."""
     src = df.select(*keep, id_col, text_col, *([header_col] if header_col else []))
-    fields = [src.schema[c] for c in (*keep, id_col)] + CHUNK_SCHEMA.fields
-    names = [f.name for f in fields]
+    schema = T.StructType([src.schema[c] for c in (*keep, id_col)] + CHUNK_SCHEMA.fields)
 
     def cut(text):
         if not long_paragraph_only:
             return pack(text, settings)
         return sentence_chunks(text, settings.max_tokens, settings) if text and text.strip() else []
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for rec in pdf.to_dict("records"):
-                header = rec[header_col] if header_col and settings.embed_metadata else None
-                for k, (body, n) in enumerate(cut(rec[text_col])):
-                    if header:
-                        body = f"{header}\n\n{body}"
-                        n = settings.count(body)
-                    rows.append([*(rec[c] for c in (*keep, id_col)), k, f"{rec[id_col]}_chunk_{k}", body, n])
-            if rows:
-                yield pd.DataFrame(rows, columns=names)
-
-    return src.mapInPandas(run, T.StructType(fields))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch):
+                texts, ids = part.column(text_col).to_pylist(), part.column(id_col).to_pylist()
+                headers = part.column(header_col).to_pylist() if header_col and settings.embed_metadata else [None] * len(ids)
+                rows, source = [], []
+                for at, (text, own, header) in enumerate(zip(texts, ids, headers, strict=True)):
+                    for k, (body, n) in enumerate(cut(text)):
+                        if header:
+                            body = f"{header}\n\n{body}"
+                            n = settings.count(body)
+                        rows.append((k, f"{own}_chunk_{k}", body, n))
+                        source.append(at)
+                if rows:
+                    kept = [part.column(c).take(pa.array(source)) for c in (*keep, id_col)]
+                    yield pa.RecordBatch.from_arrays([*kept, *new_columns(CHUNK_SCHEMA.fields, rows)], schema.names)
+
+    return src.mapInArrow(run, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from quarry.functions import html as H
 from quarry.operators import html_jobs
 from quarry.operators.batches import parts
+from quarry.operators.paragraph_chunker import ChunkSettings, paragraph_chunks, sentence_chunks
 
 MB = 1 << 20
 
@@ -21,6 +22,9 @@ class Captured:
     def select(self, *_):
         return self
 
+    def select(self, *_):
+        return self
+
     def mapInArrow(self, run, _schema):
         self.run = run
         return self
@@ -57,3 +61,21 @@ def test_html_jobs_pass_every_column_type(spark):
     assert [r["link"] for r in html_jobs.extract_links(df).collect()] == ["http://h/x"] * 2
     md = html_jobs.html_to_markdown(df.selectExpr("k", "html", "k IS NOT NULL AS f"), "html", is_html="f").collect()
     assert [r["markdown"] for r in md] == [H.html_to_markdown(row[1]) + "\n"] * 2 + [""]
+
+
+def test_chunks_in_parts_of_a_batch():
+    texts = [f"{k} one two. " + "three four. " * 400 for k in range(2_000)]
+    s = ChunkSettings(max_tokens=50, overlap_tokens=5, embed_metadata=False)
+    held = paragraph_chunks(Captured(id=T.LongType(), t=T.StringType()), "t", "id", s, long_paragraph_only=True)
+    out = list(held.run(iter([pa.RecordBatch.from_pydict({"id": list(range(2_000)), "t": texts})])))
+    assert max(b.nbytes for b in out) < 4 * MB
+    want = [(k, i, f"{k}_chunk_{i}", *c) for k, t in enumerate(texts) for i, c in enumerate(sentence_chunks(t, 50, s))]
+    assert [tuple(r.values()) for r in pa.Table.from_batches(out).to_pylist()] == want
+
+
+def test_chunks_of_nulls_and_other_columns(spark):
+    rows = [(7, "a b", dt.datetime(2024, 1, 2), "H"), (7, "a b", None, None), (None, "c", None, None), (9, None, None, None), (9, " ", None, None)]
+    df = spark.createDataFrame(rows, "id long, t string, at timestamp, h string").coalesce(1)
+    got = paragraph_chunks(df, "t", "id", header_col="h", keep=("at",)).collect()
+    assert [tuple(r) for r in got] == [(rows[0][2], 7, 0, "7_chunk_0", "H\n\na b", 3), (None, 7, 0, "7_chunk_0", "a b", 2),
+                                       (None, None, 0, "None_chunk_0", "c", 1)]
