@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quarry.operators.batches import new_columns
+
 
 def embed_texts(df: DataFrame, text_col: str, id_col: str, embed_fn: Callable[[list[str]], list],
                 batch_size: int = 100, model: str = "plugin", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Call ``embed_fn`` on batches of ``batch_size`` texts per partition.
+    """Call ``embed_fn`` on batches of ``batch_size`` texts per partition; the
+    rows of a batch are handed on before the next one's texts are read.
 
     One row per input row: id, embedding, model, tokens_used (int(words *
     1.3)), error, and the ``keep`` columns, so no join brings them back.  The
@@ -31,16 +35,24 @@ def embed_texts(df: DataFrame, text_col: str, id_col: str, embed_fn: Callable[[l
                 return [(None, f"{type(e).__name__}: {e}")]
             return [embedded([t])[0] for t in texts]
 
-    def run(batches):
-        for pdf in batches:
-            filled = [i for i, t in enumerate(pdf[text_col]) if t and t.strip()]
-            found = [(None, "empty text")] * len(pdf)
-            for at in range(0, len(filled), batch_size):
-                part = filled[at:at + batch_size]
-                for i, hit in zip(part, embedded([pdf[text_col].iloc[i] for i in part]), strict=True):
-                    found[i] = hit
-            yield pd.DataFrame({id_col: pdf[id_col], "embedding": pd.Series([v for v, _ in found], pdf.index, dtype=object),
-                                "model": model, "tokens_used": [int(len((t or "").split()) * 1.3) for t in pdf[text_col]],
-                                "error": pd.Series([e for _, e in found], pdf.index, dtype=object),
-                                **{c: pdf[c] for c in keep}})
-    return df.select(*columns).mapInPandas(run, schema)
+    def handed_on(part: pa.RecordBatch, texts: list) -> pa.RecordBatch:
+        filled = [i for i, t in enumerate(texts) if t and t.strip()]
+        found = [(None, "empty text")] * len(texts)
+        for i, hit in zip(filled, embedded([texts[i] for i in filled]) if filled else [], strict=True):
+            found[i] = hit
+        vectors = pa.Array.from_pandas(pd.Series([v for v, _ in found], dtype=object), type=pa.list_(pa.float64()))
+        new = new_columns(schema.fields[2:5], [(model, int(len((t or "").split()) * 1.3), e) for t, (_, e) in zip(texts, found, strict=True)])
+        return pa.RecordBatch.from_arrays([part.column(id_col), vectors, *new, *(part.column(c) for c in keep)], schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, texts, filled = 0, [], 0
+            for text in batch.column(text_col):
+                texts.append(text.as_py())
+                filled += bool(texts[-1] and texts[-1].strip())
+                if filled == batch_size:
+                    yield handed_on(batch.slice(start, len(texts)), texts)
+                    start, texts, filled = start + len(texts), [], 0
+            if texts:
+                yield handed_on(batch.slice(start, len(texts)), texts)
+    return df.select(*columns).mapInArrow(run, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from quarry.functions import html as H
 from quarry.operators import html_jobs
 from quarry.operators.batches import parts
+from quarry.operators.embedding import embed_texts
 from quarry.operators.paragraph_chunker import ChunkSettings, paragraph_chunks, sentence_chunks
 
 MB = 1 << 20
@@ -79,3 +80,22 @@ def test_chunks_of_nulls_and_other_columns(spark):
     got = paragraph_chunks(df, "t", "id", header_col="h", keep=("at",)).collect()
     assert [tuple(r) for r in got] == [(rows[0][2], 7, 0, "7_chunk_0", "H\n\na b", 3), (None, 7, 0, "7_chunk_0", "a b", 2),
                                        (None, None, 0, "None_chunk_0", "c", 1)]
+
+
+def test_embeddings_in_batches_of_texts():
+    seen = []
+
+    def embed(texts):
+        seen.append(list(texts))
+        return [[float(len(t))] * 64 for t in texts]
+
+    texts = [None if k % 7 == 3 else " " if k % 7 == 5 else f"{k} " + "x" * 5_000 for k in range(3_000)]
+    held = embed_texts(Captured(id=T.LongType(), t=T.StringType()), "t", "id", embed, batch_size=100, keep=("t",))
+    out = list(held.run(iter([pa.RecordBatch.from_pydict({"id": list(range(3_000)), "t": texts})])))
+    assert max(b.nbytes for b in out) < MB
+    filled = [t for t in texts if t and t.strip()]
+    assert seen == [filled[at:at + 100] for at in range(0, len(filled), 100)]  # batches are as full as before
+    rows = pa.Table.from_batches(out).to_pylist()
+    assert [(r["id"], r["t"]) for r in rows] == list(enumerate(texts))
+    assert [r["embedding"] for r in rows] == [[float(len(t))] * 64 if t and t.strip() else None for t in texts]
+    assert {r["error"] for r in rows} == {None, "empty text"}
