@@ -295,6 +295,30 @@ def test_substrings(docs, empty):
     assert substrings.dedup(empty).count() == 0
 
 
+def test_planted_passages(spark):
+    """Passages of over 50 words in two documents go if they have 400 bytes; one
+    of 399 stays, and so do documents that share none."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=rng.randint(4, 6)))
+    own = lambda: " ".join(word() for _ in range(rng.randint(40, 400)))
+    sizes = [400, 399, 401, 394, 580, 581, 762, 350] * 5
+    texts, want = [], []
+    for size in sizes:
+        passage = " ".join(word() for _ in range(size))[:size].strip().ljust(size, "x")
+        assert len(passage.split()) > 50
+        texts += [f"{own()} ({passage}) {own()}", f"{own()} [{passage}] {own()}"]
+        want += [(size, 1) if size >= 400 else (0, 0)] * 2
+    texts += [own() for _ in range(80)]
+    want += [(0, 0)] * 80
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    got = by_id(substrings.dedup(docs))
+    assert [(got[k]["n_removed"], got[k]["n_spans"]) for k in range(len(texts))] == want
+    for k, t in enumerate(texts):
+        cut = got[k]["spans"] or [0, 0]
+        kept = t[:cut[0]] + t[cut[1]:]
+        assert (got[k]["n_bytes"], got[k]["kept_sha256"]) == (len(t), hashlib.sha256(kept.encode()).hexdigest())
+
+
 def test_copies_move_once(spark):
     """A wanted text is chosen once, whatever passes the filter."""
     import pyarrow as pa
